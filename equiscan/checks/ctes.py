@@ -10,8 +10,8 @@ PREVIOUS = "DATE '2001-06-23'"
 
 
 def r(x: str, n: int) -> str:
-    """Decimal rounding, half away from zero."""
-    return f"CAST(round(CAST({x} AS DECIMAL(38, 12)), {n}) AS DOUBLE)"
+    """Decimal rounding of the shortest text of a double, half away from zero, as Spark's ``round`` does."""
+    return f"CAST(round(CAST(CAST(CAST({x} AS DOUBLE) AS VARCHAR) AS DECIMAL(38, 18)), {n}) AS DOUBLE)"
 
 
 def div(a: str, b: str) -> str:

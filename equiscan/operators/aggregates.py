@@ -90,7 +90,7 @@ def sector_signal_pivot(scored: DataFrame) -> DataFrame:
     """Sector by signal counts; the signal values are listed, so no extra job has to discover them."""
     # The signal vocabulary.
     counts = (
-        scored.groupBy("sector33_name").pivot("kubota_signal", ["buy_signal", "wait", "-"]).agg(F.count("*"))
+        scored.groupBy("sector33_name").pivot("kubota_signal", ["buy_signal", "wait", "-"]).agg(F.count(F.lit(1)))
         .na.fill(0)
         .withColumnRenamed("-", "other")
     )

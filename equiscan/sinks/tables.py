@@ -93,6 +93,8 @@ def append(df: DataFrame, table: str, date_column: str | None = None, sort: list
     spark = df.sparkSession
     if not table_exists(spark, table):
         return overwrite(df, table, date_column, sort)
+    if df.isEmpty():
+        return 0
     if is_by_month(spark, table) and date_column is None:
         raise ValueError(f"{table} is laid out by month: name its date column")
     target = spark.table(table)
