@@ -562,9 +562,8 @@ def _series(d, *extra: str):
     + f" FROM daily_bars {W}",
 )
 def _(d):
-    w = windows.series()
-    out = _series(d, "close").withColumns({f"avg_{k}": windows.avg_last("close", k, w) for k in (14, 20, 25, 200)})
-    return rounded(out.drop("close"))
+    slides = {f"avg_{k}": windows.Slide("avg", "close", k) for k in (14, 20, 25, 200)}
+    return rounded(windows.sliding(_series(d, "close"), slides).drop("close"))
 
 
 @query(
@@ -573,8 +572,10 @@ def _(d):
     f"FROM daily_bars {W}",
 )
 def _(d):
-    out = _series(d, "close").withColumn("ma_lagged", windows.avg_lagged("close", 200, 20, windows.series()))
-    return rounded(out.drop("close"))
+    framed = windows.sliding(_series(d, "close"), {"ma200": windows.Slide("avg", "close", 200)})
+    # The mean as it stood twenty rows earlier.
+    lagged = F.lag("ma200", 20).over(windows.series())
+    return rounded(framed.select("code", "date", lagged.alias("ma_lagged")))
 
 
 @query(
@@ -584,9 +585,8 @@ def _(d):
     + f" FROM daily_bars {W}",
 )
 def _(d):
-    w = windows.series()
-    out = _series(d, "close").withColumns({f"std_{k}": windows.stddev_last("close", k, w) for k in (20, 60)})
-    return rounded(out.drop("close"))
+    slides = {f"std_{k}": windows.Slide("stddev", "close", k) for k in (20, 60)}
+    return rounded(windows.sliding(_series(d, "close"), slides).drop("close"))
 
 
 @query(
@@ -599,12 +599,11 @@ def _(d):
     + f" FROM daily_bars {W}",
 )
 def _(d):
-    w = windows.series()
-    frames = {}
+    slides = {}
     for k in (10, 22, 30, 250):
-        frames[f"max_{k}"] = windows.max_last("high", k, w)
-        frames[f"min_{k}"] = windows.min_last("low", k, w)
-    return rounded(_series(d, "high", "low").withColumns(frames).drop("high", "low"))
+        slides[f"max_{k}"] = windows.Slide("max", "high", k)
+        slides[f"min_{k}"] = windows.Slide("min", "low", k)
+    return rounded(windows.sliding(_series(d, "high", "low"), slides).drop("high", "low"))
 
 
 @query(
@@ -687,9 +686,8 @@ def _(d):
 
 @query("rolling_full", f"SELECT code, date, {_full(25)}, {_full(75)}, {_full(200)} FROM daily_bars {W}")
 def _(d):
-    w = windows.series()
-    out = _series(d, "close").withColumns({f"ma{k}": windows.rolling_full("close", k, w) for k in (25, 75, 200)})
-    return rounded(out.drop("close"))
+    slides = {f"ma{k}": windows.Slide("full_avg", "close", k) for k in (25, 75, 200)}
+    return rounded(windows.sliding(_series(d, "close"), slides).drop("close"))
 
 
 @query(

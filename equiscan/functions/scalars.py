@@ -11,8 +11,12 @@ from pyspark.sql import functions as F
 
 # What a price sheet may wrap around a number (currency signs, separators, unit words).
 NUMBER_DECORATION = "[¥$,\\s\\u3000口株]"
-# The date spellings a trade ledger uses, tried in this order.
-LEDGER_DATE_FORMATS = ("yyyy/M/d", "yyyy-M-d", "M/d/yyyy")
+# The date spellings a trade ledger uses, tried in this order, and their shape.
+LEDGER_DATE_FORMATS = {
+    "yyyy/M/d": r"^\d{4}/\d{1,2}/\d{1,2}$",
+    "yyyy-M-d": r"^\d{4}-\d{1,2}-\d{1,2}$",
+    "M/d/yyyy": r"^\d{1,2}/\d{1,2}/\d{4}$",
+}
 
 _DECIMAL_TEXT = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 
@@ -50,12 +54,16 @@ def to_integer(col: Column | str, is_text: bool = True) -> Column:
 
 
 def lenient_date(col: Column | str) -> Column:
-    """ISO, compact or slashed date; NULL when none of them fits."""
+    """ISO, compact or slashed date; NULL when none of them fits.
+
+    A failed parse throws inside the formatter, so only text of the right shape gets that far.
+    """
     column = _c(col)
+    text = column.cast("string")
     return F.coalesce(
         column.try_cast("date"),
-        F.try_to_date(column, "yyyyMMdd"),
-        F.try_to_date(column, "yyyy/M/d"),
+        F.when(text.rlike(r"^\d{8}$"), F.try_to_date(text, "yyyyMMdd")),
+        F.when(text.rlike(r"^\d{4}/\d{1,2}/\d{1,2}$"), F.try_to_date(text, "yyyy/M/d")),
     )
 
 
@@ -72,7 +80,9 @@ def strict_date(col: Column | str) -> Column:
 def multi_format_date(col: Column | str) -> Column:
     """First ledger spelling that parses."""
     text = F.trim(_c(col))
-    return F.coalesce(*[F.try_to_date(text, fmt) for fmt in LEDGER_DATE_FORMATS])
+    return F.coalesce(
+        *[F.when(text.rlike(shape), F.try_to_date(text, fmt)) for fmt, shape in LEDGER_DATE_FORMATS.items()]
+    )
 
 
 def number_text(col: Column | str) -> Column:

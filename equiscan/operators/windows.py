@@ -6,6 +6,8 @@ has days: the largest group is bounded by the calendar, not by how popular a cod
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -52,6 +54,102 @@ def rolling_full(value: Column | str, k: int, w: WindowSpec) -> Column:
     return F.when(F.count(value).over(frame) == k, F.avg(value).over(frame))
 
 
+@dataclass(frozen=True)
+class Slide:
+    """``how`` (avg, full_avg, stddev, max or min) of the last ``k`` values of a column."""
+
+    how: str
+    value: str
+    k: int
+
+
+_NEEDS = {"avg": "sn", "full_avg": "sn", "stddev": "sqn", "max": "x", "min": "m"}
+
+
+def _start_values(part: str, value: str) -> Column:
+    column = F.col(value).cast("double")
+    if part == "n":
+        return column.isNotNull().cast("bigint")
+    if part in "xm":
+        return column
+    known = F.coalesce(column, F.lit(0.0))
+    return known * known if part == "q" else known
+
+
+def _joined(part: str, newer: Column, older: Column) -> Column:
+    """Combine two neighbouring stretches; ``older`` is NULL before the series starts."""
+    if part == "x":
+        return F.greatest(newer, older)
+    if part == "m":
+        return F.least(newer, older)
+    return newer + F.coalesce(older, F.lit(0))
+
+
+def sliding(
+    df: DataFrame, outputs: dict[str, Slide], key: str = "code", order: str = "date"
+) -> DataFrame:
+    """Add long sliding statistics at a cost that grows with log k instead of k.
+
+    A frame aggregate visits all k rows of its frame again for every row. Here stretches of 1, 2, 4, … rows
+    are built by combining a value with the one half a stretch earlier, and a frame of k rows is put together
+    from at most log2(k) + 1 stretches. Each step is a ``lag`` on the same partitioning and order, so one
+    exchange and one sort serve all of them. NULL values are skipped and frames at the series start are
+    short, as with a plain frame; ``full_avg`` is NULL until k values are there.
+    """
+    w = series(key, order)
+    wanted: dict[tuple[str, str], int] = {}
+    pivoted = {o.value for o in outputs.values() if o.how == "stddev"}
+    for o in outputs.values():
+        # Deviations are taken from the first value, so that squares stay small.
+        column = f"_d_{o.value}" if o.how == "stddev" else o.value
+        for part in _NEEDS[o.how]:
+            wanted[part, column] = max(wanted.get((part, column), 1), o.k)
+    columns = df.columns
+    if pivoted:
+        first = {v: F.first(v, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)) for v in pivoted}
+        df = df.withColumns({f"_d_{v}": F.col(v).cast("double") - first[v] for v in pivoted})
+    df = df.withColumns({f"_{p}_{v}_0": _start_values(p, v) for p, v in wanted})
+    levels = max(k.bit_length() for k in wanted.values())
+    for level in range(1, levels):
+        step = {}
+        for (p, v), k in wanted.items():
+            if k >= 2**level:
+                before = f"_{p}_{v}_{level - 1}"
+                older = F.lag(before, 2 ** (level - 1)).over(w)
+                step[f"_{p}_{v}_{level}"] = _joined(p, F.col(before), older)
+        df = df.withColumns(step)
+
+    def total(p: str, v: str, k: int) -> Column:
+        top = k.bit_length() - 1
+        if p in "xm":
+            stretch, rest = f"_{p}_{v}_{top}", k - 2**top
+            return _joined(p, F.col(stretch), F.lag(stretch, rest).over(w)) if rest else F.col(stretch)
+        out, offset = F.col(f"_{p}_{v}_{top}"), 2**top
+        for level in range(top - 1, -1, -1):
+            if k >> level & 1:
+                out = _joined(p, out, F.lag(f"_{p}_{v}_{level}", offset).over(w))
+                offset += 2**level
+        return out
+
+    sums = {}
+    for name, o in outputs.items():
+        column = f"_d_{o.value}" if o.how == "stddev" else o.value
+        for p in _NEEDS[o.how]:
+            sums[f"_{p}_{name}"] = total(p, column, o.k)
+    df = df.withColumns(sums)
+    results = {}
+    for name, o in outputs.items():
+        n = F.col(f"_n_{name}")
+        if o.how in ("avg", "full_avg"):
+            results[name] = F.when(n > 0 if o.how == "avg" else n == o.k, F.col(f"_s_{name}") / n)
+        elif o.how == "stddev":
+            spread = (F.col(f"_q_{name}") - F.col(f"_s_{name}") * F.col(f"_s_{name}") / n) / (n - 1)
+            results[name] = F.when(n > 1, F.sqrt(F.greatest(spread, F.lit(0.0))))
+        else:
+            results[name] = F.col(f"_{_NEEDS[o.how]}_{name}")
+    return df.select(*columns, *[c.alias(n) for n, c in results.items()])
+
+
 def latest(df: DataFrame, key: str = "code", order: str = "date") -> DataFrame:
     """One row per key: the one with the greatest ``order``. An aggregate, so it combines before the shuffle."""
     others = [c for c in df.columns if c != key]

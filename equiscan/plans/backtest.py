@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from equiscan.functions import safe_divide
 from equiscan.operators.filters import lookback, traded
-from equiscan.operators.windows import avg_last, count_last, max_last, min_last, series, stddev_last
+from equiscan.operators.windows import Slide, count_last, series, sliding
 from equiscan.plans.indicators import YEAR_SESSIONS, session_return, true_range
 from equiscan.plans.integrate import PRIME
 
@@ -22,8 +22,8 @@ HORIZONS = (5, 10, 20)
 def backtest_signals(bars: DataFrame, master: DataFrame, as_of: date, market_like: str = PRIME) -> DataFrame:
     """One row per past signal with returns 5, 10 and 20 sessions later.
 
-    Every session is a candidate here, so sliding frames are needed. They share one exchange and one sort on
-    ``(code, date)``; a group holds at most one row per day of the lookback.
+    Every session is a candidate here, so sliding statistics are needed. They share one exchange and one sort
+    on ``(code, date)``; a group holds at most one row per day of the lookback.
     """
     listed = master.filter(F.col("market_name").contains(market_like)).select("code")
     w = series()
@@ -35,21 +35,27 @@ def backtest_signals(bars: DataFrame, master: DataFrame, as_of: date, market_lik
         .withColumns({"tr": true_range(), "ret": session_return()})
     )
     year = math.sqrt(YEAR_SESSIONS)
-    measured = daily.withColumns(
+    framed = sliding(
+        daily,
+        {
+            "ma200": Slide("avg", "close", 200),
+            "avg_vol_20d": Slide("avg", "volume", 20),
+            "atr_14": Slide("avg", "tr", 14),
+            "std_20d": Slide("stddev", "ret", 20),
+            "std_60d": Slide("stddev", "ret", 60),
+            "high_10d": Slide("max", "high", 10),
+            "low_10d": Slide("min", "low", 10),
+            "high_30d": Slide("max", "high", 30),
+            "low_30d": Slide("min", "low", 30),
+        },
+    )
+    measured = framed.withColumns(
         {
             "row_cnt": count_last(200, w),
-            "ma200": avg_last("close", 200, w),
-            "avg_vol_20d": avg_last("volume", 20, w),
-            "atr_14": avg_last("tr", 14, w),
-            "hv_20d": stddev_last("ret", 20, w) * year,
-            "hv_60d": stddev_last("ret", 60, w) * year,
-            "range_10d": max_last("high", 10, w) - min_last("low", 10, w),
-            "range_30d": max_last("high", 30, w) - min_last("low", 30, w),
             **{f"close_{h}d": F.lead("close", h).over(w) for h in HORIZONS},
-        }
-    ).withColumns(
-        {
-            "contraction": safe_divide("range_10d", "range_30d"),
+            "hv_20d": F.col("std_20d") * year,
+            "hv_60d": F.col("std_60d") * year,
+            "contraction": safe_divide(F.col("high_10d") - F.col("low_10d"), F.col("high_30d") - F.col("low_30d")),
             "vol_ratio": safe_divide("volume", "avg_vol_20d"),
             "atr_ratio": safe_divide("atr_14", "close"),
         }

@@ -12,7 +12,7 @@ from equiscan.operators.aggregates import backtest_dashboard, sector_scores, sec
 from equiscan.operators.filters import active, lookback, signalled
 from equiscan.operators.joins import attach_single_row, keep_listed
 from equiscan.operators.ranking import score_order, top_per_class, top_scored
-from equiscan.operators.windows import rolling_full, series, tail_rows
+from equiscan.operators.windows import Slide, sliding, tail_rows
 from equiscan.plans.integrate import RANKING_COLUMNS
 
 # Report sizes.
@@ -214,23 +214,14 @@ def price_history(
     recent = recent.select("code", "date", "open", "high", "low", "close", "volume", "turnover_value")
     if tail is not None:
         recent = tail_rows(recent, tail)
-    w = series()
-    return recent.withColumns(
-        {
-            **{f"ma{k}": rolling_full("close", k, w) for k in (25, 75, 200)},
-            "is_up": F.col("close") >= F.col("open"),
-        }
-    )
+    framed = sliding(recent, {f"ma{k}": Slide("full_avg", "close", k) for k in (25, 75, 200)})
+    return framed.withColumn("is_up", F.col("close") >= F.col("open"))
 
 
 def index_history(index_bars: DataFrame, as_of: date, days: int = 500, tail: int | None = None) -> DataFrame:
     """Index bars with full-window means taken before the tail is cut."""
-    w = series("index_code")
-    out = (
-        lookback(index_bars, as_of, days)
-        .select("index_code", "date", "open", "high", "low", "close")
-        .withColumns({f"ma{k}": rolling_full("close", k, w) for k in (25, 75, 200)})
-    )
+    recent = lookback(index_bars, as_of, days).select("index_code", "date", "open", "high", "low", "close")
+    out = sliding(recent, {f"ma{k}": Slide("full_avg", "close", k) for k in (25, 75, 200)}, "index_code")
     if tail is not None:
         out = tail_rows(out, tail, "index_code")
     return out
