@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import uuid
 from datetime import date, timedelta
 
 from pyspark.sql import DataFrame
@@ -28,7 +29,7 @@ BAR_COLUMNS = ["date", "code", "open", "high", "low", "close", "volume", "turnov
 
 def scratch_database(d) -> str:
     """A database of its own for every query run, stored below the shared folder."""
-    name = f"equiscan_{next(_numbers)}"
+    name = f"equiscan_{next(_numbers)}_{uuid.uuid4().hex[:8]}"
     tables.create_database(d.spark, name, f"{run_root(d.spark)}/{name}")
     return name
 
@@ -94,24 +95,20 @@ def _(d):
 
 @query("src_ledger", "SELECT trade_date, code, company_name, account_type, quantity, unit_price, amount FROM ledger_domestic")
 def _(d):
-    """A sheet as a text file: title rows, header, data and an empty row."""
+    """Sheets of up to 5,000 trades each as text files: title rows, header, an empty row and the data."""
     rows = d.ledger_rows("domestic")
     names = rows.columns
-    body = rows.select(F.lit(1).alias("part"), F.concat_ws(",", *[F.col(f"`{c}`") for c in names]).alias("value"))
-    top = d.spark.range(1).select(
-        F.explode(
-            F.array(
-                F.struct(F.lit(0).alias("o"), F.lit("更新日").alias("value")),
-                F.struct(F.lit(1).alias("o"), F.lit("2001/6/30,https://example.org").alias("value")),
-                F.struct(F.lit(2).alias("o"), F.lit(",".join(names)).alias("value")),
-                F.struct(F.lit(3).alias("o"), F.lit("," * (len(names) - 1)).alias("value")),
-            )
-        ).alias("t")
-    ).select(F.lit(0).alias("part"), "t.value", "t.o")
-    path = scratch_path(d, "sheet")
-    sheet = top.unionByName(body.withColumn("o", F.lit(9))).sort("part", "o")
-    # A sheet is one file by nature; writing it is the fixture, reading it is the operator.
-    sheet.select("value").coalesce(1).write.text(path)
+    line = F.concat_ws(",", *[F.col(f"`{c}`") for c in names])
+    numbered = rows.select(
+        F.floor(F.monotonically_increasing_id() / 5000).alias("sheet"), F.lit(9).alias("place"), line.alias("value")
+    )
+    titles = ["更新日", "2001/6/30,https://example.org", ",".join(names), "," * (len(names) - 1)]
+    top = numbered.select("sheet").distinct().select(
+        "sheet", F.posexplode(F.array(*[F.lit(t) for t in titles])).alias("place", "value")
+    )
+    path = scratch_path(d, "sheets")
+    sheets = top.unionByName(numbered).repartition("sheet").sortWithinPartitions("sheet", "place")
+    sheets.select("sheet", "value").write.partitionBy("sheet").text(path)
     return ledger.ledger_domestic(ledger.read_ledger(d.spark, path)).select(
         "trade_date", "code", "company_name", "account_type", "quantity", "unit_price", "amount"
     )
@@ -220,10 +217,9 @@ def _(d):
     table = scratch_table(d, "master")
     tables.overwrite(d.equity_master(), table)
     spark = d.spark
-    return spark.table(table).limit(1).select(
-        F.lit(tables.table_exists(spark, table)).alias("present"),
-        F.lit(tables.table_exists(spark, f"{table}_other")).alias("absent"),
-    )
+    present, absent = tables.table_exists(spark, table), tables.table_exists(spark, f"{table}_other")
+    filled = F.count("*") > 0
+    return spark.table(table).agg((filled & present).alias("present"), (filled & absent).alias("absent"))
 
 
 @query(
@@ -406,13 +402,11 @@ def _(d):
 @query(
     "job_daily_bars_bulk",
     BARS_SQL.replace(", turnover_value", ", turnover_value, CAST(1 AS DOUBLE) AS adjustment_factor, "
-                     f"{r('close', 4)} AS adjustment_close, CAST(0 AS BIGINT) AS adjustment_volume")
-    + " WHERE date BETWEEN DATE '1999-01-01' AND DATE '2000-12-31'",
+                     f"{r('close', 4)} AS adjustment_close, CAST(0 AS BIGINT) AS adjustment_volume"),
 )
 def _(d):
     table = scratch_table(d, "daily_bars")
-    spec = jobs.DATASETS["daily_bars"]
-    jobs.run_bulk(landed.daily_bars_long(d), spec, table, date(1999, 1, 1), date(2000, 12, 31))
+    jobs.run_bulk(landed.daily_bars_long(d), jobs.DATASETS["daily_bars"], table)
     return rounded(stored(d, table)).select(
         *BAR_COLUMNS, "adjustment_factor", "adjustment_close", "adjustment_volume"
     )
@@ -457,7 +451,7 @@ def _(d):
 def _(d):
     table = scratch_table(d, "financial_summary")
     rows = landed.financial_summary(d)
-    undated = rows.limit(5).withColumn("DiscDate", F.lit(None).cast("string"))
+    undated = rows.filter(F.col("DocType") == "AnnualRevision").withColumn("DiscDate", F.lit(None).cast("string"))
     jobs.run_bulk(rows.unionByName(undated), jobs.DATASETS["financial_summary"], table)
     return _fin(stored(d, table))
 

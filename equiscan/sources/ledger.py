@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -55,26 +57,24 @@ TRADE_COLUMNS = [
 
 
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
-    """One ledger file as text columns named by its third row.
+    """Ledger sheets as text columns named by their third row.
 
-    The header is three lines read by the driver. The data stays distributed: a row belongs to the title
-    block only if it is among the first three of the split that starts at byte 0. Short rows are padded
-    with NULL and rows without any text are dropped.
+    ``path`` may name one sheet or a folder of sheets of one layout. A sheet is read whole, since only its own
+    first rows tell titles from data; a spreadsheet bounds it at some ten million cells, and sheets are spread
+    over the tasks. The driver sees one header row. Short rows are padded with NULL and rows without any text
+    are dropped.
     """
-    titles = spark.read.text(path).limit(HEADER_ROW).collect()
-    if len(titles) < HEADER_ROW:
+    sheets = spark.read.text(path, wholetext=True).select(F.split("value", "\r?\n").alias("lines"))
+    first = sheets.filter(F.size("lines") >= HEADER_ROW).select(F.col("lines")[HEADER_ROW - 1].alias("line")).first()
+    if first is None:
         return spark.createDataFrame([], T.StructType([]))
-    header_line = spark.createDataFrame([(titles[-1]["value"],)], "line string")
-    width = header_line.select(F.size(F.split("line", ",")).alias("n")).first()["n"]
-    schema = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(width)])
-    names = header_line.select(F.from_csv("line", F.lit(schema.simpleString()[7:-1].replace(":", " "))).alias("h")).first()["h"]
-    rows = spark.read.schema(schema).option("header", False).option("mode", "PERMISSIVE").csv(path)
-    position = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
-    in_title = (F.col("_metadata.file_block_start") == 0) & (position < HEADER_ROW)
-    filled = F.coalesce(*[blank_to_null(F.trim(F.col(c))) for c in schema.names]).isNotNull()
+    names = next(csv.reader([first["line"]]))
+    fields = [f"_c{i}" for i in range(len(names))]
+    lines = sheets.select(F.posexplode("lines").alias("place", "line")).filter(F.col("place") >= HEADER_ROW)
+    rows = lines.select(F.from_csv("line", ", ".join(f"{c} string" for c in fields)).alias("r")).select("r.*")
+    filled = F.coalesce(*[blank_to_null(F.trim(c)) for c in fields]).isNotNull()
     labels = [name if name else f"_blank{i}" for i, name in enumerate(names)]
-    body = rows.withColumn("_title", in_title).filter(~F.col("_title") & filled)
-    return body.select([F.col(c).alias(label) for c, label in zip(schema.names, labels)])
+    return rows.filter(filled).select([F.col(c).alias(label) for c, label in zip(fields, labels)])
 
 
 def find_column(columns: list[str], keyword: str) -> str | None:
