@@ -63,26 +63,36 @@ class Slide:
     k: int
 
 
-_NEEDS = {"avg": "sn", "full_avg": "sn", "stddev": "sqn", "max": "x", "min": "m"}
+# What a stretch of rows carries for each statistic.
+_PARTS = {"sum": ("n", "s"), "moments": ("n", "u", "v"), "max": ("x",), "min": ("x",)}
+_KIND = {"avg": "sum", "full_avg": "sum", "stddev": "moments", "max": "max", "min": "min"}
 
 
-def _start_values(part: str, value: str) -> Column:
+def _one_row(kind: str, value: str) -> dict[str, Column]:
+    """A stretch of a single row; a NULL value counts as no row."""
     column = F.col(value).cast("double")
-    if part == "n":
-        return column.isNotNull().cast("bigint")
-    if part in "xm":
-        return column
-    known = F.coalesce(column, F.lit(0.0))
-    return known * known if part == "q" else known
+    if kind in ("max", "min"):
+        return {"x": column}
+    known, n = F.coalesce(column, F.lit(0.0)), column.isNotNull().cast("bigint")
+    return {"n": n, "s": known} if kind == "sum" else {"n": n, "u": known, "v": F.lit(0.0)}
 
 
-def _joined(part: str, newer: Column, older: Column) -> Column:
-    """Combine two neighbouring stretches; ``older`` is NULL before the series starts."""
-    if part == "x":
-        return F.greatest(newer, older)
-    if part == "m":
-        return F.least(newer, older)
-    return newer + F.coalesce(older, F.lit(0))
+def _combined(kind: str, a: dict[str, Column], b: dict[str, Column]) -> dict[str, Column]:
+    """Two neighbouring stretches as one; parts of ``b`` are NULL before the series starts.
+
+    Spread is carried as mean and squared deviations, which do not cancel as sums of squares would.
+    """
+    if kind == "max":
+        return {"x": F.greatest(a["x"], b["x"])}
+    if kind == "min":
+        return {"x": F.least(a["x"], b["x"])}
+    b = {part: F.coalesce(c, F.lit(0)) for part, c in b.items()}
+    n = a["n"] + b["n"]
+    if kind == "sum":
+        return {"n": n, "s": a["s"] + b["s"]}
+    gap = b["u"] - a["u"]
+    share = F.when(n > 0, b["n"] / n).otherwise(0.0)
+    return {"n": n, "u": a["u"] + gap * share, "v": a["v"] + b["v"] + gap * gap * a["n"] * share}
 
 
 def sliding(
@@ -91,63 +101,78 @@ def sliding(
     """Add long sliding statistics at a cost that grows with log k instead of k.
 
     A frame aggregate visits all k rows of its frame again for every row. Here stretches of 1, 2, 4, … rows
-    are built by combining a value with the one half a stretch earlier, and a frame of k rows is put together
-    from at most log2(k) + 1 stretches. Each step is a ``lag`` on the same partitioning and order, so one
-    exchange and one sort serve all of them. NULL values are skipped and frames at the series start are
+    are built by combining a stretch with the one that ends where it begins, and a frame of k rows is put
+    together from at most log2(k) + 1 stretches. Each step is a ``lag`` on the same partitioning and order, so
+    one exchange and one sort serve all of them. NULL values are skipped and frames at the series start are
     short, as with a plain frame; ``full_avg`` is NULL until k values are there.
     """
     w = series(key, order)
-    wanted: dict[tuple[str, str], int] = {}
-    pivoted = {o.value for o in outputs.values() if o.how == "stddev"}
-    for o in outputs.values():
-        # Deviations are taken from the first value, so that squares stay small.
-        column = f"_d_{o.value}" if o.how == "stddev" else o.value
-        for part in _NEEDS[o.how]:
-            wanted[part, column] = max(wanted.get((part, column), 1), o.k)
     columns = df.columns
-    if pivoted:
-        first = {v: F.first(v, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)) for v in pivoted}
-        df = df.withColumns({f"_d_{v}": F.col(v).cast("double") - first[v] for v in pivoted})
-    df = df.withColumns({f"_{p}_{v}_0": _start_values(p, v) for p, v in wanted})
-    levels = max(k.bit_length() for k in wanted.values())
-    for level in range(1, levels):
+    longest: dict[tuple[str, str], int] = {}
+    for o in outputs.values():
+        longest[_KIND[o.how], o.value] = max(longest.get((_KIND[o.how], o.value), 1), o.k)
+
+    def name(kind: str, value: str, level: int, part: str) -> str:
+        return f"_{kind}_{value}_{level}_{part}"
+
+    def stretch(kind: str, value: str, level: int, back: int = 0) -> dict[str, Column]:
+        parts = {p: F.col(name(kind, value, level, p)) for p in _PARTS[kind]}
+        return {p: F.lag(c, back).over(w) for p, c in parts.items()} if back else parts
+
+    df = df.withColumns(
+        {name(kind, v, 0, p): c for kind, v in longest for p, c in _one_row(kind, v).items()}
+    )
+    for level in range(1, max(k.bit_length() for k in longest.values())):
+        older, step = {}, {}
+        for (kind, v), k in longest.items():
+            if k < 2**level:
+                continue
+            for p, c in stretch(kind, v, level - 1, 2 ** (level - 1)).items():
+                older[name(kind, v, level, f"{p}_older")] = c
+            before = {p: F.col(name(kind, v, level, f"{p}_older")) for p in _PARTS[kind]}
+            for p, c in _combined(kind, stretch(kind, v, level - 1), before).items():
+                step[name(kind, v, level, p)] = c
+        df = df.withColumns(older).withColumns(step).drop(*older)
+
+    pieces: dict[str, list[dict[str, Column]]] = {}
+    lagged: dict[str, Column] = {}
+    for out, o in outputs.items():
+        kind, top = _KIND[o.how], o.k.bit_length() - 1
+        if kind in ("max", "min"):
+            # Overlapping stretches do no harm to an extreme.
+            places = [(top, 0)] + ([(top, o.k - 2**top)] if o.k > 2**top else [])
+        else:
+            places, back = [], 0
+            for level in range(top, -1, -1):
+                if o.k >> level & 1:
+                    places.append((level, back))
+                    back += 2**level
+        pieces[out] = []
+        for i, (level, back) in enumerate(places):
+            parts = stretch(kind, o.value, level, back)
+            lagged.update({f"_{out}_{i}_{p}": c for p, c in parts.items()})
+            pieces[out].append({p: F.col(f"_{out}_{i}_{p}") for p in parts})
+    df = df.withColumns(lagged)
+    for i in range(1, max(len(p) for p in pieces.values())):
         step = {}
-        for (p, v), k in wanted.items():
-            if k >= 2**level:
-                before = f"_{p}_{v}_{level - 1}"
-                older = F.lag(before, 2 ** (level - 1)).over(w)
-                step[f"_{p}_{v}_{level}"] = _joined(p, F.col(before), older)
+        for out, o in outputs.items():
+            if i < len(pieces[out]):
+                for p, c in _combined(_KIND[o.how], pieces[out][0], pieces[out][i]).items():
+                    step[f"_{out}_0_{p}"] = c
         df = df.withColumns(step)
 
-    def total(p: str, v: str, k: int) -> Column:
-        top = k.bit_length() - 1
-        if p in "xm":
-            stretch, rest = f"_{p}_{v}_{top}", k - 2**top
-            return _joined(p, F.col(stretch), F.lag(stretch, rest).over(w)) if rest else F.col(stretch)
-        out, offset = F.col(f"_{p}_{v}_{top}"), 2**top
-        for level in range(top - 1, -1, -1):
-            if k >> level & 1:
-                out = _joined(p, out, F.lag(f"_{p}_{v}_{level}", offset).over(w))
-                offset += 2**level
-        return out
-
-    sums = {}
-    for name, o in outputs.items():
-        column = f"_d_{o.value}" if o.how == "stddev" else o.value
-        for p in _NEEDS[o.how]:
-            sums[f"_{p}_{name}"] = total(p, column, o.k)
-    df = df.withColumns(sums)
-    results = {}
-    for name, o in outputs.items():
-        n = F.col(f"_n_{name}")
-        if o.how in ("avg", "full_avg"):
-            results[name] = F.when(n > 0 if o.how == "avg" else n == o.k, F.col(f"_s_{name}") / n)
+    results = []
+    for out, o in outputs.items():
+        total = pieces[out][0]
+        if o.how in ("max", "min"):
+            value = total["x"]
         elif o.how == "stddev":
-            spread = (F.col(f"_q_{name}") - F.col(f"_s_{name}") * F.col(f"_s_{name}") / n) / (n - 1)
-            results[name] = F.when(n > 1, F.sqrt(F.greatest(spread, F.lit(0.0))))
+            value = F.when(total["n"] > 1, F.sqrt(total["v"] / (total["n"] - 1)))
         else:
-            results[name] = F.col(f"_{_NEEDS[o.how]}_{name}")
-    return df.select(*columns, *[c.alias(n) for n, c in results.items()])
+            enough = total["n"] > 0 if o.how == "avg" else total["n"] == o.k
+            value = F.when(enough, total["s"] / total["n"])
+        results.append(value.alias(out))
+    return df.select(*columns, *results)
 
 
 def latest(df: DataFrame, key: str = "code", order: str = "date") -> DataFrame:
