@@ -122,6 +122,40 @@ DATASETS = {
 }
 
 
+def stored_schema(spec: Dataset) -> T.StructType:
+    """Types of the stored table. A table with a date key also has its month, the partition column."""
+    names = dict.fromkeys([*spec.aliases.values(), *spec.constants])
+    if spec.name == "daily_margin_interest":
+        names.update(dict.fromkeys(schemas.PUB_REASON.values()))
+
+    def kind(name: str) -> T.DataType:
+        if name in spec.dates or name in spec.lenient_dates:
+            return T.DateType()
+        if name in spec.integers:
+            return T.LongType()
+        return T.StringType() if name in spec.texts or name in spec.blank_texts else T.DoubleType()
+
+    fields = [T.StructField(n, kind(n)) for n in names]
+    if spec.stamped:
+        fields.append(T.StructField("_fetched_at", T.TimestampType()))
+    if spec.by and not spec.replace:
+        fields.append(T.StructField(tables.MONTH, T.StringType()))
+    return T.StructType(fields)
+
+
+def setup(spark: SparkSession, database: str) -> int:
+    """Create the raw tables that are missing; returns how many statements ran."""
+    statements = []
+    for spec in DATASETS.values():
+        schema = stored_schema(spec)
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
+        layout = f" PARTITIONED BY ({tables.MONTH})" if tables.MONTH in schema.names else ""
+        statements.append(
+            f"CREATE TABLE IF NOT EXISTS {table_name(database, spec.name)} ({columns}) USING parquet{layout}"
+        )
+    return tables.create_if_missing(spark, ";".join(statements))
+
+
 def _coerce(spec: Dataset, name: str, kind: T.DataType) -> Column:
     is_text = isinstance(kind, T.StringType)
     if name in spec.dates:
@@ -251,8 +285,10 @@ def run_group(
 ) -> DataFrame:
     """Run the datasets of a group and return the run log: rows per dataset and their total.
 
-    A dataset that may fail counts 0 when it does.
+    A dataset that may fail counts 0 when it does. The daily run first restores tables that are missing.
     """
+    if group == "daily":
+        setup(spark, database)
     counts: dict[str, int] = {}
     for name in GROUPS[group]:
         spec, table = DATASETS[name], table_name(database, name)

@@ -57,7 +57,8 @@ def _laid_out(df: DataFrame, date_column: str | None, sort: list[str]) -> DataFr
     return (
         df.withColumn(MONTH, F.date_format(date_column, "yyyy-MM"))
         .hint("rebalance", F.col(MONTH))
-        .sortWithinPartitions(*sort)
+        # The month leads the sort: the writer needs it, and would otherwise sort again and lose the rest.
+        .sortWithinPartitions(MONTH, *sort)
     )
 
 
@@ -194,8 +195,8 @@ def upsert(
 ) -> int:
     """Update rows by key, insert the others, keep everything else. Returns the size of the batch.
 
-    Parquet has no MERGE. The months the batch touches are joined with it, the result is written to a
-    staging table, and the staging table is swapped in by a dynamic partition overwrite. A lost executor
+    Parquet has no MERGE. A batch of dates the table does not have is appended. Otherwise the months the batch
+    touches are joined with it, the result is written to a staging table, and the staging table is swapped in by a dynamic partition overwrite. A lost executor
     only repeats tasks; after a lost driver the staging table still holds the merged months.
     """
     spark = df.sparkSession
@@ -214,15 +215,21 @@ def upsert(
         target = stored.filter(F.col(MONTH).isin(batch.months))
         if batch.bounds is not None:
             target = bounded_target(target, column, batch.bounds)
+            overlap = target.filter(F.col(column).between(*[F.lit(b) for b in batch.bounds]))
+        if batch.bounds is None or overlap.isEmpty():
+            # No stored row has a date of the batch, so no key can match: the usual case of a new day.
+            return append(df, table, column, keys)
         target = target.drop(MONTH)
     staging = f"{table}__staging_{uuid.uuid4().hex[:8]}"
-    result = _laid_out(merged(target, df, keys), column if by_month else None, keys)
+    result = merged(target, df, keys)
+    if by_month:
+        result = result.withColumn(MONTH, F.date_format(column, "yyyy-MM"))
     result.select(*stored.columns).write.format("parquet").saveAsTable(staging)
     fresh = spark.table(staging)
     if by_month:
         dated = fresh.filter(F.col(MONTH).isNotNull())
         with _dynamic_partitions(spark):
-            dated.hint("rebalance", F.col(MONTH)).sortWithinPartitions(*keys).write.mode("overwrite").insertInto(table)
+            dated.hint("rebalance", F.col(MONTH)).sortWithinPartitions(MONTH, *keys).write.mode("overwrite").insertInto(table)
         undated = fresh.filter(F.col(MONTH).isNull())
         if not undated.isEmpty():
             undated.write.insertInto(table)

@@ -54,7 +54,7 @@ class Market:
             if by_month:
                 df = df.withColumn("month", F.date_format(by_month, "yyyy-MM")).hint("rebalance", F.col("month"))
             if sort:
-                df = df.sortWithinPartitions(*sort)
+                df = df.sortWithinPartitions(*(["month"] if by_month else []), *sort)
             writer = df.write.mode("overwrite")
             if by_month:
                 writer = writer.partitionBy("month")

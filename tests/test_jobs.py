@@ -153,3 +153,16 @@ def test_pages_and_gzip_files(spark, tmp_path):
     (tmp_path / "b.csv.gz").write_bytes(b"not a gzip file")
     out = readers.read_bulk_csv(spark, [f"{tmp_path}/a.csv.gz", f"{tmp_path}/b.csv.gz"], ["Code", "C"])
     assert [(r.Code, r.C) for r in out.collect()] == [("1301", "5")]
+
+
+def test_setup_creates_every_raw_table_once(spark, database):
+    assert jobs.setup(spark, database) == jobs.setup(spark, database) == len(jobs.DATASETS)
+    names = {t.name for t in spark.catalog.listTables(database)}
+    assert {"equity_master", "daily_bars", "index_bars", "daily_margin_interest"} <= names
+    assert len(spark.table(f"{database}.financial_summary").columns) == 108
+    df = text(spark, ["Date", "Code", "O"], ("2024-01-05", "1301", "1"))
+    assert jobs.run(df, jobs.DATASETS["daily_bars"], f"{database}.daily_bars") == 1
+    row = spark.table(f"{database}.daily_bars").first()
+    assert (row.code, row.open, row.close, row.month) == ("01301", 1.0, None, "2024-01")
+    assert jobs.run(df.withColumn("O", F.lit("2")), jobs.DATASETS["daily_bars"], f"{database}.daily_bars") == 1
+    assert [r.open for r in spark.table(f"{database}.daily_bars").collect()] == [2.0]

@@ -141,3 +141,22 @@ def test_failed_upsert_leaves_the_table_whole(spark, table):
     with pytest.raises(Exception):
         tables.upsert(poison, table, ["date", "code"])
     assert content(spark, table) == before
+
+
+def test_a_new_day_is_appended_without_touching_stored_files(spark, table):
+    before = set(spark.table(table).inputFiles())
+    tables.upsert(frame(spark, [("2024-03-02", "A", 5.0, "n")]), table, ["date", "code"])
+    assert before < set(spark.table(table).inputFiles())
+    assert tables.row_count(spark, table) == 5
+
+
+def test_files_are_sorted_by_key_within_a_month(spark, database):
+    import random
+
+    rows = [(f"2024-01-{d:02d}", f"{c:03d}", 1.0, "x") for d in range(1, 29) for c in range(40)]
+    random.Random(1).shuffle(rows)
+    name = f"{database}.sorted"
+    tables.overwrite(frame(spark, rows), name, "date", ["code", "date"])
+    for path in spark.table(name).inputFiles():
+        got = [(r.code, r.date) for r in spark.read.parquet(path).collect()]
+        assert got == sorted(got)
