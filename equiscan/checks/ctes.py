@@ -263,7 +263,7 @@ CTES: dict[str, str] = {
           AND volume / NULLIF(av20, 0) >= 1.5 AND c5 IS NOT NULL""",
     "annual": """
         SELECT * FROM (
-          SELECT *, year(disclosed_date) AS disc_year, row_number() OVER (
+          SELECT *, CAST(year(disclosed_date) AS INTEGER) AS disc_year, row_number() OVER (
             PARTITION BY code, year(disclosed_date) ORDER BY disclosed_date DESC, document_type DESC) AS rn
           FROM financial_summary
           WHERE (document_type LIKE '%FY%' OR document_type LIKE '%Annual%' OR document_type LIKE '%通期%') AND net_sales > 0)
@@ -291,8 +291,11 @@ CTES: dict[str, str] = {
                CASE WHEN equity_to_asset_ratio < 0.20 THEN 'FAIL' WHEN om < 0 THEN 'FAIL' ELSE 'PASS' END AS financial_health
         FROM fund_rates""",
     "score_history": """
-        SELECT DATE '2001-06-23' AS snapshot_date, * FROM integrated_prev WHERE screening_status = 'ACTIVE'
-        UNION ALL SELECT DATE '2001-06-30', * FROM integrated WHERE screening_status = 'ACTIVE'""",
+        SELECT * REPLACE (CAST(volatility_score AS BIGINT) AS volatility_score, CAST(chart_score AS BIGINT) AS chart_score,
+                          CAST(kubota_trade_score AS BIGINT) AS kubota_trade_score,
+                          CAST(growth_invest_score AS BIGINT) AS growth_invest_score)
+        FROM (SELECT DATE '2001-06-23' AS snapshot_date, * FROM integrated_prev WHERE screening_status = 'ACTIVE'
+              UNION ALL SELECT DATE '2001-06-30', * FROM integrated WHERE screening_status = 'ACTIVE')""",
 }
 
 

@@ -228,9 +228,8 @@ def _(d):
 )
 def _(d):
     database = scratch_database(d)
-    statements = schemas.EMPTY_TABLES.format(**dict.fromkeys(schemas.DATABASES, database))
-    tables.create_if_missing(d.spark, statements)
-    tables.create_if_missing(d.spark, statements)
+    for _ in range(2):
+        jobs.setup_namespaces(d.spark, dict.fromkeys(schemas.DATABASES, database))
     tables.append(d.external_prices(), f"{database}.external_prices")
     return d.spark.table(f"{database}.external_prices")
 
@@ -257,8 +256,8 @@ def _(d):
 
 
 SNAPSHOT_SQL = f"""
-    SELECT DATE '2001-06-30' AS snapshot_date, {", ".join(c for c in tables.SNAPSHOT_COLUMNS)}
-    FROM integrated WHERE screening_status = 'ACTIVE'"""
+    SELECT snapshot_date, {", ".join(tables.SNAPSHOT_COLUMNS)}
+    FROM score_history WHERE snapshot_date = DATE '2001-06-30'"""
 
 
 @query("snapshot_scores", SNAPSHOT_SQL)

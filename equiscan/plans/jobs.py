@@ -156,6 +156,11 @@ def setup(spark: SparkSession, database: str) -> int:
     return tables.create_if_missing(spark, ";".join(statements))
 
 
+def setup_namespaces(spark: SparkSession, databases: dict[str, str]) -> int:
+    """Create the tables of the other namespaces; ``databases`` maps each namespace to its database."""
+    return tables.create_if_missing(spark, schemas.EMPTY_TABLES.format(**databases))
+
+
 def _coerce(spec: Dataset, name: str, kind: T.DataType) -> Column:
     is_text = isinstance(kind, T.StringType)
     if name in spec.dates:
