@@ -109,7 +109,7 @@ CTES: dict[str, str] = {
                CASE o_orderstatus WHEN 'F' THEN 'domestic' WHEN 'O' THEN 'us' ELSE 'fund' END AS kind,
                CAST(CAST(floor(o_custkey / 75) AS BIGINT) AS VARCHAR) AS g,
                {pad('CAST(floor(o_custkey / 15) AS BIGINT)')} AS stock, o_orderpriority AS account,
-               o_orderkey % 5 <> 0 AS bought, 1 + o_orderkey % 100 AS qty,
+               o_orderpriority <> '5-LOW' AS bought, 1 + o_orderkey % 100 AS qty,
                CAST(round(o_totalprice / 100) AS BIGINT) AS price, 100 + o_orderkey % 50 AS fx
         FROM orders""",
     "ledger_domestic": """
@@ -141,14 +141,15 @@ CTES: dict[str, str] = {
         SELECT * FROM ledger_domestic UNION ALL SELECT * FROM ledger_us UNION ALL SELECT * FROM ledger_fund""",
     "keyed_trades": """
         SELECT *, CASE WHEN trim(code) <> '' THEN code ELSE company_name END AS pos_key,
-               CASE WHEN amount_unit = 'per_10k' THEN amount_native / 10000 ELSE amount_native END AS native
+               CASE WHEN amount_unit <> 'per_10k' THEN amount_native END AS plain,
+               CASE WHEN amount_unit = 'per_10k' THEN amount_native END AS scaled
         FROM trades""",
     "first_trades": """
         SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY pos_key
           ORDER BY trade_date, account_type, company_name, product_type, quantity, unit_price) AS rn FROM keyed_trades)
         WHERE rn = 1""",
     "position_sums": """
-        SELECT pos_key, sum(quantity) AS shares, sum(amount) AS purchase_amount, sum(native) AS purchase_amount_native,
+        SELECT pos_key, sum(quantity) AS shares, sum(amount) AS purchase_amount, coalesce(sum(plain) + sum(scaled) / 10000, sum(plain), sum(scaled) / 10000) AS purchase_amount_native,
                min(trade_date) AS purchase_date, max(trade_date) AS latest_purchase_date, count(*) AS tx_count
         FROM keyed_trades GROUP BY pos_key""",
     "holdings": f"""

@@ -11,7 +11,6 @@ from datetime import date, timedelta
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from equiscan.operators.aggregates import mean_by_local_code
 from equiscan.plans import backtest, integrate, portfolio
 from equiscan.sinks.tables import snapshot
 from equiscan.sources import ledger
@@ -69,5 +68,4 @@ class Desk(Market):
 
     def watched(self) -> DataFrame:
         """Holdings as the dashboard sees them, with the ATR of their stock."""
-        listed = portfolio.holdings_list(self.summary())
-        return listed.join(mean_by_local_code(self.scores()), "code", "left")
+        return portfolio.with_atr(portfolio.holdings_list(self.summary()), self.scores())

@@ -120,7 +120,7 @@ def _(d):
 )
 def _(d):
     proxies = d.fund_proxies().withColumnRenamed("asset_name", "company_name")
-    return d.holdings().select("company_name").join(proxies, "company_name", "left")
+    return joins.left_on(d.holdings().select("company_name"), proxies, "company_name")
 
 
 @query("external_us_price", "SELECT * FROM us_price")

@@ -41,14 +41,16 @@ def lag_year(annual: DataFrame, values: list[str], years: int = 3, key: str = "c
     return annual.join(earlier, [key, year], "left")
 
 
-def _scattered_key(df: DataFrame, column: str, only: str) -> DataFrame:
-    """Add ``_key``: ``column`` for rows of product type ``only``, else a filler no code can equal.
+def _scattered_key(df: DataFrame, column: str, only: str | None) -> DataFrame:
+    """Add ``_key``: ``column`` for rows of product type ``only`` (of any, if None), else a filler no code can equal.
 
     A left join sends every NULL key to one partition. Rows that cannot match get fillers spread by a hash
     of the row instead, so a large share of code-less rows does not end up in one task.
     """
     filler = F.concat(F.lit("#"), F.pmod(F.xxhash64(*df.columns), F.lit(4096)).cast("string"))
-    usable = (F.col("product_type") == only) & F.col(column).isNotNull()
+    usable = F.col(column).isNotNull()
+    if only is not None:
+        usable = usable & (F.col("product_type") == only)
     return df.withColumn("_key", F.when(usable, F.col(column)).otherwise(filler))
 
 
@@ -67,6 +69,12 @@ def join_where(left: DataFrame, right: DataFrame, left_on: str, right_on: str, o
     return _scattered_key(left, left_on, only).join(keyed, "_key", "left").drop("_key")
 
 
+def left_on(left: DataFrame, right: DataFrame, column: str) -> DataFrame:
+    """Left join on a column that may be NULL on the left."""
+    keyed = right.withColumnRenamed(column, "_key")
+    return _scattered_key(left, column, None).join(keyed, "_key", "left").drop("_key")
+
+
 def keep_listed(df: DataFrame, chosen: DataFrame, key: str = "code") -> DataFrame:
     return df.join(chosen.select(key), key, "left_semi")
 

@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from equiscan.functions import bar_gauge, basis_code, clip, safe_divide
-from equiscan.operators.aggregates import latest_fx
+from equiscan.operators.aggregates import latest_fx, mean_by_local_code
 from equiscan.operators.filters import lookback
-from equiscan.operators.joins import attach_single_row, join_by_prefix, join_where
+from equiscan.operators.joins import attach_single_row, join_by_prefix, join_where, left_on
 
 # Yen per dollar when no rate is known, and the unit count fund prices refer to.
 DEFAULT_FX = 150.0
@@ -40,14 +40,15 @@ def positions(trades: DataFrame) -> DataFrame:
     """
     label = F.struct("code", "company_name", "product_type", "account_type")
     first_order = F.struct("trade_date", "account_type", "company_name", "product_type", "quantity", "unit_price")
-    native = F.when(F.col("amount_unit") == "per_10k", F.col("amount_native") / FUND_UNIT).otherwise(
-        F.col("amount_native")
-    )
+    per_10k = F.col("amount_unit") == "per_10k"
+    # Whole amounts are summed before the division, so the total does not depend on their order.
+    plain, scaled = F.sum(F.when(~per_10k, F.col("amount_native"))), F.sum(F.when(per_10k, F.col("amount_native")))
+    native = F.coalesce(plain + scaled / FUND_UNIT, plain, scaled / FUND_UNIT)
     grouped = trades.groupBy(basis_code("code", "company_name").alias("key")).agg(
         F.min_by(label, first_order).alias("first"),
         F.sum("quantity").alias("shares"),
         F.sum("amount").alias("purchase_amount"),
-        F.sum(native).alias("purchase_amount_native"),
+        native.alias("purchase_amount_native"),
         F.min("trade_date").alias("purchase_date"),
         F.max("trade_date").alias("latest_purchase_date"),
         F.count("*").alias("tx_count"),
@@ -176,6 +177,11 @@ def holdings_list(summary: DataFrame) -> DataFrame:
     )
 
 
+def with_atr(holdings: DataFrame, scores: DataFrame) -> DataFrame:
+    """Holdings with the ATR of their stock: the mean over codes that share the four characters."""
+    return left_on(holdings, mean_by_local_code(scores, "atr_pct"), "code")
+
+
 # ---- prices from outside ----------------------------------------------------------------------
 
 

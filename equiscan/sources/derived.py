@@ -12,6 +12,7 @@ from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from equiscan.functions import pad_code
 from equiscan.session import run_root
@@ -20,7 +21,7 @@ AS_OF = date(2001, 6, 30)
 # Real ship dates are moved so that the last one falls on AS_OF.
 SHIFT_DAYS = 127
 
-_stored: dict[tuple[str, str, str], str] = {}
+_stored: dict[tuple[str, str, str], tuple[str, T.StructType]] = {}
 
 
 def session_day(rank: Column) -> Column:
@@ -59,12 +60,9 @@ class Market:
             if by_month:
                 writer = writer.partitionBy("month")
             writer.parquet(path)
-            _stored[key] = path
-        path = _stored[key]
-        # A fixed schema for the partition column: left to inference it would become a date.
-        with_month = self.spark.read.option("inferPartitionTypes", False)
-        df = with_month.parquet(path)
-        return df.withColumn("month", F.col("month").cast("string")) if by_month else df
+            _stored[key] = (path, df.schema)
+        path, schema = _stored[key]
+        return self.spark.read.schema(schema).parquet(path)
 
     # ---- price series -------------------------------------------------------------------------
 
@@ -235,7 +233,7 @@ class Market:
             F.when(kind == "domestic", stock).when(kind == "us", F.concat(F.lit("US"), group)).alias("code"),
             name.alias("name"),
             F.col("o_orderpriority").alias("account"),
-            F.when(F.col("o_orderkey") % 5 == 0, "売付").otherwise("買付").alias("side"),
+            F.when(F.col("o_orderpriority") == "5-LOW", "売付").otherwise("買付").alias("side"),
             (1 + F.col("o_orderkey") % 100).alias("qty"),
             F.round(F.col("o_totalprice") / 100).cast("bigint").alias("price"),
             (100 + F.col("o_orderkey") % 50).alias("fx"),
