@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SESSION_SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
@@ -40,11 +42,13 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8, **setti
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, named by ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (local tests) does a local temporary folder stand in for it.
+    Only where that setting is absent and the master is local (tests) does a local temporary folder stand in for it.
     """
     configured = spark.conf.get(_CHECKPOINT_DIR, None) or spark.sparkContext.getConf().get(_CHECKPOINT_DIR)
     if configured:
         return configured.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError(f"set {_CHECKPOINT_DIR} to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _local_fallback:
         _local_fallback[app] = tempfile.mkdtemp(prefix="equiscan-")
@@ -56,4 +60,25 @@ def run_root(spark: SparkSession) -> str:
     app = spark.sparkContext.applicationId
     if app not in _run_roots:
         _run_roots[app] = f"{shared_dir(spark)}/equiscan-{app}-{uuid.uuid4().hex[:8]}"
+        _remove_at_end(spark, _run_roots[app])
     return _run_roots[app]
+
+
+def _remove_at_end(spark: SparkSession, folder: str) -> None:
+    """The file system removes the folder when the driver ends, so a run leaves no copies behind."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(path)
+    files.deleteOnExit(path)
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once below the shared folder and read it back: cuts the lineage and survives lost executors."""
+    path = f"{run_root(df.sparkSession)}/{name}-{uuid.uuid4().hex[:12]}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def broadcast_up_to(df: DataFrame, rows: int) -> DataFrame:
+    """Hint a broadcast only for a side counted to have at most ``rows`` rows; beyond that the planner shuffles."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
