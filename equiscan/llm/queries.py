@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from equiscan.llm import packing
+from equiscan.llm import packing, quality_classifier, quality_rules, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -27,3 +27,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
     return pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+
+
+@query
+def op2_hypergeometric_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = sharding.read_located(spark, f"{sf_dir}/documents.parquet").select("doc_id", "text", "_file", "_row")
+    text = F.coalesce("text", F.lit("")).cast("binary")
+    return sharding.shard_rows(docs, 8).select(
+        "doc_id",
+        (F.octet_length(text) + 1).cast("long").alias("size"),
+        F.crc32(text).alias("text_crc32"),
+        F.lit("rows").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+@query
+def op3_boosted_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op4_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.rate_documents(table(spark, sf_dir, "documents"))
