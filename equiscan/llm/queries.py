@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from equiscan.llm import packing, quality_classifier, quality_rules, sharding
+from equiscan.llm import jaccard_join, packing, quality_classifier, quality_rules, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -52,3 +52,8 @@ def op3_boosted_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.rate_documents(table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_parity_sketch_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.linked_documents(table(spark, sf_dir, "documents"), words=4, percent=85)
