@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from equiscan.llm import jaccard_join, packing, quality_classifier, quality_rules, sharding
+from equiscan.llm import decontamination, jaccard_join, packing, quality_classifier, quality_rules, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -57,3 +57,30 @@ def op4_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_parity_sketch_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.linked_documents(table(spark, sf_dir, "documents"), words=4, percent=85)
+
+
+@query
+def op8_positional_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+ORACLES["op8_positional_decontamination"] = f"""
+WITH docs AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+items AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+item_starts AS (SELECT item_id, w, least(len(w), 13) AS m, unnest(range(1, len(w) - least(len(w), 13) + 2)) AS s FROM items WHERE len(w) > 0),
+item_windows AS (SELECT DISTINCT item_id, m, array_to_string(w[s : s + m - 1], ' ') AS phrase FROM item_starts),
+lengths AS (SELECT DISTINCT m FROM item_windows),
+doc_starts AS (SELECT doc_id, w, m, unnest(range(1, len(w) - m + 2)) AS s FROM docs, lengths WHERE len(w) >= m),
+doc_windows AS (SELECT doc_id, m, s, array_to_string(w[s : s + m - 1], ' ') AS phrase FROM doc_starts),
+found AS (SELECT d.doc_id, d.s, d.m, i.item_id FROM doc_windows d JOIN item_windows i ON d.m = i.m AND d.phrase = i.phrase),
+places AS (SELECT DISTINCT doc_id, unnest(range(s, s + m)) AS place FROM found),
+hit AS (SELECT doc_id, count(*) AS n_hit FROM places GROUP BY doc_id),
+named AS (SELECT DISTINCT doc_id, item_id::VARCHAR AS item_id FROM found),
+item_lists AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM named GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM docs LEFT JOIN hit USING (doc_id) LEFT JOIN item_lists USING (doc_id)"""

@@ -23,7 +23,7 @@ MAX_PARTITIONS = 2_000_000
 #: Files whose row of the matrix, some 200 bytes, is still broadcast.
 BROADCAST_FILES = 100_000
 #: Rows that one task permutes.
-BLOCK_ROWS = 16_384
+BLOCK_ROWS = 4_096
 
 
 def shard_sizes(rows: int, shards: int) -> np.ndarray:
