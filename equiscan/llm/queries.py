@@ -8,7 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from equiscan.llm import decontamination, jaccard_join, license_scan, packing, quality_classifier, quality_rules, secret_scan, sharding
+from equiscan.llm import (
+    decontamination,
+    jaccard_join,
+    license_scan,
+    packing,
+    pii,
+    quality_classifier,
+    quality_rules,
+    secret_scan,
+    sharding,
+    token_counts,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -98,3 +109,18 @@ def op9_linked_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     written = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(written(base), 256).alias("base_sha256"), written("spans").alias("spans"))
+
+
+@query
+def op6_viterbi_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+#: The key of the registered query; a deployment passes its own secret.
+PII_KEY = b"key of the registered query"
+
+
+@query
+def op10_feistel_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
+    return docs.select("doc_id", "text", *(F.col(f"pii_counts.{k}").alias(f"n_{k}") for k in pii.KINDS))
