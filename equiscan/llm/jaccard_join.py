@@ -8,7 +8,8 @@ more words than there are empty ones, and an equal word is the join key. A secon
 rejects pairs whose Hamming distance exceeds the allowed difference before the sets themselves are compared.
 
 Equal sets are one node throughout. Nodes that share a word are first compared with the smallest node of that word only;
-what is linked then is one component, and all pairs are compared only between nodes of different components.
+what is linked then is one component. Where large groups stay apart, they are compared with other leaders round by round.
+All pairs are compared only between nodes of different components, by Hamming distance within the join.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from equiscan.llm.components import connected_components
@@ -31,6 +32,8 @@ BAND = 1.5
 #: Tries with other hashes for a set that leaves too many words of its sketch empty; after them its shingles are keys.
 TRIES = 3
 PARITY_BITS = 512
+#: Other leaders of a key that its nodes are compared with in a round, and pairs for every row up to which all are compared.
+LEADERS, PAIRS_A_ROW = 4, 4
 #: Node fingerprints a task remembers, so that copies within a task emit once.
 SEEN = 200_000
 #: Ids that are still broadcast to pick texts, 8 bytes each.
@@ -240,48 +243,67 @@ def linked_documents(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
         "jaccard-shingles",
     )
 
-    def compared(pairs: DataFrame) -> DataFrame:
-        """``pairs`` (a, b) with whether they link; a pair may come twice."""
-        a, b = (members.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("parity").alias(f"p_{c}")) for c in "ab")
-        apart = F.aggregate(F.zip_with("p_a", "p_b", lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("long")), F.lit(0).cast("long"), lambda s, x: s + x)
-        near = pairs.join(a, "a").join(b, "b").where(
-            (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & ((100 + percent) * apart <= (100 - percent) * (F.col("n_a") + F.col("n_b")))
-        )
+    def may_link(a: str, b: str) -> Column:
+        """Whether sizes and Hamming distance leave a link possible, for nodes in columns n_a, p_a and n_b, p_b."""
+        apart = sum((F.bit_count(F.get(f"p_{a}", F.lit(i)).bitwiseXOR(F.get(f"p_{b}", F.lit(i)))) for i in range(PARITY_BITS // 64)), F.lit(0))
+        sizes = F.col(f"n_{a}"), F.col(f"n_{b}")
+        return (100 * F.least(*sizes) >= percent * F.greatest(*sizes)) & ((100 + percent) * apart <= (100 - percent) * (sizes[0] + sizes[1]))
+
+    def described_as(c: str) -> DataFrame:
+        return members.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("parity").alias(f"p_{c}"))
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        """Of ``pairs`` (a, b), which may repeat, those that link, written down."""
+        near = pairs.join(described_as("a"), "a").join(described_as("b"), "b").where(may_link("a", "b"))
         both = (
             near.select("a", "b", "n_a", "n_b")
             .join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("s_a")), "a")
             .join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("s_b")), "b")
         )
         common = F.size(F.array_intersect("s_a", "s_b"))
-        return both.where(100 * common >= percent * (F.col("n_a") + F.col("n_b") - common)).select("a", "b")
-
-    led = shared.where("node <> leader")
-    first = staged(led.groupBy(F.col("node").alias("a")).agg(F.min("leader").alias("b")), "jaccard-first")
-    links = staged(compared(first), "jaccard-links")
-    component = staged(connected_components(links), "jaccard-components")
-
-    def differing(pairs: DataFrame) -> DataFrame:
-        """Pairs whose ends are not known to be in one component."""
-        of = lambda c: component.select(F.col("node").alias(c), F.col("component").alias(f"c_{c}"))
-        found = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
-        return found.where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b")
-
-    # The other leaders of each node, then whatever is still apart though it shares a key.
-    second = differing(led.select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct().join(first, ["a", "b"], "left_anti"))
-    more = staged(compared(second), "jaccard-links")
-    if not more.isEmpty():
+        return staged(both.where(100 * common >= percent * (F.col("n_a") + F.col("n_b") - common)).select("a", "b"), "jaccard-links")
+
+    def components(links: DataFrame) -> DataFrame:
+        return staged(connected_components(links), "jaccard-components")
+
+    def still_apart(component: DataFrame) -> DataFrame:
+        """(sig, node, c) of the keys that nodes of several components share."""
+        labelled = shared.join(component, "node", "left").select("sig", "node", F.coalesce("component", "node").alias("c"))
+        mixed = labelled.groupBy("sig").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("sig")
+        return staged(labelled.join(mixed, "sig"), "jaccard-apart")
+
+    led = shared.where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b"))
+    first = staged(led.groupBy("a").agg(F.min("b").alias("b")), "jaccard-first")
+    links = linked(first)
+    links = links.union(linked(led.distinct().join(first, ["a", "b"], "left_anti")))
+    component = components(links)
+    apart = still_apart(component)
+    round_no = 0
+    while True:
+        # Pairs of different components are what comparing everything would cost: it is done when that is little, or when
+        # comparing with other leaders brings no more links.
+        by_key = apart.groupBy("sig", "c").count().groupBy("sig").agg(F.sum("count").alias("n"), F.sum(F.col("count") * F.col("count")).alias("own"))
+        rows, pairs = by_key.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum((F.col("n") * F.col("n") - F.col("own")) / 2), F.lit(0))).first()
+        if pairs <= PAIRS_A_ROW * rows:
+            break
+        orders = [F.xxhash64("node", F.lit(round_no * LEADERS + i)) for i in range(LEADERS)]
+        leaders = apart.groupBy("sig").agg(F.array(*(F.struct(F.min_by("node", o).alias("b"), F.min_by("c", o).alias("c_b")) for o in orders)).alias("leaders"))
+        others = apart.join(leaders, "sig").select(F.col("node").alias("a"), "c", F.explode("leaders").alias("l")).where("c <> l.c_b")
+        more = linked(others.select("a", F.col("l.b").alias("b")).distinct())
+        round_no += 1
+        if more.isEmpty():
+            break
         links = links.union(more)
-        component = staged(connected_components(links), "jaccard-components")
-    labelled = shared.join(component, "node", "left").select("sig", "node", F.coalesce("component", "node").alias("c"))
-    mixed = labelled.groupBy("sig").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("sig")
-    apart = staged(labelled.join(mixed, "sig"), "jaccard-apart")
-    one, other = apart.select("sig", F.col("node").alias("a"), F.col("c").alias("c_a")), apart.select("sig", F.col("node").alias("b"), F.col("c").alias("c_b"))
-    rest = one.join(other, (one["sig"] == other["sig"]) & (F.col("c_a") != F.col("c_b")) & (F.col("a") > F.col("b"))).select("a", "b").distinct()
-    # Pairs with a leader are decided: they have been compared above.
-    rest = rest.join(led.select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct(), ["a", "b"], "left_anti")
-    more = staged(compared(rest), "jaccard-links")
+        component = components(links)
+        apart = still_apart(component)
+
+    full = apart.join(members.select("node", "n", "parity"), "node")
+    one, other = (full.select(F.col("sig").alias(f"sig_{c}"), F.col("node").alias(c), F.col("c").alias(f"c_{c}"), F.col("n").alias(f"n_{c}"), F.col("parity").alias(f"p_{c}")) for c in "ab")
+    rest = one.join(other, (F.col("sig_a") == F.col("sig_b")) & (F.col("c_a") != F.col("c_b")) & (F.col("a") > F.col("b")) & may_link("a", "b"))
+    # Pairs with the first leader of a key are decided: they have been compared above.
+    more = linked(rest.select("a", "b").distinct().join(led.distinct(), ["a", "b"], "left_anti"))
     if not more.isEmpty():
-        component = staged(connected_components(links.union(more)), "jaccard-components")
+        component = components(links.union(more))
 
     smallest = nodes.join(component, "node").groupBy("component").agg(F.min("doc").alias("smallest"))
     placed = nodes.select("node", "doc").join(component, "node", "left").join(smallest, "component", "left").select("node", F.coalesce("smallest", "doc").alias("component_id"))
