@@ -121,7 +121,8 @@ def find_contamination(
         ),
         "benchmark-candidates",
     )
-    joined = texts.select("doc", "key", words_of(F.col("text")).alias("words")).join(broadcast_up_to(per_document, BROADCAST_DOCUMENTS), F.col("key") == F.col("k"), "left")
+    # Words are split behind the join, so that a shuffle, where the candidates are too many for a broadcast, moves texts.
+    joined = texts.join(broadcast_up_to(per_document, BROADCAST_DOCUMENTS), F.col("key") == F.col("k"), "left").withColumn("words", words_of(F.col("text")))
     found = joined.select(
         "doc",
         F.size("words").cast("long").alias("n_words"),
