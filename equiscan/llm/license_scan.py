@@ -47,7 +47,7 @@ NOTICES = [
 BASE_PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
 #: Words of a notice in the index; distinct words of a document that are looked up; words that must agree on a beginning.
-INDEXED, LOOKED_UP, AGREE = 5, 12, 2
+INDEXED, LOOKED_UP, AGREE = 3, 12, 2
 
 
 def _offset(text: str, phrase: str) -> int:
