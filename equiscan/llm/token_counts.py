@@ -28,7 +28,8 @@ class PieceCounter(dict):
         import ahocorasick
 
         super().__init__()
-        self.byte_fallback = byte_fallback
+        # Unknown characters become byte pieces only in a vocabulary that has them all.
+        self.byte_fallback = byte_fallback and {f"<0x{b:02X}>" for b in range(256)} <= {piece for piece, _ in vocabulary}
         self.unknown = min(score for _, score in vocabulary) - UNKNOWN_PENALTY
         self.automaton = ahocorasick.Automaton()
         for piece, score in vocabulary:
