@@ -32,8 +32,9 @@ BAND = 1.5
 #: Tries with other hashes for a set that leaves too many words of its sketch empty; after them its shingles are keys.
 TRIES = 3
 PARITY_BITS = 512
-#: Other leaders of a key that its nodes are compared with in a round, and pairs for every row up to which all are compared.
-LEADERS, PAIRS_A_ROW = 4, 4
+#: Other leaders of a key that its nodes are compared with in a round; pairs for every row up to which all are compared,
+#: by a few machine instructions each; and the share of pairs a round must leave at most for another one to follow.
+LEADERS, PAIRS_A_ROW, ROUND_LEAVES = 4, 64, 0.8
 #: Node fingerprints a task remembers, so that copies within a task emit once.
 SEEN = 200_000
 #: Ids that are still broadcast to pick texts, 8 bytes each.
@@ -278,14 +279,15 @@ def linked_documents(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     links = links.union(linked(led.distinct().join(first, ["a", "b"], "left_anti")))
     component = components(links)
     apart = still_apart(component)
-    round_no = 0
+    round_no, last_pairs = 0, float("inf")
     while True:
         # Pairs of different components are what comparing everything would cost: it is done when that is little, or when
-        # comparing with other leaders brings no more links.
+        # comparing with other leaders brings few more links.
         by_key = apart.groupBy("sig", "c").count().groupBy("sig").agg(F.sum("count").alias("n"), F.sum(F.col("count") * F.col("count")).alias("own"))
         rows, pairs = by_key.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum((F.col("n") * F.col("n") - F.col("own")) / 2), F.lit(0))).first()
-        if pairs <= PAIRS_A_ROW * rows:
+        if pairs <= PAIRS_A_ROW * rows or pairs > ROUND_LEAVES * last_pairs:
             break
+        last_pairs = pairs
         orders = [F.xxhash64("node", F.lit(round_no * LEADERS + i)) for i in range(LEADERS)]
         leaders = apart.groupBy("sig").agg(F.array(*(F.struct(F.min_by("node", o).alias("b"), F.min_by("c", o).alias("c_b")) for o in orders)).alias("leaders"))
         others = apart.join(leaders, "sig").select(F.col("node").alias("a"), "c", F.explode("leaders").alias("l")).where("c <> l.c_b")
