@@ -215,7 +215,7 @@ CTES: dict[str, str] = {
                s.price_strength_score, coalesce(s.latest_close, u.price_jpy, f.price_jpy) AS price
         FROM positions_yen p
         LEFT JOIN integrated s
-          ON (CASE WHEN length(s.code) <= 5 THEN left(s.code, 4) ELSE left(s.code, length(s.code) - 1) END) = p.code
+          ON left(s.code, 4) = p.code
          AND p.product_type = 'domestic'
         LEFT JOIN external_prices u ON u.ticker = p.code AND p.product_type = 'us' AND u.asset_type = 'us'
         LEFT JOIN external_prices f
@@ -231,7 +231,7 @@ CTES: dict[str, str] = {
         SELECT h.* EXCLUDE (total_shares, avg_cost_per_share, total_cost), h.total_shares AS shares,
                h.avg_cost_per_share AS purchase_price, h.total_cost AS purchase_amount, a.atr_pct
         FROM holdings_summary h LEFT JOIN (
-          SELECT CASE WHEN length(code) <= 5 THEN left(code, 4) ELSE left(code, length(code) - 1) END AS code4,
+          SELECT left(code, 4) AS code4,
                  avg(atr_pct) AS atr_pct FROM integrated GROUP BY 1) a ON a.code4 = h.code""",
     "backtest_lag": f"""
         SELECT b.code, b.date, b.high, b.low, b.close, b.volume,

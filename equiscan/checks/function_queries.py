@@ -136,8 +136,7 @@ def _(d):
 
 @query(
     "S11",
-    "SELECT code, CASE WHEN length(code) <= 5 THEN left(code, 4) ELSE left(code, length(code) - 1) END AS short, "
-    "CASE WHEN length(code) <= 5 THEN code ELSE left(code, length(code) - 1) END AS padded FROM equity_master",
+    "SELECT code, left(code, 4) AS short, left(code, 4) || '0' AS padded FROM equity_master",
 )
 def _(d):
     short = fn.local_code("code")

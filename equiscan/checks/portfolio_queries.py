@@ -82,7 +82,7 @@ def _(d):
     "join_prefix",
     """SELECT p.product_type, p.company_name, p.code, s.latest_close, s.kubota_signal
     FROM aggregate_positions p LEFT JOIN integrated s
-      ON (CASE WHEN length(s.code) <= 5 THEN left(s.code, 4) ELSE left(s.code, length(s.code) - 1) END) = p.code
+      ON left(s.code, 4) = p.code
      AND p.product_type = 'domestic'""",
 )
 def _(d):
@@ -248,7 +248,7 @@ def _(d):
                 WHEN (c.close - h.avg_cost_per_share) / h.avg_cost_per_share * 100 >= -5 THEN 'dip' ELSE 'loss' END AS band
     FROM holdings_summary h LEFT JOIN (SELECT code, arg_max(close, date) AS close FROM daily_bars
       WHERE date BETWEEN {AS_OF_SQL} - 400 AND {AS_OF_SQL} GROUP BY code) c
-      ON (CASE WHEN length(c.code) <= 5 THEN left(c.code, 4) ELSE left(c.code, length(c.code) - 1) END) = h.code
+      ON left(c.code, 4) = h.code
     WHERE h.product_category = 'domestic'""",
 )
 def _(d):

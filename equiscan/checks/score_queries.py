@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from datetime import timedelta
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from equiscan.checks.ctes import AS_OF as AS_OF_SQL
@@ -11,6 +12,7 @@ from equiscan.checks.ctes import div, r
 from equiscan.checks.registry import query, rounded
 from equiscan.operators import aggregates, filters, joins, ranking, windows
 from equiscan.plans import backtest, fundamentals, indicators, integrate, reports
+from equiscan.session import staged
 from equiscan.sinks import tables
 from equiscan.sources.derived import AS_OF
 
@@ -300,14 +302,17 @@ def _(d):
 @query(
     "sort_priority_first",
     "SELECT code, kubota_signal, row_number() OVER (ORDER BY (kubota_signal = 'wait') DESC NULLS LAST, "
-    "kubota_trade_score DESC NULLS LAST, growth_invest_score DESC NULLS LAST, code) AS place FROM integrated "
-    "QUALIFY place <= 300",
+    "kubota_trade_score DESC NULLS LAST, growth_invest_score DESC NULLS LAST, code) AS place FROM integrated",
 )
 def _(d):
-    # The page shows at most 300 stocks; their order is what the check compares.
-    page = ranking.signals_first(d.scores(), "wait").limit(reports.DASHBOARD_ROWS)
-    one = F.monotonically_increasing_id()
-    return page.coalesce(1).select("code", "kubota_signal", (one + 1).alias("place"))
+    """The place of a row is read off the sorted result: rows of the partitions before it and its place in its own."""
+    ordered = ranking.signals_first(d.scores().select("code", "kubota_signal", "kubota_trade_score", "growth_invest_score"), "wait")
+    ordered = staged(ordered.select("code", "kubota_signal", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("id")), "sorted")
+    sizes = ordered.groupBy("part").agg(F.count("*").alias("n"))  # a row for each partition of the sort
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    in_part = F.col("id") - F.shiftleft(F.col("part").cast("long"), 33)
+    places = ordered.join(sizes.select("part", before.alias("before")), "part")
+    return places.select("code", "kubota_signal", (F.col("before") + in_part + 1).alias("place"))
 
 
 @query(
@@ -399,7 +404,7 @@ def _(d):
 @query("pivot_price", MATRIX_SQL, {"price_long": LONG_SQL})
 def _(d):
     long_ = reports.price_long(d.daily_bars(), d.equity_master(), d.scores(), AS_OF)
-    return reports.pivot_close(long_, sorted(SESSION_DATES))
+    return reports.pivot_close(long_, reports.latest_dates(long_, reports.MATRIX_SESSIONS))
 
 
 @query(

@@ -97,15 +97,8 @@ def pad_code(col: Column | str, width: int = 5) -> Column:
 
 
 def local_code(col: Column | str) -> Column:
-    """The four-character code of a five-character one.
-
-    Codes wider than five characters (possible only in generated data) lose their last character
-    instead, so that distinct codes stay distinct.
-    """
-    column = _c(col)
-    return F.when(F.length(column) <= 5, F.substring(column, 1, 4)).otherwise(
-        F.substring(column, F.lit(1), F.length(column) - 1)
-    )
+    """The four-character code of a longer one."""
+    return F.substring(_c(col), 1, 4)
 
 
 def append_market_digit(col: Column | str) -> Column:

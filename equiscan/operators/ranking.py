@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -27,16 +27,13 @@ def signals_first(df: DataFrame, signal: str = "buy_signal") -> DataFrame:
 def top_per_class(df: DataFrame, class_col: str, limits: dict[str, int]) -> DataFrame:
     """First ``limits[c]`` rows of each class.
 
-    One top-k per named class rather than one window per class: a class may hold most of the table,
-    and a top-k keeps only its best rows in every task.
+    One pass over the table: the bound on the rank reaches every task as a group limit, which keeps only the best rows
+    of each class before the shuffle.
     """
-    parts = [
-        df.filter(F.col(class_col) == name).orderBy(*score_order()).limit(n) for name, n in limits.items()
-    ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    rank = F.row_number().over(Window.partitionBy(class_col).orderBy(*score_order()))
+    best = df.filter(F.col(class_col).isin(*limits)).withColumn("_rank", rank).filter(F.col("_rank") <= max(limits.values()))
+    wanted = F.coalesce(*(F.when(F.col(class_col) == name, F.col("_rank") <= n) for name, n in limits.items()))
+    return best.filter(wanted).drop("_rank")
 
 
 def first_per_key(df: DataFrame, keys: list[str], order: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -79,6 +81,18 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def staged_while(df: DataFrame, name: str) -> Iterator[DataFrame]:
+    """:func:`staged` for the length of a block; the copy is removed at its end."""
+    spark, path = df.sparkSession, f"{run_root(df.sparkSession)}/{name}-{uuid.uuid4().hex[:12]}"
+    df.write.parquet(path)
+    try:
+        yield spark.read.schema(df.schema).parquet(path)
+    finally:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def broadcast_up_to(df: DataFrame, rows: int) -> DataFrame:
     """Hint a broadcast only for a side counted to have at most ``rows`` rows; beyond that the planner shuffles."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

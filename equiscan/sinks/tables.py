@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from equiscan.functions import partition_id_date
+from equiscan.session import staged_while
 
 MONTH = "month"
 # Date columns that can bound a merge, in order of preference.
@@ -51,6 +52,33 @@ def create_if_missing(spark: SparkSession, statements: str) -> int:
     return len(parts)
 
 
+class SchemaMismatch(ValueError):
+    """A batch has columns that its table lacks."""
+
+
+def fit_columns(df: DataFrame, table: str, add_columns: bool = False) -> list[str]:
+    """Columns of ``df`` that ``table`` lacks: added to the table if asked, else an error. Nothing is dropped in silence."""
+    spark = df.sparkSession
+    stored = {c.lower() for c in spark.table(table).columns}
+    new = [f for f in df.schema.fields if f.name.lower() not in stored]
+    if new and not add_columns:
+        raise SchemaMismatch(f"{table} has no column {', '.join(f.name for f in new)}")
+    if new:
+        kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in new)
+        spark.sql(f"ALTER TABLE {table} ADD COLUMNS ({kinds})")
+        spark.catalog.refreshTable(table)
+    return [f.name for f in new]
+
+
+def _insert(df: DataFrame, table: str, date_column: str | None, sort: list[str], replace: bool) -> int:
+    """Write into an existing table and count in one job; columns the batch lacks are NULL, the declared types stay."""
+    seen = Observation()
+    rows = _laid_out(df.observe(seen, F.count(F.lit(1)).alias("rows")), date_column, sort)
+    aligned = [F.col(c).cast(t) if c in rows.columns else F.lit(None).cast(t).alias(c) for c, t in df.sparkSession.table(table).dtypes]
+    rows.select(*aligned).write.insertInto(table, overwrite=replace)
+    return int(seen.get["rows"])
+
+
 def _laid_out(df: DataFrame, date_column: str | None, sort: list[str]) -> DataFrame:
     if date_column is None:
         return df
@@ -83,27 +111,35 @@ def _create(df: DataFrame, table: str, date_column: str | None, sort: list[str],
 
 
 def overwrite(df: DataFrame, table: str, date_column: str | None = None, sort: list[str] | None = None) -> int:
-    """Replace the whole table; an empty input leaves the table alone and counts 0."""
+    """Replace the rows of the table; an empty input leaves the table alone and counts 0.
+
+    A table that exists keeps its declared columns and types; a column it lacks is an error.
+    """
+    spark = df.sparkSession
     if df.isEmpty():
         return 0
-    return _create(df, table, date_column, sort or df.columns[:2], "overwrite")
+    sort = sort or df.columns[:2]
+    if not table_exists(spark, table):
+        return _create(df, table, date_column, sort, "overwrite")
+    if is_by_month(spark, table) and date_column is None:
+        raise ValueError(f"{table} is laid out by month: name its date column")
+    fit_columns(df, table)
+    return _insert(df, table, date_column if is_by_month(spark, table) else None, sort, replace=True)
 
 
-def append(df: DataFrame, table: str, date_column: str | None = None, sort: list[str] | None = None) -> int:
-    """Append and return the row count; an empty input writes nothing."""
+def append(
+    df: DataFrame, table: str, date_column: str | None = None, sort: list[str] | None = None, add_columns: bool = False
+) -> int:
+    """Append and return the row count; an empty input writes nothing. A column the table lacks is an error, or is added."""
     spark = df.sparkSession
     if not table_exists(spark, table):
         return overwrite(df, table, date_column, sort)
-    if df.isEmpty():
-        return 0
     if is_by_month(spark, table) and date_column is None:
         raise ValueError(f"{table} is laid out by month: name its date column")
-    target = spark.table(table)
-    seen = Observation()
-    rows = _laid_out(df.observe(seen, F.count(F.lit(1)).alias("rows")), date_column, sort or df.columns[:2])
-    aligned = [F.col(c) if c in rows.columns else F.lit(None).cast(t).alias(c) for c, t in target.dtypes]
-    rows.select(*aligned).write.insertInto(table)
-    return int(seen.get["rows"])
+    fit_columns(df, table, add_columns)
+    if df.isEmpty():
+        return 0
+    return _insert(df, table, date_column if is_by_month(spark, table) else None, sort or df.columns[:2], replace=False)
 
 
 def load_files(df: DataFrame, table: str, date_column: str | None = None, sort: list[str] | None = None) -> int:
@@ -143,12 +179,13 @@ class BatchProfile:
     months: list[str]
 
 
-def profile_batch(df: DataFrame, keys: list[str], column: str | None) -> BatchProfile:
+def profile_batch(df: DataFrame, keys: list[str], column: str | None, keys_unique: bool = False) -> BatchProfile:
     """Size, date range and months of a batch, in one job; two rows for one key are an error.
 
-    Counting per key combines in the map tasks, so a key repeated over and over costs no more than any other.
+    Counting per key combines in the map tasks, so a key repeated over and over costs no more than any other. Where the
+    batch was already reduced to one row a key (``keys_unique``) it is not shuffled to count again.
     """
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    counts = df.withColumn("_n", F.lit(1)) if keys_unique else df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     has_key = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
     wanted = [F.sum("_n").alias("rows"), F.max(F.when(has_key, F.col("_n"))).alias("most")]
     if column is not None:
@@ -191,17 +228,31 @@ def merged(target: DataFrame, source: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def upsert(
-    df: DataFrame, table: str, keys: list[str], match_types: bool = False, date_column: str | None = None
+    df: DataFrame,
+    table: str,
+    keys: list[str],
+    match_types: bool = False,
+    date_column: str | None = None,
+    keys_unique: bool = False,
+    add_columns: bool = False,
 ) -> int:
     """Update rows by key, insert the others, keep everything else. Returns the size of the batch.
 
-    Parquet has no MERGE. A batch of dates the table does not have is appended. Otherwise the months the batch
-    touches are joined with it, the result is written to a staging table, and the staging table is swapped in by a dynamic partition overwrite. A lost executor
-    only repeats tasks; after a lost driver the staging table still holds the merged months.
+    The batch is computed once: it is staged, and profiled and written from there. A column the table lacks is an error,
+    or is added. Parquet has no MERGE. A batch of dates the table does not have is appended. Otherwise the months the batch
+    touches are joined with it, the result is written to a staging table, and the staging table is swapped in by a dynamic
+    partition overwrite. A lost executor only repeats tasks; after a lost driver the staging table still holds the merged months.
     """
+    if table_exists(df.sparkSession, table):
+        fit_columns(df, table, add_columns)
+    with staged_while(df, "upsert-batch") as batch:
+        return _upsert(batch, table, keys, match_types, date_column, keys_unique)
+
+
+def _upsert(df: DataFrame, table: str, keys: list[str], match_types: bool, date_column: str | None, keys_unique: bool) -> int:
     spark = df.sparkSession
     column = date_column if date_column in keys else date_key(keys, df.columns)
-    batch = profile_batch(df, keys, column)
+    batch = profile_batch(df, keys, column, keys_unique)
     if batch.rows == 0:
         return 0
     if not table_exists(spark, table):
@@ -249,10 +300,14 @@ def latest_date(spark: SparkSession, table: str, column: str = "date") -> date |
         days = spark.sql(f"SHOW PARTITIONS {table}").select(F.split("partition", "=")[1].alias("d"))
         return days.agg(F.max(partition_id_date("d")).alias("d")).first()["d"]
     if MONTH in df.columns:
-        months = spark.sql(f"SHOW PARTITIONS {table}").agg(F.max("partition").alias("p")).first()["p"]
-        if months is None:
-            return None
-        df = df.filter(F.col(MONTH) == months.split("=")[1])
+        # Rows without a date are in a partition without a month, which must not hide the others.
+        dated = F.col("partition").rlike(rf"^{MONTH}=[0-9]{{4}}-[0-9]{{2}}$")
+        months = spark.sql(f"SHOW PARTITIONS {table}").filter(dated).orderBy(F.col("partition").desc()).collect()
+        for month in months:
+            newest = df.filter(F.col(MONTH) == month["partition"].split("=")[1]).agg(F.max(column).alias("d")).first()["d"]
+            if newest is not None:
+                return newest
+        return None
     return df.agg(F.max(column).alias("d")).first()["d"]
 
 
@@ -302,5 +357,5 @@ def publish_views(views: dict[str, DataFrame | Exception | object]) -> dict[str,
             build().createOrReplaceTempView(name)
             outcome[name] = "ok"
         except Exception as error:  # the report says which view failed and why
-            outcome[name] = f"failed: {type(error).__name__}"
+            outcome[name] = f"failed: {type(error).__name__}: {str(error).splitlines()[0][:200]}"
     return outcome
