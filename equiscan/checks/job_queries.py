@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gzip
 import itertools
 import uuid
 from datetime import date, timedelta
@@ -76,13 +77,39 @@ def _(d):
     return jobs.normalise(rows, spec).select(F.lit(AS_OF).alias("as_of"), "code", "company_name")
 
 
-@query("src_csv_gz", BARS_SQL.replace("volume,", "CASE WHEN day(date) = 13 THEN 0 ELSE volume END AS volume,"))
+def gzip_csv(rows: DataFrame, path: str) -> None:
+    rows.write.mode("append").option("header", True).option("compression", "gzip").csv(path)
+
+
+def put_file(d, path: str, content: bytes) -> None:
+    """A file in the shared folder, whatever file system that is."""
+    where = d.spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(d.spark._jsc.hadoopConfiguration()).create(where)
+    out.write(bytearray(content))
+    out.close()
+
+
+@query(
+    "src_csv_gz",
+    BARS_SQL.replace("volume, turnover_value", """CASE WHEN day(date) = 13 AND part <> 3 THEN 0 ELSE volume END AS volume,
+      CASE WHEN part <> 1 THEN turnover_value END AS turnover_value""").replace(
+        "FROM daily_bars", "FROM (SELECT *, CAST(code AS BIGINT) // 10 % 5 AS part FROM daily_bars)"
+    ),
+)
 def _(d):
-    rows = landed.daily_bars(d)
-    path = scratch_path(d, "bulk")
-    rows.write.option("header", True).option("compression", "gzip").csv(path)
-    read = readers.read_bulk_csv(d.spark, path, rows.columns)
-    return rounded(jobs.normalise(read, jobs.DATASETS["daily_bars"])).select(*BAR_COLUMNS)
+    """Five headers in one folder: as specified, a column missing, reordered, the old spelling, a column more. A sixth file
+    ends before its end and is left out whole."""
+    short, old, path = landed.daily_bars(d), landed.daily_bars_long(d), scratch_path(d, "bulk")
+    part = F.floor(F.col("Code").cast("long") / 10) % 5
+    layouts = [short, short.drop("Va"), short.select(*reversed(short.columns)), old, short.withColumn("Extra", F.lit("x"))]
+    for i, rows in enumerate(layouts):
+        gzip_csv(rows.filter(part == i), path)
+    damaged = gzip.compress("Date,Code,O\n".encode() + "".join(f"2001-06-{i % 30 + 1:02d},{i},1\n" for i in range(5000)).encode())
+    put_file(d, f"{path}/damaged.csv.gz", damaged[: len(damaged) // 2])
+    load = readers.read_bulk_csv(d.spark, path)
+    if [p.rsplit("/", 1)[1] for p, _ in load.skipped] != ["damaged.csv.gz"]:
+        raise ValueError(f"skipped {load.skipped}")
+    return rounded(jobs.normalise(load.frames, jobs.DATASETS["daily_bars"])).select(*BAR_COLUMNS)
 
 
 @query(
@@ -404,8 +431,9 @@ def _(d):
                      f"{r('close', 4)} AS adjustment_close, CAST(0 AS BIGINT) AS adjustment_volume"),
 )
 def _(d):
-    table = scratch_table(d, "daily_bars")
-    jobs.run_bulk(landed.daily_bars_long(d), jobs.DATASETS["daily_bars"], table)
+    table, path = scratch_table(d, "daily_bars"), scratch_path(d, "bulk")
+    gzip_csv(landed.daily_bars_long(d), path)
+    jobs.run_bulk(readers.read_bulk_csv(d.spark, path).frames, jobs.DATASETS["daily_bars"], table)
     return rounded(stored(d, table)).select(
         *BAR_COLUMNS, "adjustment_factor", "adjustment_close", "adjustment_volume"
     )
@@ -448,10 +476,12 @@ def _(d):
 
 @query("job_financial_bulk", FIN_SQL)
 def _(d):
-    table = scratch_table(d, "financial_summary")
+    table, path = scratch_table(d, "financial_summary"), scratch_path(d, "bulk")
     rows = landed.financial_summary(d)
     undated = rows.filter(F.col("DocType") == "AnnualRevision").withColumn("DiscDate", F.lit(None).cast("string"))
-    jobs.run_bulk(rows.unionByName(undated), jobs.DATASETS["financial_summary"], table)
+    gzip_csv(rows, path)
+    gzip_csv(undated.select(*reversed(undated.columns)), path)
+    jobs.run_bulk(readers.read_bulk_csv(d.spark, path).frames, jobs.DATASETS["financial_summary"], table)
     return _fin(stored(d, table))
 
 
@@ -593,13 +623,13 @@ ROWS = {
 
 def group_sql(names: list[str]) -> str:
     lines = " UNION ALL ".join(f"SELECT '{n}' AS dataset, ({ROWS[n]}) AS rows" for n in names)
-    return f"SELECT * FROM run_lines UNION ALL SELECT 'total', CAST(sum(rows) AS BIGINT) FROM run_lines", {"run_lines": lines}
+    total = "SELECT 'total', CAST(sum(rows) AS BIGINT) FROM run_lines"
+    return f"SELECT dataset, rows, 'ok' AS status FROM (SELECT * FROM run_lines UNION ALL {total})", {"run_lines": lines}
 
 
 def run_group(d, group: str) -> DataFrame:
-    return jobs.run_group(
-        d.spark, group, {n: (lambda f=f: f(d)) for n, f in landed.LANDED.items()}, scratch_database(d)
-    )
+    frames = {n: (lambda f=f: f(d)) for n, f in landed.LANDED.items()}
+    return jobs.run_group(d.spark, group, frames, scratch_database(d)).select("dataset", "rows", "status")
 
 
 @query("job_init", *group_sql(jobs.INIT))
@@ -617,6 +647,66 @@ def _(d):
     return run_group(d, "weekly")
 
 
+@query(
+    "job_run_log",
+    f"""SELECT 'margin_interest' AS dataset, ({ROWS["margin_interest"]}) AS rows, 'ok' AS status, 0 AS run, 'Odd' AS unknown
+    UNION ALL SELECT 'margin_interest', ({ROWS["margin_interest"]}), 'ok', 1, 'Odd'
+    UNION ALL SELECT 'investor_types', 0, 'failed', 0, '' UNION ALL SELECT 'investor_types', 0, 'skipped', 1, ''""",
+)
+def _(d):
+    """A column without a place is named; an optional dataset that breaks or lacks its key is told apart from one without rows."""
+
+    def broken() -> DataFrame:
+        raise OSError("the feed is down")
+
+    margin = lambda: landed.margin_interest(d).withColumn("Odd", F.lit(1))
+    keyless = lambda: landed.investor_types(d).select("Section")
+    logs = [
+        jobs.run_group(d.spark, "weekly", {"margin_interest": margin, "investor_types": other}, scratch_database(d)).withColumn("run", F.lit(i))
+        for i, other in enumerate((broken, keyless))
+    ]
+    log = logs[0].unionByName(logs[1]).filter("dataset <> 'total'")
+    return log.select("dataset", "rows", "status", "run", F.array_join("unknown_columns", ",").alias("unknown"))
+
+
+@query(
+    "job_daily_cursor",
+    f"""SELECT 'indices' AS dataset, run, CASE WHEN run = 0 THEN (SELECT count(*) FROM index_bars WHERE index_code <> '0000'
+      AND date BETWEEN {AS_OF_SQL} - 29 AND {AS_OF_SQL} - 1) ELSE 0 END AS rows FROM (VALUES (0), (1)) r(run)
+    UNION ALL SELECT 'financial_summary', run, CASE WHEN run = 0 THEN (SELECT count(*) FROM financial_summary
+      WHERE disclosed_date = {AS_OF_SQL}) ELSE 0 END FROM (VALUES (0), (1)) r(run)""",
+)
+def _(d):
+    """The daily run from folders of pages, twice: only days within reach are stored, then nothing is due. The undated row
+    that is stored in between does not move the cursor."""
+    database, folders = scratch_database(d), {}
+    for name in ("equity_master", "daily_bars", "financial_summary", "topix", "indices"):
+        folders[name] = scratch_path(d, name)
+        rows = landed.LANDED[name](d).drop(jobs.SEQUENCE)
+        pages = rows.groupBy(F.floor(F.rand(1) * 20)).agg(F.collect_list(F.struct(*rows.columns)).alias("data"))
+        pages.select("data").write.json(folders[name])
+    logs = []
+    for run in range(2):
+        log = catchup.run_landed(d.spark, "daily", folders, database, AS_OF)
+        logs.append(log.filter(F.col("dataset").isin("indices", "financial_summary")).select("dataset", F.lit(run).alias("run"), "rows"))
+        undated = d.spark.table(f"{database}.financial_summary").drop("month").limit(1).withColumn("disclosed_date", F.lit(None).cast("date"))
+        tables.append(undated, f"{database}.financial_summary", "disclosed_date")
+    return logs[0].unionByName(logs[1])
+
+
+@query("first_record_wins", "SELECT CAST(NULL AS DATE) AS date, index_code, min(close) AS close FROM (SELECT index_code, CAST(0 AS DOUBLE) AS close FROM index_bars WHERE index_code <> '0000') GROUP BY index_code")
+def _(d):
+    """The same key in two page files, of which the second is much larger: the first file's value counts."""
+    rows = d.index_bars().filter("index_code <> '0000'").select(F.lit("2001-06-29").alias("Date"), F.col("index_code").alias("Code"))
+    path = scratch_path(d, "pages")
+    first = rows.distinct().withColumn("C", F.lit("0"))
+    second = rows.withColumn("C", F.lit("1"))
+    for place, part in (("a", first), ("b", second)):
+        part.groupBy().agg(F.collect_list(F.struct("Date", "Code", "C")).alias("data")).write.json(f"{path}/{place}")
+    read = readers.read_pages(d.spark, f"{path}/*")
+    return jobs.normalise(read, jobs.DATASETS["indices"]).select(F.lit(None).cast("date").alias("date"), "index_code", "close")
+
+
 # ---- 2.10 catch-up -----------------------------------------------------------------------------
 
 

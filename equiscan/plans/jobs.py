@@ -7,7 +7,7 @@ the differences stated in a :class:`Dataset`.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,14 +16,12 @@ from pyspark.sql import types as T
 
 from equiscan import schemas
 from equiscan.functions import fill_blank, flatten_struct, lenient_date, pad_code, strict_date, to_integer, to_number
-from equiscan.operators.columns import missing_columns, rename_map
+from equiscan.operators.columns import missing_columns, rename_map, unknown_columns
 from equiscan.operators.filters import date_slice
 from equiscan.operators.ranking import first_per_key
 from equiscan.plans import portfolio
 from equiscan.sinks import tables
-
-# Column that carries the record's place in the landed input, where a reader knows it.
-SEQUENCE = "_seq"
+from equiscan.sources.readers import SEQUENCE, BulkLoad
 
 
 @dataclass(frozen=True)
@@ -189,8 +187,8 @@ def flatten_reason(landed: DataFrame) -> DataFrame:
     return landed.select(*rest, *flatten_struct("PubReason", members), *absent)
 
 
-def normalise(landed: DataFrame, spec: Dataset) -> DataFrame | None:
-    """Landed records in the shape of the stored table; None when a key column is missing."""
+def _named(landed: DataFrame, spec: Dataset) -> DataFrame:
+    """Landed columns under their stored names, still as they came."""
     aliases = spec.alias_map(landed.columns)
     if spec.name == "daily_margin_interest":
         landed = flatten_reason(landed)
@@ -201,53 +199,87 @@ def normalise(landed: DataFrame, spec: Dataset) -> DataFrame | None:
     for column in spec.blank_texts:
         if column in spec.keys and column not in named.columns:
             named = named.withColumn(column, F.lit(""))
-    if missing_columns(named, spec.keys):
-        return None
+    return named
+
+
+def missing_keys(landed: DataFrame, spec: Dataset) -> list[str]:
+    """Key columns that a batch lacks; it cannot be stored then."""
+    return missing_columns(_named(landed, spec), spec.keys)
+
+
+def unknown(landed: DataFrame, spec: Dataset) -> list[str]:
+    """Landed columns that have no place in the stored table."""
+    known = {**spec.alias_map(landed.columns), SEQUENCE: SEQUENCE}
+    if spec.name == "daily_margin_interest":
+        known["PubReason"] = "PubReason"
+    return unknown_columns(landed, known)
+
+
+def _typed(landed: DataFrame, spec: Dataset) -> DataFrame:
+    named = _named(landed, spec)
     ordered = SEQUENCE in named.columns
     columns = [c for c in named.columns if c != SEQUENCE]
-    typed = named.select(
+    return named.select(
         *[_coerce(spec, c, named.schema[c].dataType).alias(c) for c in columns],
         (F.col(SEQUENCE) if ordered else F.monotonically_increasing_id()).alias(SEQUENCE),
     )
+
+
+def normalise(landed: DataFrame | list[DataFrame], spec: Dataset) -> DataFrame | None:
+    """Landed records in the shape of the stored table; None when a key column is missing.
+
+    Frames of several spellings are each read by their own, then put together by the stored names; one without a key
+    column is left out. The first record of a key counts over all frames.
+    """
+    frames = landed if isinstance(landed, list) else [landed]
+    typed = [_typed(f, spec) for f in frames if not missing_keys(f, spec)]
+    if not typed:
+        return None
+    rows = typed[0]
+    for other in typed[1:]:
+        rows = rows.unionByName(other, allowMissingColumns=True)
     if spec.unique:
-        typed = first_per_key(typed, list(spec.unique), SEQUENCE)
-    typed = typed.select(*columns)
-    return typed.withColumn("_fetched_at", F.current_timestamp()) if spec.stamped else typed
+        rows = first_per_key(rows, list(spec.unique), SEQUENCE)
+    rows = rows.drop(SEQUENCE)
+    return rows.withColumn("_fetched_at", F.current_timestamp()) if spec.stamped else rows
 
 
-def run(landed: DataFrame, spec: Dataset, table: str) -> int:
-    """Normalise and store one batch; returns its row count, 0 for a skipped batch."""
-    rows = normalise(landed, spec)
-    if rows is None:
-        return 0
+def store(rows: DataFrame, spec: Dataset, table: str) -> int:
+    """Write normalised rows the way of their dataset."""
     if spec.replace:
         return tables.overwrite(rows, table)
-    return tables.upsert(rows, table, list(spec.keys), match_types=spec.safe_types, date_column=spec.by)
+    unique = bool(spec.unique) and set(spec.unique) <= set(spec.keys)
+    return tables.upsert(rows, table, list(spec.keys), match_types=spec.safe_types, date_column=spec.by, keys_unique=unique)
+
+
+def run(landed: DataFrame | list[DataFrame], spec: Dataset, table: str) -> int:
+    """Normalise and store one batch; returns its row count, 0 for a skipped batch."""
+    rows = normalise(landed, spec)
+    return 0 if rows is None else store(rows, spec, table)
 
 
 def run_bulk(
-    landed: DataFrame, spec: Dataset, table: str, start: date | None = None, end: date | None = None
+    landed: DataFrame | list[DataFrame], spec: Dataset, table: str, start: date | None = None, end: date | None = None
 ) -> int:
     """First load: all files at once, optionally a date range, replacing the table."""
-    if spec.name == "financial_summary":
-        source = next((s for s, t in spec.aliases.items() if t == "disclosed_date" and s in landed.columns), None)
-        if source is None:
-            return 0
-        landed = landed.filter(F.col(source).isNotNull())
     rows = normalise(landed, spec)
     if rows is None:
         return 0
+    if spec.name == "financial_summary":
+        rows = rows.filter(F.col(spec.by).isNotNull())
     return tables.load_files(date_slice(rows, start, end, spec.by), table, spec.by, list(spec.keys))
 
 
 def backfill(landed: DataFrame, spec: Dataset, table: str, start: date, end: date) -> int:
-    """A date range in one read and one upsert; nothing to do when the range is empty."""
+    """A date range in one read and one upsert; nothing to do when the range is empty.
+
+    A record whose date cannot be read is left out with its day, it does not stop the range.
+    """
     if start > end:
         return 0
-    rows = normalise(landed, spec)
-    if rows is None:
-        return 0
-    return tables.upsert(date_slice(rows, start, end, spec.by), table, list(spec.keys), date_column=spec.by)
+    lenient = replace(spec, dates=tuple(n for n in spec.dates if n != spec.by), lenient_dates=(*spec.lenient_dates, spec.by))
+    rows = normalise(landed, lenient)
+    return 0 if rows is None else store(date_slice(rows, start, end, spec.by), spec, table)
 
 
 def run_holdings(trades: DataFrame, table: str) -> int:
@@ -285,24 +317,60 @@ def table_name(database: str, dataset: str) -> str:
     return f"{database}.{'index_bars' if dataset in ('topix', 'indices') else dataset}"
 
 
+#: One line of a run log for each dataset, and their total.
+LOG = (
+    "dataset string, rows bigint, status string, cause string, unknown_columns array<string>, skipped_files array<string>, "
+    "skipped_days array<date>"
+)
+
+
 def run_group(
-    spark: SparkSession, group: str, landed: dict[str, Callable[[], DataFrame]], database: str
+    spark: SparkSession,
+    group: str,
+    landed: dict[str, Callable[[], DataFrame | BulkLoad]],
+    database: str,
+    only_due: Callable[[DataFrame, Dataset, str], tuple[DataFrame, list[date]]] | None = None,
 ) -> DataFrame:
-    """Run the datasets of a group and return the run log: rows per dataset and their total.
+    """Run the datasets of a group and return the run log (:data:`LOG`): rows and status (ok, skipped, failed) of each.
 
-    A dataset that may fail counts 0 when it does. The daily run first restores tables that are missing.
+    A dataset that may fail counts 0 when it does, with the cause in the log; a required one raises, also when its keys are
+    missing. Columns without a place in the table, files left out and days beyond the reach of a run are named. The daily
+    run first restores tables that are missing. ``only_due`` (see :mod:`equiscan.streaming.catchup`) picks the rows that a
+    dataset still lacks.
     """
     if group == "daily":
         setup(spark, database)
-    counts: dict[str, int] = {}
+    lines = []
     for name in GROUPS[group]:
         spec, table = DATASETS[name], table_name(database, name)
-        job = run_bulk if group == "init" and name in BULK else run
+        rows, status, cause, extra, files, days = 0, "ok", None, [], [], []
         try:
-            counts[name] = job(landed[name](), spec, table)
-        except Exception:
+            batch = landed[name]()
+            frames = batch.frames if isinstance(batch, BulkLoad) else [batch]
+            files = [f"{path}: {why}" for path, why in batch.skipped] if isinstance(batch, BulkLoad) else []
+            extra = sorted({c for f in frames for c in unknown(f, spec)})
+            gaps = {k for f in frames for k in missing_keys(f, spec)}
+            if not frames or all(missing_keys(f, spec) for f in frames):
+                raise MissingKeys(f"no file with the key columns {', '.join(sorted(gaps) or spec.keys)}")
+            if group == "init" and name in BULK:
+                rows = run_bulk(frames, spec, table)
+            elif only_due and not spec.replace and spec.by:
+                due, days = only_due(normalise(frames, spec), spec, table)
+                rows = store(due, spec, table)
+            else:
+                rows = run(frames, spec, table)
+            if gaps:
+                cause = f"some files lack {', '.join(sorted(gaps))}"
+        except Exception as error:
             if name in MUST_SUCCEED[group]:
                 raise
-            counts[name] = 0
-    lines = [*counts.items(), ("total", sum(counts.values()))]
-    return spark.createDataFrame(lines, "dataset string, rows bigint")
+            status = "skipped" if isinstance(error, MissingKeys) else "failed"
+            cause = f"{type(error).__name__}: {(str(error).splitlines() or [''])[0][:300]}"
+        lines.append((name, rows, status, cause, extra, files, days))
+    worst = next((s for s in ("failed", "skipped") if any(line[2] == s for line in lines)), "ok")
+    lines.append(("total", sum(line[1] for line in lines), worst, None, [], [], []))
+    return spark.createDataFrame(lines, LOG)
+
+
+class MissingKeys(ValueError):
+    """A batch lacks key columns of its dataset."""

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from equiscan.plans.jobs import SEQUENCE
+from equiscan.sources.readers import SEQUENCE
 from equiscan.sources.derived import Market
 
 

@@ -1,46 +1,109 @@
-"""Readers for landed API pages, bulk CSV files and stored tables."""
+"""Readers for landed API pages, bulk CSV files and stored tables.
+
+Landed records carry ``_seq``, their place in the input (file, then position in it), so that "the first record of a key"
+means the same however Spark orders the files.
+"""
 
 from __future__ import annotations
 
+import csv
+import gzip
+import io
+import zlib
+from collections.abc import Iterator
+from dataclasses import dataclass, field
 from datetime import date
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from equiscan.operators.filters import date_slice
 
+SEQUENCE = "_seq"
 
-def read_pages(spark: SparkSession, path: str, record: T.StructType) -> DataFrame:
-    """API response pages, each a JSON document with a ``data`` array of records, as one table.
 
-    Pages come either one document per line or pretty-printed; ``multiLine`` covers both, one task per file.
-    """
-    page = T.StructType([T.StructField("data", T.ArrayType(record))])
-    pages = spark.read.schema(page).option("multiLine", True).option("mode", "PERMISSIVE").json(path)
-    return pages.select(F.explode("data").alias("r")).select("r.*")
+def _record_schema(spark: SparkSession, path: str) -> T.StructType:
+    """All fields of the records in pages of either layout, values as text."""
+    found: dict[str, T.StructField] = {}
+    for multi_line in (True, False):
+        schema = spark.read.option("multiLine", multi_line).option("primitivesAsString", True).json(path).schema
+        data = schema["data"].dataType if "data" in schema.names else None
+        if isinstance(data, T.ArrayType) and isinstance(data.elementType, T.StructType):
+            for f in data.elementType.fields:
+                found.setdefault(f.name, f)
+    return T.StructType(list(found.values()))
 
 
-def read_bulk_csv(spark: SparkSession, paths: str | list[str], columns: list[str]) -> DataFrame:
-    """Gzip or plain CSV files with a header, read as text columns; types are the job's business.
+def read_pages(spark: SparkSession, path: str, record: T.StructType | None = None) -> DataFrame:
+    """API response pages, each a JSON document with a ``data`` array of records, as one table with ``_seq``.
 
-    ``columns`` is the schema, matched to each file by header name. A file without one of them yields NULLs,
-    and unreadable files are skipped rather than failing the load.
+    A file is one document over any number of lines, or several with one in each line; one task reads it. Without a
+    ``record`` schema the fields are looked for first, in a pass of its own.
+    """
+    page = T.StructType([T.StructField("data", T.ArrayType(record if record is not None else _record_schema(spark, path)))])
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
+    lines = F.filter(F.split("value", "\r?\n"), lambda line: F.trim(line) != "")
+    whole_lines = F.get_json_object(F.get(lines, F.lit(0)), "$").isNotNull()
+    documents = files.select("file", F.posexplode(F.when(whole_lines, lines).otherwise(F.array("value"))).alias("document", "json"))
+    records = documents.select("file", "document", F.posexplode(F.from_json("json", page)["data"]).alias("place", "r"))
+    place = F.struct("file", F.col("document").cast("long").alias("block"), F.col("place").cast("long").alias("place"))
+    return records.select("r.*", place.alias(SEQUENCE))
+
+
+@dataclass(frozen=True)
+class BulkLoad:
+    """``frames``: the rows of the files that share a header, every column as text, with ``_seq``; ``skipped``: path and cause."""
+
+    frames: list[DataFrame]
+    skipped: list[tuple[str, str]] = field(default_factory=list)
+
+
+def _first_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(path, header, cause): unpack each file to its end, so that a damaged one shows before a row of it is used."""
+    for batch in batches:
+        headers, causes = [], []
+        for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            header, cause = None, None
+            try:
+                raw = io.BytesIO(content.as_py())
+                with gzip.GzipFile(fileobj=raw) if path.endswith(".gz") else raw as lines:
+                    header = lines.readline().decode("utf-8-sig").rstrip("\r\n")
+                    while lines.read(1 << 20):
+                        pass
+                cause = None if header else "no header"
+            except (OSError, EOFError, zlib.error, UnicodeDecodeError) as error:
+                cause = f"{type(error).__name__}: {error}"
+            headers.append(header)
+            causes.append(cause)
+        yield pa.RecordBatch.from_pydict({"path": batch.column(0), "header": pa.array(headers, pa.string()), "cause": pa.array(causes, pa.string())})
+
+
+def read_bulk_csv(spark: SparkSession, paths: str | list[str]) -> BulkLoad:
+    """Gzip or plain CSV files, each with a header of its own; types are the job's business.
+
+    Files are read by groups of equal headers, so no layout is imposed on another. A file that cannot be unpacked to its
+    end is left out whole and named with its cause. What reaches the driver is a line for each file.
     """
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
-    return (
-        spark.read.schema(schema)
-        .option("header", True)
-        .option("enforceSchema", False)
-        .option("mode", "PERMISSIVE")
-        .option("ignoreCorruptFiles", True)
-        .csv(paths)
-    )
-
-
-def csv_header(spark: SparkSession, path: str) -> list[str]:
-    """Column names of a bulk file, from its first line only."""
-    return spark.read.option("header", True).csv(path).columns
+    files = spark.read.format("binaryFile").load(paths).select("path", "content")
+    found = files.mapInArrow(_first_lines, "path string, header string, cause string").orderBy("path").collect()
+    by_header: dict[str, list[str]] = {}
+    for row in found:
+        if row["cause"] is None:
+            by_header.setdefault(row["header"], []).append(row["path"])
+    frames = []
+    for header, members in by_header.items():
+        names: list[str] = []
+        for i, name in enumerate(next(csv.reader([header]))):
+            names.append(name if name and name not in names else f"_column{i}")
+        schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
+        rows = spark.read.schema(schema).option("header", True).option("enforceSchema", True).csv(members)
+        place = F.struct(
+            F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place")
+        )
+        frames.append(rows.select(*(F.col(f"`{n}`") for n in names), place.alias(SEQUENCE)))
+    return BulkLoad(frames, [(row["path"], row["cause"]) for row in found if row["cause"] is not None])
 
 
 def read_slice(df: DataFrame, start: date | None = None, end: date | None = None, column: str = "date") -> DataFrame:

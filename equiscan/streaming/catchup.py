@@ -8,13 +8,30 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from equiscan.plans.jobs import Dataset, normalise
+from equiscan.plans.jobs import GROUPS, Dataset, normalise, run_group
 from equiscan.sinks import tables
+from equiscan.sources.readers import read_bulk_csv, read_pages
 
 # How far one run may reach back.
 MAX_DAYS = 30
 MINUTE_DAYS = 10
 MARGIN_WEEKS = 8
+# Days out of reach that a log names.
+MAX_LEFT = 400
+
+
+# How far each dataset of a daily or weekly run reaches back; the others take all that has landed.
+_YESTERDAY = {"include_today": False, "empty_start": "window"}
+RULES: dict[str, dict] = {
+    "financial_summary": {"empty_start": "today"},
+    "short_selling": {"empty_start": "today"},
+    "minute_bars": {"empty_start": "today", "cap": MINUTE_DAYS, "keep": "oldest"},
+    "indices": _YESTERDAY,
+    "index_options": _YESTERDAY,
+    "short_sale_report": _YESTERDAY,
+    "daily_margin_interest": _YESTERDAY,
+    "margin_interest": {"fridays": True},
+}
 
 
 def is_weekday(day: Column | str) -> Column:
@@ -84,3 +101,55 @@ def upsert_landed(
     )
     query.awaitTermination()
     return len(batches)
+
+
+def only_due(as_of: date):
+    """For :func:`run_group`: the rows of the days that a table still lacks, and the days that are out of reach.
+
+    The newest stored date moves the cursor, undated rows do not. The market index does not move the cursor
+    of the others, with which it shares a table.
+    """
+
+    def pick(rows: DataFrame, spec: Dataset, table: str) -> tuple[DataFrame, list[date]]:
+        if spec.name not in RULES:
+            return rows, []
+        spark = rows.sparkSession
+        if not tables.table_exists(spark, table):
+            newest = None
+        elif spec.name == "indices":
+            newest = tables.latest_other_index(spark.table(table)).first()["latest"]
+        else:
+            newest = tables.latest_date(spark, table, spec.by)
+        latest = spark.range(1).select(F.lit(newest).cast("date").alias("latest"))
+        rule = dict(RULES[spec.name])
+        fridays = rule.pop("fridays", False)
+        days = due_fridays(latest, as_of) if fridays else due_days(latest, as_of, **rule)
+        due = [r["day"] for r in days.collect()]  # at most the cap of a rule
+        wanted = F.col(spec.by).isin(due) if due else F.lit(False)
+        # Later than what is stored and landed, but cut off by the cap.
+        beyond = rows.filter((F.col(spec.by) <= F.lit(as_of)) & ~wanted)
+        if newest is not None:
+            beyond = beyond.filter(F.col(spec.by) > F.lit(newest))
+        left = beyond.select(F.col(spec.by).alias("day")).distinct().orderBy("day").limit(MAX_LEFT).collect()
+        return rows.filter(wanted), [r["day"] for r in left]
+
+    return pick
+
+
+def run_landed(spark: SparkSession, group: str, folders: dict[str, str], database: str, as_of: date) -> DataFrame:
+    """Run a group from landed folders, each dataset in one: pages (``*.json``) or, in the first load, bulk files.
+
+    A dataset without a folder is logged as failed, or stops the run if it is required.
+    """
+
+    def reader(name: str):
+        def read():
+            if name not in folders:
+                raise FileNotFoundError(f"no landed folder for {name}")
+            path = folders[name]
+            return read_bulk_csv(spark, path) if path.endswith(("csv", "csv.gz")) else read_pages(spark, path)
+
+        return read
+
+    names = {n: reader(n) for n in GROUPS[group]}
+    return run_group(spark, group, names, database, only_due(as_of) if group != "init" else None)

@@ -151,8 +151,34 @@ def test_pages_and_gzip_files(spark, tmp_path):
     with gzip.open(tmp_path / "a.csv.gz", "wt") as f:
         f.write("Code,C\n1301,5\n")
     (tmp_path / "b.csv.gz").write_bytes(b"not a gzip file")
-    out = readers.read_bulk_csv(spark, [f"{tmp_path}/a.csv.gz", f"{tmp_path}/b.csv.gz"], ["Code", "C"])
-    assert [(r.Code, r.C) for r in out.collect()] == [("1301", "5")]
+    (tmp_path / "c.csv.gz").write_bytes(gzip.compress(b"Code,C\n" + b"1,2\n" * 50_000)[:-20])
+    (tmp_path / "d.csv").write_text("\ufeffC,Code,New\n7,1304,x\n")
+    load = readers.read_bulk_csv(spark, [f"{tmp_path}/{n}" for n in ("a.csv.gz", "b.csv.gz", "c.csv.gz", "d.csv")])
+    assert sorted((r.Code, r.C) for f in load.frames for r in f.collect()) == [("1301", "5"), ("1304", "7")]
+    assert [p.rsplit("/", 1)[1] for p, _ in load.skipped] == ["b.csv.gz", "c.csv.gz"] and all(cause for _, cause in load.skipped)
+
+
+def test_a_short_load_does_not_cost_a_later_day_its_columns(spark, database):
+    spec, table = jobs.DATASETS["daily_bars"], f"{database}.daily_bars"
+    jobs.setup(spark, database)
+    jobs.run_bulk(text(spark, ["Date", "Code", "O", "C"], ("2024-01-05", "1301", "1", "2")), spec, table)
+    long_day = text(spark, ["Date", "Code", "Open", "Close", "AdjustmentFactor", "AdjustmentClose"], ("2024-01-09", "1301", "1", "2", "0.5", "1"))
+    assert jobs.run(long_day, spec, table) == 1
+    row = spark.table(table).filter("date = DATE '2024-01-09'").first()
+    assert (row.adjustment_factor, row.adjustment_close) == (0.5, 1.0)
+    with pytest.raises(ValueError):
+        jobs.tables.append(spark.table(table).drop("month").withColumn("odd", F.lit(1)), table, "date")
+
+
+def test_one_bad_day_does_not_stop_a_backfill(spark, database):
+    df = text(spark, ["Date", "Code", "O"], ("2024-01-05", "1301", "1"), ("2024-13-05", "1301", "2"), ("2024-01-09", "1301", "3"))
+    assert jobs.backfill(df, jobs.DATASETS["daily_bars"], f"{database}.b", date(2024, 1, 1), date(2024, 1, 31)) == 2
+
+
+def test_required_dataset_without_its_key_stops_the_run(spark, database):
+    keyless = lambda: text(spark, ["Date", "LongVol"], ("2024-01-05", "1"))
+    with pytest.raises(jobs.MissingKeys):
+        jobs.run_group(spark, "weekly", {"margin_interest": keyless, "investor_types": keyless}, database)
 
 
 def test_setup_creates_every_raw_table_once(spark, database):
