@@ -122,20 +122,23 @@ def _(d):
 
 @query("src_ledger", "SELECT trade_date, code, company_name, account_type, quantity, unit_price, amount FROM ledger_domestic")
 def _(d):
-    """Sheets of up to 5,000 trades each as text files: title rows, header, an empty row and the data."""
-    rows = d.ledger_rows("domestic")
-    names = rows.columns
-    line = F.concat_ws(",", *[F.col(f"`{c}`") for c in names])
-    numbered = rows.select(
-        F.floor(F.monotonically_increasing_id() / 5000).alias("sheet"), F.lit(9).alias("place"), line.alias("value")
-    )
-    titles = ["更新日", "2001/6/30,https://example.org", ",".join(names), "," * (len(names) - 1)]
-    top = numbered.select("sheet").distinct().select(
-        "sheet", F.posexplode(F.array(*[F.lit(t) for t in titles])).alias("place", "value")
-    )
+    """Sheets of up to 5,000 trades each as text files: title rows, header, an empty row and the data.
+
+    Every second sheet has its columns in another order, and one more whose cells hold a comma and a line break.
+    """
+    rows = d.ledger_rows("domestic").withColumn("メモ", F.lit('"one, two\nthree"'))
     path = scratch_path(d, "sheets")
-    sheets = top.unionByName(numbered).repartition("sheet").sortWithinPartitions("sheet", "place")
-    sheets.select("sheet", "value").write.partitionBy("sheet").text(path)
+    place = F.floor(F.monotonically_increasing_id() / 5000)
+    for layout, names in enumerate((rows.columns[:-1], rows.columns[::-1])):
+        numbered = rows.filter(F.pmod(F.xxhash64(*rows.columns), F.lit(2)) == layout).select(
+            place.alias("sheet"), F.lit(9).alias("place"), F.concat_ws(",", *[F.coalesce(F.col(f"`{c}`"), F.lit("")) for c in names]).alias("value")
+        )
+        titles = ["更新日", "2001/6/30,https://example.org", ",".join(names), "," * (len(names) - 1)]
+        top = numbered.select("sheet").distinct().select(
+            "sheet", F.posexplode(F.array(*[F.lit(t) for t in titles])).alias("place", "value")
+        )
+        sheets = top.unionByName(numbered).repartition("sheet").sortWithinPartitions("sheet", "place")
+        sheets.select("sheet", "value").write.mode("append").partitionBy("sheet").text(path)
     return ledger.ledger_domestic(ledger.read_ledger(d.spark, path)).select(
         "trade_date", "code", "company_name", "account_type", "quantity", "unit_price", "amount"
     )

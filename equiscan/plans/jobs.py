@@ -21,6 +21,7 @@ from equiscan.operators.filters import date_slice
 from equiscan.operators.ranking import first_per_key
 from equiscan.plans import portfolio
 from equiscan.sinks import tables
+from equiscan.sources.ledger import canonical_product_type
 from equiscan.sources.readers import SEQUENCE, BulkLoad
 
 
@@ -283,7 +284,8 @@ def backfill(landed: DataFrame, spec: Dataset, table: str, start: date, end: dat
 
 
 def run_holdings(trades: DataFrame, table: str) -> int:
-    return tables.overwrite(portfolio.positions(trades), table)
+    """Trades may carry either spelling of a product type; the stored positions have one."""
+    return tables.overwrite(portfolio.positions(trades.withColumn("product_type", canonical_product_type())), table)
 
 
 def run_external_prices(

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import csv
+import io
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from equiscan.functions import blank_to_null, multi_format_date, number_text
+from equiscan.functions import multi_format_date, number_text
 
 HEADER_ROW = 3
 # Header keywords of the three sheets, and the label of a purchase.
@@ -56,25 +59,38 @@ TRADE_COLUMNS = [
 ]
 
 
+def _sheet_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(names, values) of the data rows of each sheet: its own third row names them, quotes may hold commas and breaks."""
+    for batch in batches:
+        names, values = [], []
+        for text in batch.column(0).to_pylist():
+            rows = list(csv.reader(io.StringIO(text.removeprefix("\ufeff"), newline="")))
+            header = rows[HEADER_ROW - 1] if len(rows) >= HEADER_ROW else []
+            for row in rows[HEADER_ROW:]:
+                if any(cell.strip() for cell in row):
+                    width = max(len(header), len(row))
+                    named = [header[i] if i < len(header) and header[i] else f"_blank{i}" for i in range(width)]
+                    names.append([n if n not in named[:i] else f"{n}_{i}" for i, n in enumerate(named)])
+                    values.append([row[i] if i < len(row) else None for i in range(width)])
+        kind = pa.list_(pa.string())
+        yield pa.RecordBatch.from_pydict({"names": pa.array(names, kind), "values": pa.array(values, kind)})
+
+
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
-    """Ledger sheets as text columns named by their third row.
+    """Ledger sheets as text columns, each sheet named by its own third row.
 
-    ``path`` may name one sheet or a folder of sheets of one layout. A sheet is read whole, since only its own
-    first rows tell titles from data; a spreadsheet bounds it at some ten million cells, and sheets are spread
-    over the tasks. The driver sees one header row. Short rows are padded with NULL and rows without any text
-    are dropped.
+    ``path`` may name one sheet or a folder of sheets of any layouts; a column that a sheet lacks is NULL in its rows. A
+    sheet is read whole, since only its own first rows tell titles from data; a spreadsheet bounds it at some ten million
+    cells, and sheets are spread over the tasks. The driver sees the distinct layouts. Cells beyond the header are kept as
+    ``_blank`` columns, short rows are padded with NULL and rows without any text are dropped.
     """
-    sheets = spark.read.text(path, wholetext=True).select(F.split("value", "\r?\n").alias("lines"))
-    first = sheets.filter(F.size("lines") >= HEADER_ROW).select(F.col("lines")[HEADER_ROW - 1].alias("line")).first()
-    if first is None:
+    rows = spark.read.text(path, wholetext=True).mapInArrow(_sheet_rows, "names array<string>, values array<string>")
+    layouts = [r["names"] for r in rows.select("names").distinct().orderBy(F.size("names"), F.array_join("names", ",")).collect()]
+    columns = list(dict.fromkeys(name for names in layouts for name in names))
+    if not columns:
         return spark.createDataFrame([], T.StructType([]))
-    names = next(csv.reader([first["line"]]))
-    fields = [f"_c{i}" for i in range(len(names))]
-    lines = sheets.select(F.posexplode("lines").alias("place", "line")).filter(F.col("place") >= HEADER_ROW)
-    rows = lines.select(F.from_csv("line", ", ".join(f"{c} string" for c in fields)).alias("r")).select("r.*")
-    filled = F.coalesce(*[blank_to_null(F.trim(c)) for c in fields]).isNotNull()
-    labels = [name if name else f"_blank{i}" for i, name in enumerate(names)]
-    return rows.filter(filled).select([F.col(c).alias(label) for c, label in zip(fields, labels)])
+    place = lambda name: F.array_position("names", F.lit(name)).cast("int")
+    return rows.select(*(F.get("values", place(name) - 1).alias(name) for name in columns))
 
 
 def find_column(columns: list[str], keyword: str) -> str | None:
