@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import os
 import re
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
 from contextlib import contextmanager
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +27,7 @@ SESSION_SETTINGS = {
 _CHECKPOINT_DIR = "spark.checkpoint.dir"
 _local_fallback: dict[str, str] = {}
 _run_roots: dict[str, str] = {}
+_shipped: set[str] = set()
 
 
 def build_session(master: str = "local[8]", shuffle_partitions: int = 8, **settings: str) -> SparkSession:
@@ -57,8 +61,23 @@ def shared_dir(spark: SparkSession) -> str:
     return _local_fallback[app]
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Give the Python workers this package, where neither their path nor the working folder has it."""
+    root = Path(__file__).resolve().parents[1]
+    app = spark.sparkContext.applicationId
+    if app in _shipped or root in map(Path, [os.getcwd(), *filter(None, os.environ.get("PYTHONPATH", "").split(os.pathsep))]):
+        return
+    _shipped.add(app)
+    archive = Path(tempfile.mkdtemp(prefix="equiscan-package-")) / "equiscan.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for source in sorted(Path(__file__).parent.rglob("*.py")):
+            out.write(source, str(source.relative_to(root)))
+    spark.sparkContext.addPyFile(str(archive))  # the driver hands it to every executor
+
+
 def run_root(spark: SparkSession) -> str:
     """One folder per application below :func:`shared_dir`, so runs never meet."""
+    ship_package(spark)
     app = spark.sparkContext.applicationId
     if app not in _run_roots:
         _run_roots[app] = f"{shared_dir(spark)}/equiscan-{app}-{uuid.uuid4().hex[:8]}"

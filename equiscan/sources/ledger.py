@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from equiscan.functions import multi_format_date, number_text
+from equiscan.session import ship_package
 
 HEADER_ROW = 3
 # Header keywords of the three sheets, and the label of a purchase.
@@ -84,6 +85,7 @@ def read_ledger(spark: SparkSession, path: str) -> DataFrame:
     cells, and sheets are spread over the tasks. The driver sees the distinct layouts. Cells beyond the header are kept as
     ``_blank`` columns, short rows are padded with NULL and rows without any text are dropped.
     """
+    ship_package(spark)
     rows = spark.read.text(path, wholetext=True).mapInArrow(_sheet_rows, "names array<string>, values array<string>")
     layouts = [r["names"] for r in rows.select("names").distinct().orderBy(F.size("names"), F.array_join("names", ",")).collect()]
     columns = list(dict.fromkeys(name for names in layouts for name in names))

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from equiscan.operators.filters import date_slice
+from equiscan.session import ship_package
 
 SEQUENCE = "_seq"
 
@@ -86,6 +87,7 @@ def read_bulk_csv(spark: SparkSession, paths: str | list[str]) -> BulkLoad:
     Files are read by groups of equal headers, so no layout is imposed on another. A file that cannot be unpacked to its
     end is left out whole and named with its cause. What reaches the driver is a line for each file.
     """
+    ship_package(spark)
     files = spark.read.format("binaryFile").load(paths).select("path", "content")
     found = files.mapInArrow(_first_lines, "path string, header string, cause string").orderBy("path").collect()
     by_header: dict[str, list[str]] = {}
