@@ -8,6 +8,15 @@ from pyspark.sql import functions as F
 from equiscan.session import staged
 
 
+#: Rows, some 16 bytes each, that a round still takes in one task, which spares its shuffles; more are shuffled.
+ONE_TASK_EDGES = 500_000
+
+
+def in_few_tasks(df: DataFrame, rows: int) -> DataFrame:
+    """One partition for a table of few rows: what groups or joins it then needs no shuffle."""
+    return df.coalesce(1) if rows <= ONE_TASK_EDGES else df
+
+
 def _digest(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(u, v))"), F.expr("bit_xor(xxhash64(v, u, 1))")).first())
 
@@ -25,6 +34,7 @@ def connected_components(links: DataFrame) -> DataFrame:
     before = None
     while (now := _digest(edges)) != before:
         before = now
+        edges = in_few_tasks(edges, now[0])
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy(F.col("u").alias("w")).agg(F.min("v").alias("m")).select("w", F.least("w", "m").alias("m"))
         large = both.where("v > u").join(least, F.col("u") == F.col("w")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()

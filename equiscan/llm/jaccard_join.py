@@ -8,7 +8,7 @@ more words than there are empty ones, and an equal word is the join key. A secon
 rejects pairs whose Hamming distance exceeds the allowed difference before the sets themselves are compared.
 
 Equal sets are one node throughout. Nodes that share a word are first compared with the smallest node of that word only;
-what is linked then is one component. Where large groups stay apart, they are compared with other leaders round by round.
+what is linked then is one component. Where large groups stay apart, nodes are compared with others that take the same key.
 All pairs are compared only between nodes of different components, by Hamming distance within the join.
 """
 
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from equiscan.llm.components import connected_components
+from equiscan.llm.components import connected_components, in_few_tasks
 from equiscan.llm.textbytes import LOWER, NOT_BLANK, Texts, U, mix, slices
 from equiscan.session import broadcast_up_to, staged
 
@@ -32,9 +32,9 @@ BAND = 1.5
 #: Tries with other hashes for a set that leaves too many words of its sketch empty; after them its shingles are keys.
 TRIES = 3
 PARITY_BITS = 512
-#: Other leaders of a key that its nodes are compared with in a round; pairs for every row up to which all are compared,
-#: by a few machine instructions each; and the share of pairs a round must leave at most for another one to follow.
-LEADERS, PAIRS_A_ROW, ROUND_LEAVES = 4, 64, 0.8
+#: Keys that a node takes in the first round (half as many in each that follows); pairs for every row up to which all are
+#: compared, by a few machine instructions each; the share of pairs a round must leave at most for another one to follow.
+PICKS, PAIRS_A_ROW, ROUND_LEAVES = 16, 64, 0.95
 #: Node fingerprints a task remembers, so that copies within a task emit once.
 SEEN = 200_000
 #: Ids that are still broadcast to pick texts, 8 bytes each.
@@ -288,10 +288,15 @@ def linked_documents(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
         if pairs <= PAIRS_A_ROW * rows or pairs > ROUND_LEAVES * last_pairs:
             break
         last_pairs = pairs
-        orders = [F.xxhash64("node", F.lit(round_no * LEADERS + i)) for i in range(LEADERS)]
-        leaders = apart.groupBy("sig").agg(F.array(*(F.struct(F.min_by("node", o).alias("b"), F.min_by("c", o).alias("c_b")) for o in orders)).alias("leaders"))
-        others = apart.join(leaders, "sig").select(F.col("node").alias("a"), "c", F.explode("leaders").alias("l")).where("c <> l.c_b")
-        more = linked(others.select("a", F.col("l.b").alias("b")).distinct())
+        # Each node takes, several times over, the smallest of its keys under a hash: similar nodes tend to take the same.
+        # Those that did are compared with one of them.
+        seeds = range(round_no << 8, (round_no << 8) + max(1, PICKS >> round_no))
+        taken = in_few_tasks(apart, rows).groupBy("node", "c").agg(F.array(*(F.min_by("sig", F.xxhash64("sig", F.lit(i))) for i in seeds)).alias("keys"))
+        taken = taken.select("node", "c", F.posexplode("keys").alias("i", "sig"))
+        order = F.xxhash64("node", "i", F.lit(round_no))
+        leaders = taken.groupBy(F.col("i").alias("i_b"), F.col("sig").alias("sig_b")).agg(F.min_by("node", order).alias("b"), F.min_by("c", order).alias("c_b"))
+        others = taken.join(leaders, (F.col("i") == F.col("i_b")) & (F.col("sig") == F.col("sig_b")) & (F.col("c") != F.col("c_b")))
+        more = linked(others.select(F.col("node").alias("a"), "b").distinct())
         round_no += 1
         if more.isEmpty():
             break

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from equiscan.session import ship_package
+
 ROUNDS = 8
 KINDS = ["email", "phone", "card", "ssn", "iban", "ip", "date"]
 
@@ -219,6 +221,7 @@ def pseudonymise(docs: DataFrame, key: bytes, text_col: str = "text", counts_col
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
+    ship_package(docs.sparkSession)
     docs = docs.select(*(f"`{c}`" for c in docs.columns if c.lower() != counts_col.lower()))
     schema = T.StructType(
         [*docs.schema.fields, T.StructField(counts_col, T.StructType([T.StructField(k, T.LongType()) for k in KINDS]))]

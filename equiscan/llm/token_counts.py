@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from equiscan.session import ship_package
+
 #: Words whose counts a worker remembers.
 CACHED_WORDS = 500_000
 #: The mark of a word's begin, and how far an unknown character scores below the worst piece.
@@ -121,6 +123,7 @@ def count_tokens(docs: DataFrame, model_path: str, byte_fallback: bool = True, i
     Null and empty texts have 0 tokens. Repeated rows and rows without id are counted each by itself. Columns other than
     the two named are not read. An empty table gives no rows.
     """
+    ship_package(docs.sparkSession)
     id_type = docs.schema[id_col].dataType.simpleString()
     return (
         docs.select(F.col(id_col).alias("doc"), F.col(text_col).cast("string").alias("text"))
