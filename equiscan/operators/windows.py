@@ -21,23 +21,6 @@ def avg_last(value: Column | str, k: int, w: WindowSpec) -> Column:
     return F.avg(value).over(w.rowsBetween(-(k - 1), 0))
 
 
-def avg_lagged(value: Column | str, k: int, lag: int, w: WindowSpec) -> Column:
-    """The ``k``-row mean as it stood ``lag`` rows earlier; NULL while that frame is empty."""
-    return F.avg(value).over(w.rowsBetween(-(k + lag - 1), -lag))
-
-
-def stddev_last(value: Column | str, k: int, w: WindowSpec) -> Column:
-    return F.stddev_samp(value).over(w.rowsBetween(-(k - 1), 0))
-
-
-def max_last(value: Column | str, k: int, w: WindowSpec) -> Column:
-    return F.max(value).over(w.rowsBetween(-(k - 1), 0))
-
-
-def min_last(value: Column | str, k: int, w: WindowSpec) -> Column:
-    return F.min(value).over(w.rowsBetween(-(k - 1), 0))
-
-
 def max_prior(value: Column | str, k: int, w: WindowSpec) -> Column:
     """Maximum of the ``k`` rows before the current one."""
     return F.max(value).over(w.rowsBetween(-k, -1))
@@ -48,12 +31,6 @@ def count_last(k: int, w: WindowSpec) -> Column:
     return F.least(F.row_number().over(w), F.lit(k)).cast("bigint")
 
 
-def rolling_full(value: Column | str, k: int, w: WindowSpec) -> Column:
-    """Mean of the last ``k`` rows, NULL until ``k`` non-null values are there."""
-    frame = w.rowsBetween(-(k - 1), 0)
-    return F.when(F.count(value).over(frame) == k, F.avg(value).over(frame))
-
-
 @dataclass(frozen=True)
 class Slide:
     """``how`` (avg, full_avg, stddev, max or min) of the last ``k`` values of a column."""
@@ -176,10 +153,11 @@ def sliding(
 
 
 def latest(df: DataFrame, key: str = "code", order: str = "date") -> DataFrame:
-    """One row per key: the one with the greatest ``order``. An aggregate, so it combines before the shuffle."""
+    """One row per key: the one with the greatest ``order``, of which a key has one. An aggregate, so it combines before the
+    shuffle; a value for each column, for a struct of them could not be aggregated by hash."""
     others = [c for c in df.columns if c != key]
-    picked = df.groupBy(key).agg(F.max_by(F.struct(*others), F.col(order)).alias("_row"))
-    return picked.select(key, *[F.col(f"_row.{c}").alias(c) for c in others])
+    picked = [(F.max(c) if c == order else F.max_by(c, order)).alias(c) for c in others]
+    return df.groupBy(key).agg(*picked).select(key, *others)
 
 
 def tail_rows(df: DataFrame, n: int, key: str = "code", order: str = "date") -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 from datetime import date
 
@@ -77,12 +78,13 @@ def read_export(spark: SparkSession, path: str) -> DataFrame:
 def export_all(
     reports: dict[str, Callable[[], DataFrame]], root: str, optional: tuple[str, ...] = ()
 ) -> dict[str, int]:
-    """Export each report; -1 marks a failed one, 0 a failed optional one."""
+    """Export each report; -1 marks a failed one, 0 a failed optional one. The cause goes to the log."""
     results: dict[str, int] = {}
     for name, build in reports.items():
         try:
             results[name] = export_table(build(), f"{root}/{name}")
-        except Exception:
+        except Exception as error:
+            logging.getLogger(__name__).warning("report %s was not exported: %s", name, error)
             results[name] = 0 if name in optional else -1
     return results
 
