@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import tempfile
@@ -100,6 +101,12 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """After a large stage was written down: shuffle files go when the driver's JVM finds that nothing refers to them."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 @contextmanager
 def staged_while(df: DataFrame, name: str) -> Iterator[DataFrame]:
     """:func:`staged` for the length of a block; the copy is removed at its end."""
