@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from equiscan.llm.components import connected_components, in_few_tasks
 from equiscan.llm.textbytes import LOWER, NOT_BLANK, Texts, U, mix, slices
-from equiscan.session import broadcast_up_to, staged
+from equiscan.session import broadcast_up_to, release_shuffles, staged
 
 #: Largest set over smallest set of a band.
 BAND = 1.5
@@ -236,6 +236,7 @@ def linked_documents(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
         raise ValueError("two different sets share a 64-bit fingerprint; change the constants of fingerprints()")
     keys = narrow.where("doc IS NOT NULL").select("text").mapInArrow(_signed(words, percent), "sig long, node long")
     shared = staged(keys.repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(_shared, "sig long, node long, leader long"), "jaccard-shared")
+    release_shuffles(docs.sparkSession)
 
     members = staged(nodes.join(shared.select("node").distinct(), "node").select("node", "doc", "n", "parity"), "jaccard-members")
     chosen = broadcast_up_to(members.select("doc", F.col("node").alias("wanted")), BROADCAST_IDS)
@@ -276,7 +277,11 @@ def linked_documents(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     led = shared.where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b"))
     first = staged(led.groupBy("a").agg(F.min("b").alias("b")), "jaccard-first")
     links = linked(first)
-    links = links.union(linked(led.distinct().join(first, ["a", "b"], "left_anti")))
+    component = components(links)
+    # The other leaders of a node, where they are not known to be in its component: most are.
+    ends = [component.select(F.col("node").alias(c), F.col("component").alias(f"c_{c}")) for c in "ab"]
+    second = led.distinct().join(first, ["a", "b"], "left_anti").join(ends[0], "a", "left").join(ends[1], "b", "left")
+    links = links.union(linked(second.where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b")))
     component = components(links)
     apart = still_apart(component)
     round_no, last_pairs = 0, float("inf")
@@ -307,7 +312,7 @@ def linked_documents(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     full = apart.join(members.select("node", "n", "parity"), "node")
     one, other = (full.select(F.col("sig").alias(f"sig_{c}"), F.col("node").alias(c), F.col("c").alias(f"c_{c}"), F.col("n").alias(f"n_{c}"), F.col("parity").alias(f"p_{c}")) for c in "ab")
     rest = one.join(other, (F.col("sig_a") == F.col("sig_b")) & (F.col("c_a") != F.col("c_b")) & (F.col("a") > F.col("b")) & may_link("a", "b"))
-    # Pairs with the first leader of a key are decided: they have been compared above.
+    # Pairs with the first leader of a key are decided: they were compared, or their ends were in one component.
     more = linked(rest.select("a", "b").distinct().join(led.distinct(), ["a", "b"], "left_anti"))
     if not more.isEmpty():
         component = components(links.union(more))
