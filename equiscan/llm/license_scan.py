@@ -1,7 +1,7 @@
 """License scan with a positional index of rare tokens.
 
 Licence notices are word sequences. Their words are counted over all documents; of each notice the words that the fewest
-documents use go into a small positional index. A document's rarest indexed words are looked up, postings are shifted by
+documents use go into a small positional index. All indexed words of a document are looked up, postings are shifted by
 their place in the notice, and where several agree on one beginning the notice's mandatory phrases are compared in place.
 """
 
@@ -11,7 +11,7 @@ import math
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from equiscan.llm.columns import text_or_empty, words_of
@@ -46,8 +46,8 @@ NOTICES = [
 #: The phrases of the base scan and their labels.
 BASE_PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
-#: Words of a notice in the index; distinct words of a document that are looked up; words that must agree on a beginning.
-INDEXED, LOOKED_UP, AGREE = 3, 12, 2
+#: Words of a notice in the index; words that must agree on a beginning.
+INDEXED, AGREE = 3, 2
 
 
 def _offset(text: str, phrase: str) -> int:
@@ -127,13 +127,8 @@ def scan_licenses(docs: DataFrame, notices: list[Notice] | None = None, id_col:
     index = F.broadcast(spark.createDataFrame(postings, "notice int, word string, place int, weight double"))
     held = scanned.where("words IS NOT NULL")
     found = held.select("row", F.posexplode("words").alias("position", "word")).join(index, "word")
-    # A document's rarest indexed words, by rank of weight within the document.
-    looked_up = found.groupBy("row", "word").agg(F.max("weight").alias("weight"))
-    rank = F.row_number().over(Window.partitionBy("row").orderBy(F.col("weight").desc(), "word"))
-    looked_up = looked_up.withColumn("rank", rank).where(F.col("rank") <= LOOKED_UP).select("row", "word")
     begins = (
-        found.join(looked_up, ["row", "word"])
-        .groupBy("row", "notice", (F.col("position") - F.col("place")).alias("base"))
+        found.groupBy("row", "notice", (F.col("position") - F.col("place")).alias("base"))
         .agg(F.countDistinct("place").alias("agree"))
         .where(F.col("agree") >= AGREE)
     )

@@ -51,6 +51,13 @@ def test_notices_are_found_by_their_rare_words_and_mandatory_phrases(spark):
     assert found[6].labels == "mit" and [n.first_word for n in found[6].notices] == [0, 5]
 
 
+def test_a_text_with_all_notices_gets_all_labels(spark):
+    text = ".\n".join(n.text for n in license_scan.NOTICES)
+    found = license_scan.scan_licenses(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    labels = {n.label for n in license_scan.NOTICES}
+    assert {n.label for n in found.notices if n.coverage == 1} == labels and labels <= set(found.labels.split(","))
+
+
 def test_license_on_awkward_rows(messy, no_documents):
     rows = license_scan.scan_licenses(messy).collect()
     assert len(rows) == messy.count() and all(r.labels == "" and r.first_word is None for r in rows)
