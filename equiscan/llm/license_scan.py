@@ -1,13 +1,13 @@
 """License scan with a positional index of rare tokens.
 
-Licence notices are word sequences. Their words are counted over all documents; of each notice the words that the fewest
-documents use go into a small positional index. All indexed words of a document are looked up, postings are shifted by
-their place in the notice, and where several agree on one beginning the notice's mandatory phrases are compared in place.
+Licence notices are word sequences. The words of their mandatory phrases are counted over all documents; of each notice
+the one that the fewest documents use goes into a small positional index. A notice counts only where all its mandatory
+phrases stand in place, so each of its occurrences has that word at its place: wherever an indexed word stands, the posting
+is shifted by its place in the notice and the mandatory phrases are compared, and no occurrence is lost.
 """
 
 from __future__ import annotations
 
-import math
 import re
 from dataclasses import dataclass
 
@@ -46,9 +46,6 @@ NOTICES = [
 #: The phrases of the base scan and their labels.
 BASE_PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
-#: Words of a notice in the index; words that must agree on a beginning.
-INDEXED, AGREE = 3, 2
-
 
 def _offset(text: str, phrase: str) -> int:
     """Words of the text before the phrase."""
@@ -78,13 +75,12 @@ def document_frequency(words: DataFrame, vocabulary: list[str]) -> dict[str, int
     return {r["word"]: r["count"] for r in used.groupBy("word").count().limit(len(vocabulary)).collect()}
 
 
-def rare_postings(notices: list[Notice], frequency: dict[str, int], n_docs: int) -> list[tuple[int, str, int, float]]:
-    """(notice, word, place, weight): the words of each notice that the fewest documents use; weight is their IDF."""
+def rare_postings(notices: list[Notice], frequency: dict[str, int]) -> list[tuple[int, str, int]]:
+    """(notice, word, place): of the words in a notice's mandatory phrases the one that the fewest documents use."""
     out = []
     for number, notice in enumerate(notices):
-        words = notice.text.split()
-        rarest = sorted(set(words), key=lambda w: (frequency.get(w, 0), w))[:INDEXED]
-        out += [(number, w, i, math.log((n_docs + 1) / (frequency.get(w, 0) + 1)) + 1) for i, w in enumerate(words) if w in rarest]
+        places = [(w, _offset(notice.text, m) + i) for m in notice.mandatory for i, w in enumerate(m.split())]
+        out.append((number, *min(places, key=lambda p: (frequency.get(p[0], 0), p))))
     return out
 
 
@@ -92,7 +88,8 @@ def scan_licenses(docs: DataFrame, notices: list[Notice] | None = None, id_col:
     """One row for every row of ``docs``: ``id_col``, n_words, n_base, first_word, last_word, base_labels, labels, score, and
     notices (array of label, first_word and coverage: the notices found, with the share of their words in place).
 
-    Base labels come from phrases in place alone; the method adds the labels of notices. score is 1 with a base label, else
+    Base labels come from phrases in place alone; the method adds the label of every notice whose mandatory phrases stand
+    in place, whatever its other words. score is 1 with a base label, else
     the best coverage, 0 without any label.
 
     Null and empty texts have no words and no labels; first_word and last_word are then null, as without a base phrase.
@@ -107,47 +104,50 @@ def scan_licenses(docs: DataFrame, notices: list[Notice] | None = None, id_col:
             raise ValueError(f"write the notice {n.label} in lower-case words with single blanks")
     spark = docs.sparkSession
     words = docs.select(F.col(id_col).alias("doc"), words_of(text_or_empty(text_col)).alias("words"))
-    frequency = document_frequency(words, sorted({w for n in notices for w in n.text.split()}))
-    postings = rare_postings(notices, frequency, docs.count())
-    indexed = sorted({w for _, w, _, _ in postings})
-
-    scanned = words.withColumn("has_indexed", F.arrays_overlap("words", F.lit(indexed)))
+    frequency = document_frequency(words, sorted({w for n in notices for m in n.mandatory for w in m.split()}))
+    postings = rare_postings(notices, frequency)
+    indexed = F.lit(sorted({w for _, w, _ in postings}))
+    # Words that a notice can have before and from its indexed word on.
+    before = max((place for _, _, place in postings), default=0)
+    after = max((len(notices[i].text.split()) - place for i, _, place in postings), default=0)
+
+    def around(i: Column) -> Column:
+        low = F.greatest(F.lit(0), i - before)
+        return F.struct(i.alias("position"), F.get("words", i).alias("word"), low.alias("low"), F.slice("words", low + 1, F.lit(before + after)).alias("near"))
+
+    places = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: F.array_contains(indexed, F.get("words", i)))
     scanned = staged(
-        scanned.select(
+        words.select(
             F.monotonically_increasing_id().alias("row"),
             "doc",
             F.size("words").cast("long").alias("n_words"),
             *(_starts(F.col("words"), phrase).alias(label) for phrase, label in BASE_PHRASES.items()),
-            F.when(F.col("has_indexed"), F.col("words")).alias("words"),
+            F.when(F.arrays_overlap("words", indexed), F.transform(places, around)).alias("hits"),
         ),
         "license-words",
     )
 
-    # As many rows as NOTICES has words, a few hundred.
-    index = F.broadcast(spark.createDataFrame(postings, "notice int, word string, place int, weight double"))
-    held = scanned.where("words IS NOT NULL")
-    found = held.select("row", F.posexplode("words").alias("position", "word")).join(index, "word")
-    begins = (
-        found.groupBy("row", "notice", (F.col("position") - F.col("place")).alias("base"))
-        .agg(F.countDistinct("place").alias("agree"))
-        .where(F.col("agree") >= AGREE)
-    )
-    templates = F.broadcast(
+    # As many rows as notices.
+    index = F.broadcast(
         spark.createDataFrame(
-            [(i, n.label, n.text.split(), [(_offset(n.text, m), m.split()) for m in n.mandatory]) for i, n in enumerate(notices)],
-            "notice int, label string, template array<string>, mandatory array<struct<at:int,phrase:array<string>>>",
+            [
+                (w, place, notices[i].label, notices[i].text.split(), [(_offset(notices[i].text, m), m.split()) for m in notices[i].mandatory])
+                for i, w, place in postings
+            ],
+            "word string, place int, label string, template array<string>, mandatory array<struct<at:int,phrase:array<string>>>",
         )
     )
-    checked = begins.join(templates, "notice").join(held.select("row", "words"), "row")
-    in_place = F.forall("mandatory", lambda m: F.when(F.col("base") + m["at"] >= 0, F.slice("words", F.col("base") + m["at"] + 1, F.size(m["phrase"]))) == m["phrase"])
-    low = F.greatest(F.lit(0), -F.col("base"))
+    found = scanned.where("hits IS NOT NULL").select("row", F.inline("hits")).join(index, "word")
+    found = found.withColumn("base", F.col("position") - F.col("place")).withColumn("begin", F.col("base") - F.col("low"))
+    in_place = F.forall("mandatory", lambda m: F.when(F.col("begin") + m["at"] >= 0, F.slice("near", F.col("begin") + m["at"] + 1, F.size(m["phrase"]))) == m["phrase"])
+    cut = F.greatest(F.lit(0), -F.col("begin"))
     agreeing = F.size(
         F.filter(
-            F.zip_with(F.slice("words", F.col("base") + low + 1, F.size("template") - low), F.slice("template", low + 1, F.size("template")), lambda a, b: a.eqNullSafe(b)),
+            F.zip_with(F.slice("near", F.col("begin") + cut + 1, F.size("template") - cut), F.slice("template", cut + 1, F.size("template")), lambda a, b: a.eqNullSafe(b)),
             lambda same: same,
         )
     )
-    verified = checked.where(F.coalesce(in_place, F.lit(False))).select(
+    verified = found.where(F.coalesce(in_place, F.lit(False))).select(
         "row", F.struct("label", F.col("base").cast("long").alias("first_word"), (agreeing / F.size("template")).alias("coverage")).alias("found")
     )
     by_row = verified.groupBy("row").agg(F.array_sort(F.collect_set("found")).alias("notices"))
@@ -156,7 +156,7 @@ def scan_licenses(docs: DataFrame, notices: list[Notice] | None = None, id_col:
     base = F.array_compact(F.array(*(F.when(F.size(label) > 0, F.lit(label)) for label in sorted(BASE_PHRASES.values()))))
     none = F.array().cast("array<struct<label:string,first_word:bigint,coverage:double>>")
     return (
-        scanned.drop("words")
+        scanned.drop("hits")
         .join(by_row, "row", "left")
         .withColumns({"starts": starts, "base": base, "notices": F.coalesce("notices", none)})
         .select(

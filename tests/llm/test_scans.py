@@ -58,6 +58,34 @@ def test_a_text_with_all_notices_gets_all_labels(spark):
     assert {n.label for n in found.notices if n.coverage == 1} == labels and labels <= set(found.labels.split(","))
 
 
+def brute_notices(text):
+    words, found = words_of(text), set()
+    for n in license_scan.NOTICES:
+        w = n.text.split()
+        at = {i + j: p for m in n.mandatory for i in [len(f" {n.text} ".split(f" {m} ")[0].split())] for j, p in enumerate(m.split())}
+        for base in range(-len(w), len(words)):
+            here = lambda i: words[base + i] if 0 <= base + i < len(words) else None  # noqa: B023, E731
+            if all(here(i) == p for i, p in at.items()):
+                found.add((n.label, base, sum(here(i) == x for i, x in enumerate(w)) / len(w)))
+    return found
+
+
+def test_mandatory_phrases_in_place_suffice_in_a_corpus_that_uses_the_other_words(spark):
+    alone = ["available under the Mozilla Public License version 2.0", "Eclipse Public License", "The MIT License", "this is free and unencumbered software"]
+    alone += ["cc-by-nc", "x " * 50 + "gnu general public license version 2 or gnu general public license version 3"]
+    common = ["mit lizenz by nc cc", "free software version 2 0", "license under the terms"] * 4
+    texts = dict(enumerate([*alone, *common, " ".join(alone * 3), ". ".join(n.text for n in license_scan.NOTICES)]))
+    rows = license_scan.scan_licenses(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    got = {r.doc_id: {(n.label, n.first_word, n.coverage) for n in r.notices} for r in rows}
+    assert got == {i: brute_notices(t) for i, t in texts.items()}
+    assert [{n[0] for n in got[i]} for i in range(6)] == [{"mpl-2.0"}, {"epl"}, {"mit"}, {"unlicense"}, {"cc-by-nc"}, {"gpl-2.0", "gpl-3.0"}]
+
+
+def test_notices_equal_brute_force(documents, texts):
+    for r in license_scan.scan_licenses(documents).collect():
+        assert {(n.label, n.first_word, n.coverage) for n in r.notices} == brute_notices(texts[r.doc_id])
+
+
 def test_license_on_awkward_rows(messy, no_documents):
     rows = license_scan.scan_licenses(messy).collect()
     assert len(rows) == messy.count() and all(r.labels == "" and r.first_word is None for r in rows)
