@@ -109,10 +109,11 @@ def _phone(value: str, feistel: Feistel) -> str:
     return country + _symbols(value[len(country) :], feistel, f"phone:{country}")
 
 
-def _card(value: str, feistel: Feistel) -> str:
+def _card(value: str, feistel: Feistel) -> str | None:
     digits = re.sub("[ -]", "", value)
-    valid = luhn(digits)
-    new = iter(_symbols(digits, feistel, f"card:{valid}", lambda n: luhn(n) == valid))
+    if not luhn(digits):
+        return None
+    new = iter(_symbols(digits, feistel, "card:True", luhn))
     return "".join(next(new) if c in _DIGITS else c for c in value)
 
 
@@ -213,8 +214,8 @@ def _replaced(key: bytes, at: int, schema: pa.Schema):
 def pseudonymise(docs: DataFrame, key: bytes, text_col: str = "text", counts_col: str = "pii_counts") -> DataFrame:
     """All columns of ``docs`` with the values in ``text_col`` replaced, and ``counts_col``, a struct of counts by kind.
 
-    Mail addresses, phone numbers, card numbers (those with a right check digit keep one), social security numbers, bank
-    account numbers, IPv4 addresses and dates keep their format. Values that fail their check stay.
+    Mail addresses, phone numbers, card numbers with a right check digit, social security numbers, bank account numbers,
+    IPv4 addresses and dates keep their format. Values that fail their check stay.
 
     Null stays null, an empty text empty; texts of any length are scanned whole. Repeated rows get equal results. A column
     of ``docs`` named like ``counts_col`` gives way to it. An empty table gives no rows.
