@@ -9,10 +9,12 @@ a round in one group is done or a round brings almost nothing.
 from __future__ import annotations
 
 import base64
+import json
 import re
 from array import array
 from collections.abc import Iterable, Iterator
 from functools import cache
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -55,6 +57,15 @@ class _WordIds(dict):
         return ids
 
 
+def added_tokens(tokenizer_path: str) -> dict[str, int]:
+    """The texts that the tokenizer file knows as tokens by themselves, wherever they stand in a text, and their ids."""
+    with open(tokenizer_path, encoding="utf-8") as file:
+        added = json.load(file)["added_tokens"]
+    if any(token[k] for token in added for k in ("single_word", "lstrip", "rstrip")):
+        raise ValueError(f"added tokens of {tokenizer_path} that depend on what stands beside them are not supported")
+    return {token["content"]: token["id"] for token in added}
+
+
 @cache
 def _encoder(ranks_path: str):
     import public_tokenizers
@@ -65,11 +76,20 @@ def _encoder(ranks_path: str):
     encoding = tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     words = _WordIds(encoding.encode_ordinary)
 
-    def encode(text: str) -> bytes:
+    added = {token: array("I", [i]).tobytes() for token, i in added_tokens(str(Path(ranks_path).with_suffix(".json"))).items()}
+    # The longest of those that begin at one place counts.
+    marks = re.compile(f"({'|'.join(map(re.escape, sorted(added, key=len, reverse=True)))})") if added else None
+
+    def encode_ordinary(text: str) -> bytes:
         if _ORDINARY.search(text):
             return array("I", encoding.encode_ordinary(text)).tobytes()
         return b"".join(map(words.__getitem__, _WORDS.findall(text)))
 
+    def encode(text: str) -> bytes:
+        if marks is None or not marks.search(text):
+            return encode_ordinary(text)
+        return b"".join(added[part] if i % 2 else encode_ordinary(part) for i, part in enumerate(marks.split(text)))
+
     return encode
 
 
@@ -196,6 +216,9 @@ def pack_documents(
 ) -> DataFrame:
     """Tokenise ``docs`` and pack them: one row per piece with its ids and its place.
 
+    ``ranks_path`` is the vocabulary; beside it lies the tokenizer's file of the same name, .json, whose added tokens are
+    recognised in texts.
+
     Returns ``id_col``, piece (from 0), start (ids of the document before it), length, ids (binary, little-endian unsigned
     32-bit), sequence_id and offset; the pieces of a sequence fill it from 0 without gaps. A document is its ids and one
     end id; only documents longer than ``capacity`` are cut, into full pieces after a first piece with the remainder.

@@ -83,6 +83,22 @@ def test_characters_of_the_short_way_split_like_the_tokenizer():
         assert encode(text) == ids_of(text)[:-4], text
 
 
+def test_added_tokens_of_the_tokenizer_are_recognised(spark):
+    mark = "<|endoftext|>"
+    texts = [f"a {mark} b", mark, mark * 3, f"{mark}  x\n\n{mark}\n", f"don{mark}'t 漢字{mark}  漢", "<|endoftext|", "<|ENDOFTEXT|>", f"<|{mark}|>", f"{mark} " * 3000]
+    assert packing.added_tokens(public_tokenizers.path("byte_bpe_50k.json")) == {mark: 50256}
+    encode = packing._encoder(RANKS)
+    for text in texts:
+        assert encode(text) == ids_of(text)[:-4], text
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    check(packing.pack_documents(docs, RANKS).collect(), [[ids_of(t)] for t in texts], 2048)
+
+
+@given(st.lists(st.sampled_from(["<|endoftext|>", "<|endof", "text|>", " ", "\n", "a", "'s", "é", "漢", "1"]), max_size=12).map("".join))
+def test_texts_with_added_tokens_split_like_the_tokenizer(text):
+    assert packing._encoder(RANKS)(text) == ids_of(text)[:-4]
+
+
 def test_awkward_rows(messy, no_documents):
     rows = packing.pack_documents(messy, RANKS).collect()
     check(rows, None, 2048)
