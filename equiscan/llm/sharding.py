@@ -30,17 +30,39 @@ def shard_sizes(rows: int, shards: int) -> np.ndarray:
     return np.array([rows // shards + (s < rows % shards) for s in range(shards)], np.int64)
 
 
+def _hypergeometric(random: np.random.Generator, marked: int, rest: int, drawn: int) -> int:
+    """Inversion of the hypergeometric law from its mode, by the ratios of neighbouring weights; any number of balls."""
+    low, high, total = max(0, drawn - rest), min(marked, drawn), marked + rest
+    mode = min(high, max(low, (drawn + 1) * (marked + 1) // (total + 2)))
+    step = 64 + int(12 * math.sqrt(drawn * (marked / total) * (rest / total) * ((total - drawn) / total)))
+
+    def weights(up: bool) -> np.ndarray:
+        """Relative to the mode's, from its neighbour outwards as far as a double can tell them from nothing."""
+        parts, at, last = [], mode, 1.0
+        while last > 1e-30 and at != (high if up else low):
+            if up:
+                k = np.arange(at, min(high, at + step), dtype=np.float64)
+                ratio = (marked - k) / (k + 1) * ((drawn - k) / (rest - drawn + k + 1))
+            else:
+                k = np.arange(at, max(low, at - step), -1, dtype=np.float64)
+                ratio = k / (marked - k + 1) * ((rest - drawn + k) / (drawn - k + 1))
+            parts.append(last * np.cumprod(ratio))
+            at, last = at + (len(k) if up else -len(k)), float(parts[-1][-1])
+        return np.concatenate(parts) if parts else np.zeros(0)
+
+    below, above = weights(False), weights(True)
+    sums = np.cumsum(np.concatenate([below[::-1], [1.0], above]))
+    return mode - len(below) + min(int(np.searchsorted(sums, random.random() * sums[-1], side="right")), len(sums) - 1)
+
+
 def _without_replacement(random: np.random.Generator, marked: int, rest: int, drawn: int) -> int:
-    """Marked balls among ``drawn`` from an urn; beyond numpy's limit the normal law, rounded into the possible range."""
+    """Marked balls among ``drawn`` from an urn: hypergeometric at every size."""
     low, high = max(0, drawn - rest), min(marked, drawn)
     if low >= high:
         return low
-    total = marked + rest
-    if total <= _NUMPY_ROWS:
+    if marked + rest <= _NUMPY_ROWS:
         return int(random.hypergeometric(marked, rest, drawn))
-    share = marked / total
-    spread = math.sqrt(drawn * share * (1 - share) * (total - drawn) / max(total - 1, 1))
-    return int(min(high, max(low, round(random.normal(drawn * share, spread)))))
+    return _hypergeometric(random, marked, rest, drawn)
 
 
 def communication_matrix(counts: list[int], sizes: np.ndarray, seed: int) -> np.ndarray:

@@ -1,3 +1,4 @@
+import math
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -47,3 +48,21 @@ def test_awkward_rows(spark, messy, no_documents, tmp_path):
     assert sorted((r.shard, r.slot) for r in got) == sorted({(r.shard, r.slot) for r in got})
     no_documents.write.parquet(str(tmp_path / "n"))
     assert placed(spark, str(tmp_path / "n")).collect() == []
+
+
+def test_counts_follow_the_hypergeometric_law_at_every_size():
+    random = np.random.Generator(np.random.PCG64(5))
+    n = 20_000
+    # Beyond a billion rows, few marked: close to Poisson with mean 1/2, which a normal law would miss by far.
+    few = [sharding._without_replacement(random, 10**6, 2 * 10**9, 1000) for _ in range(n)]
+    for k in range(4):
+        expected = math.exp(-0.5) * 0.5**k / math.factorial(k)
+        assert abs(few.count(k) / n - expected) < 0.015
+    # The law itself, against exact binomials.
+    for marked, rest, drawn in ((5, 7, 6), (30, 10, 25), (3, 40, 20), (40, 3, 41)):
+        got = [sharding._hypergeometric(random, marked, rest, drawn) for _ in range(n)]
+        for k in range(max(0, drawn - rest), min(marked, drawn) + 1):
+            expected = math.comb(marked, k) * math.comb(rest, drawn - k) / math.comb(marked + rest, drawn)
+            assert abs(got.count(k) / n - expected) < 0.015
+    large = np.array([sharding._hypergeometric(random, 10**11, 7 * 10**11, 10**9) for _ in range(200)])
+    assert abs(large.mean() - 10**9 / 8) < 5 * 10_459 / 200**0.5 and 0.8 < large.std() / 10_451 < 1.2
