@@ -7,50 +7,52 @@ means the same however Spark orders the files.
 from __future__ import annotations
 
 import csv
-import gzip
-import io
-import zlib
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 from datetime import date
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from equiscan.operators.filters import date_slice
-from equiscan.session import ship_package
+from equiscan.session import staged
+from equiscan.sources import streams
 
 SEQUENCE = "_seq"
 
 
-def _record_schema(spark: SparkSession, path: str) -> T.StructType:
-    """All fields of the records in pages of either layout, values as text."""
-    found: dict[str, T.StructField] = {}
-    for multi_line in (True, False):
-        schema = spark.read.option("multiLine", multi_line).option("primitivesAsString", True).json(path).schema
-        data = schema["data"].dataType if "data" in schema.names else None
-        if isinstance(data, T.ArrayType) and isinstance(data.elementType, T.StructType):
-            for f in data.elementType.fields:
-                found.setdefault(f.name, f)
-    return T.StructType(list(found.values()))
+def _as_text(kind: T.DataType) -> T.DataType:
+    """The same shape with every value as text; mixed values are the text of their JSON."""
+    if isinstance(kind, T.StructType):
+        return T.StructType([T.StructField(f.name, _as_text(f.dataType)) for f in kind.fields])
+    if isinstance(kind, T.ArrayType) and not isinstance(kind.elementType, (T.VariantType, T.NullType)):
+        return T.ArrayType(_as_text(kind.elementType))
+    return T.StringType()
+
+
+def _record_schema(records: DataFrame) -> T.StructType:
+    """All fields of the JSON texts in ``records``, values as text."""
+    shape = records.agg(F.schema_of_variant_agg(F.try_parse_json("json")).alias("shape")).first()["shape"]
+    if not shape or not shape.startswith("OBJECT<"):
+        return T.StructType([])
+    return _as_text(T.StructType.fromDDL(f"r {shape.replace('OBJECT<', 'STRUCT<')}")["r"].dataType)
 
 
 def read_pages(spark: SparkSession, path: str, record: T.StructType | None = None) -> DataFrame:
     """API response pages, each a JSON document with a ``data`` array of records, as one table with ``_seq``.
 
-    A file is one document over any number of lines, or several with one in each line; one task reads it. Without a
-    ``record`` schema the fields are looked for first, in a pass of its own.
+    A file holds one document over any number of lines, or several after each other; it may be packed with gzip. A task
+    reads its files block by block and passes on one record after the other, so a file may be larger than a task's memory.
+    A file that ends inside a document stops the read. Records are parsed by ``record``; without it the texts of the
+    records are staged, their fields are collected there, and the values are text.
     """
-    page = T.StructType([T.StructField("data", T.ArrayType(record if record is not None else _record_schema(spark, path)))])
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    lines = F.filter(F.split("value", "\r?\n"), lambda line: F.trim(line) != "")
-    whole_lines = F.get_json_object(F.get(lines, F.lit(0)), "$").isNotNull()
-    documents = files.select("file", F.posexplode(F.when(whole_lines, lines).otherwise(F.array("value"))).alias("document", "json"))
-    records = documents.select("file", "document", F.posexplode(F.from_json("json", page)["data"]).alias("place", "r"))
-    place = F.struct("file", F.col("document").cast("long").alias("block"), F.col("place").cast("long").alias("place"))
-    return records.select("r.*", place.alias(SEQUENCE))
+    records = streams.listed(spark, path).mapInArrow(streams.page_records, streams.PAGE_RECORDS)
+    if record is None:
+        records = staged(records, "page-records")
+        record = _record_schema(records)
+    place = F.struct("file", F.col("document").alias("block"), "place")
+    parsed = F.from_json("json", record).alias("r") if len(record) else F.struct(F.lit(None).alias("_")).alias("r")
+    return records.select(parsed, place.alias(SEQUENCE)).select(*[F.col(f"r.`{f}`") for f in record.names], SEQUENCE)
 
 
 @dataclass(frozen=True)
@@ -61,51 +63,34 @@ class BulkLoad:
     skipped: list[tuple[str, str]] = field(default_factory=list)
 
 
-def _first_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(path, header, cause): unpack each file to its end, so that a damaged one shows before a row of it is used."""
-    for batch in batches:
-        headers, causes = [], []
-        for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            header, cause = None, None
-            try:
-                raw = io.BytesIO(content.as_py())
-                with gzip.GzipFile(fileobj=raw) if path.endswith(".gz") else raw as lines:
-                    header = lines.readline().decode("utf-8-sig").rstrip("\r\n")
-                    while lines.read(1 << 20):
-                        pass
-                cause = None if header else "no header"
-            except (OSError, EOFError, zlib.error, UnicodeDecodeError) as error:
-                cause = f"{type(error).__name__}: {error}"
-            headers.append(header)
-            causes.append(cause)
-        yield pa.RecordBatch.from_pydict({"path": batch.column(0), "header": pa.array(headers, pa.string()), "cause": pa.array(causes, pa.string())})
+#: Damaged files that are named in a filter; more of them are joined away.
+NAMED_FILES = 200
 
 
 def read_bulk_csv(spark: SparkSession, paths: str | list[str]) -> BulkLoad:
     """Gzip or plain CSV files, each with a header of its own; types are the job's business.
 
-    Files are read by groups of equal headers, so no layout is imposed on another. A file that cannot be unpacked to its
-    end is left out whole and named with its cause. What reaches the driver is a line for each file.
+    Every file is read once, as a stream: its rows go to a staged table, and its last line there says how it ended. The
+    rows are put together by groups of equal headers, so no layout is imposed on another. A file that cannot be unpacked
+    to its end is left out whole and named with its cause. What reaches the driver is a line for each file.
     """
-    ship_package(spark)
-    files = spark.read.format("binaryFile").load(paths).select("path", "content")
-    found = files.mapInArrow(_first_lines, "path string, header string, cause string").orderBy("path").collect()
-    by_header: dict[str, list[str]] = {}
-    for row in found:
-        if row["cause"] is None:
-            by_header.setdefault(row["header"], []).append(row["path"])
+    rows = staged(streams.listed(spark, paths).mapInArrow(streams.csv_rows, streams.CSV_ROWS), "bulk-rows")
+    ends = rows.where("cells IS NULL").select("file", "header", "cause")
+    files = ends.orderBy("file").collect()
+    skipped = [(f["file"], f["cause"]) for f in files if f["cause"] is not None]
+    if len(skipped) > NAMED_FILES:
+        rows = rows.join(ends.where("cause IS NOT NULL").select("file"), "file", "left_anti")
+    elif skipped:
+        rows = rows.where(~F.col("file").isin([path for path, _ in skipped]))
     frames = []
-    for header, members in by_header.items():
+    for header in dict.fromkeys(f["header"] for f in files if f["cause"] is None):
         names: list[str] = []
         for i, name in enumerate(next(csv.reader([header]))):
             names.append(name if name and name not in names else f"_column{i}")
-        schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-        rows = spark.read.schema(schema).option("header", True).option("enforceSchema", True).csv(members)
-        place = F.struct(
-            F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place")
-        )
-        frames.append(rows.select(*(F.col(f"`{n}`") for n in names), place.alias(SEQUENCE)))
-    return BulkLoad(frames, [(row["path"], row["cause"]) for row in found if row["cause"] is not None])
+        place = F.struct("file", F.lit(0).cast("long").alias("block"), "place").alias(SEQUENCE)
+        cells = [F.get("cells", F.lit(i)).alias(name) for i, name in enumerate(names)]
+        frames.append(rows.where((F.col("header") == header) & F.col("cells").isNotNull()).select(*cells, place))
+    return BulkLoad(frames, skipped)
 
 
 def read_slice(df: DataFrame, start: date | None = None, end: date | None = None, column: str = "date") -> DataFrame:
