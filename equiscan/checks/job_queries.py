@@ -58,6 +58,13 @@ def nums(names: list[str] | tuple[str, ...], digits: int = 4) -> str:
 
 BARS_SQL = f"SELECT date, code, {nums(('open', 'high', 'low', 'close'))}, volume, turnover_value FROM daily_bars"
 
+def write_pages(records: DataFrame, path: str) -> None:
+    """Pages of up to 1,000 records each, as an API delivers them: more records make more pages, not longer ones."""
+    paged = records.withColumn("_page", F.floor(F.monotonically_increasing_id() / 1000))
+    pages = paged.groupBy("_page").agg(F.collect_list(F.struct(*records.columns)).alias("data"))
+    pages.select("data", F.lit("next").alias("pagination_key")).write.json(path)
+
+
 # ---- 2.1 sources -------------------------------------------------------------------------------
 
 
@@ -66,12 +73,10 @@ BARS_SQL = f"SELECT date, code, {nums(('open', 'high', 'low', 'close'))}, volume
     f"SELECT {AS_OF_SQL} AS as_of, code, company_name FROM equity_master",
 )
 def _(d):
-    """Pages of up to 1,000 records each are written, then read back as one table."""
+    """Pages are written, then read back as one table."""
     records = landed.equity_master(d).select("Code", "CoName")
-    page = F.floor(F.monotonically_increasing_id() / 1000)
     path = scratch_path(d, "pages")
-    pages = records.withColumn("p", page).groupBy("p").agg(F.collect_list(F.struct("Code", "CoName")).alias("data"))
-    pages.select("data", F.lit("next").alias("pagination_key")).write.json(path)
+    write_pages(records, path)
     rows = readers.read_pages(d.spark, path, all_text(records))
     spec = jobs.DATASETS["equity_master"]
     return jobs.normalise(rows, spec).select(F.lit(AS_OF).alias("as_of"), "code", "company_name")
@@ -685,9 +690,7 @@ def _(d):
     database, folders = scratch_database(d), {}
     for name in ("equity_master", "daily_bars", "financial_summary", "topix", "indices"):
         folders[name] = scratch_path(d, name)
-        rows = landed.LANDED[name](d).drop(jobs.SEQUENCE)
-        pages = rows.groupBy(F.floor(F.rand(1) * 20)).agg(F.collect_list(F.struct(*rows.columns)).alias("data"))
-        pages.select("data").write.json(folders[name])
+        write_pages(landed.LANDED[name](d).drop(jobs.SEQUENCE), folders[name])
     logs = []
     for run in range(2):
         log = catchup.run_landed(d.spark, "daily", folders, database, AS_OF)
@@ -699,13 +702,13 @@ def _(d):
 
 @query("first_record_wins", "SELECT CAST(NULL AS DATE) AS date, index_code, min(close) AS close FROM (SELECT index_code, CAST(0 AS DOUBLE) AS close FROM index_bars WHERE index_code <> '0000') GROUP BY index_code")
 def _(d):
-    """The same key in two page files, of which the second is much larger: the first file's value counts."""
+    """The same key in page files of two deliveries, of which the second is much larger: the first one's value counts."""
     rows = d.index_bars().filter("index_code <> '0000'").select(F.lit("2001-06-29").alias("Date"), F.col("index_code").alias("Code"))
     path = scratch_path(d, "pages")
     first = rows.distinct().withColumn("C", F.lit("0"))
     second = rows.withColumn("C", F.lit("1"))
     for place, part in (("a", first), ("b", second)):
-        part.groupBy().agg(F.collect_list(F.struct("Date", "Code", "C")).alias("data")).write.json(f"{path}/{place}")
+        write_pages(part, f"{path}/{place}")
     read = readers.read_pages(d.spark, f"{path}/*")
     return jobs.normalise(read, jobs.DATASETS["indices"]).select(F.lit(None).cast("date").alias("date"), "index_code", "close")
 

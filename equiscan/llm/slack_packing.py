@@ -126,7 +126,7 @@ def sequences(documents: Iterator[tuple[object, bytes]], capacity: int = CAPACIT
             # A copy, so that a short remainder doesn't keep a long document in memory.
             rest.add(doc, n, whole, memoryview(ids[4 * whole :]))
         if rest.tokens >= window:
-            while rest.tokens > reserve:
+            while rest.tokens >= max(reserve, capacity):
                 yield rest.sequence()
     while rest.tokens >= capacity:
         yield rest.sequence()
