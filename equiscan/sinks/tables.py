@@ -4,6 +4,9 @@ Tables are Parquet in the session catalog. A table with a date key is laid out b
 ``month`` column), rows sorted by key inside the files: daily directories would hold a few thousand rows
 each. Before a write the rows are rebalanced by month, so adaptive execution merges small months and splits
 large ones instead of giving each month to one task.
+
+A table may also be dealt into :class:`Buckets` by the key of its series. Every write, upserts included, keeps
+them; a window or join on that key then reads the series without an exchange.
 """
 
 from __future__ import annotations
@@ -27,6 +30,26 @@ DATE_KEYS = ("date", "trade_date", "disclosed_date", "snapshot_time", "pub_date"
 _DYNAMIC = "spark.sql.sources.partitionOverwriteMode"
 
 
+#: Property of a staging table that holds all of what an upsert puts in place; see :func:`recover`.
+REDO = "equiscan.redo"
+
+
+@dataclass(frozen=True)
+class Buckets:
+    """Rows of a table dealt to ``n`` buckets by the hash of ``key``: as many as tasks shall read it side by side."""
+
+    key: str
+    n: int
+
+
+def buckets_of(spark: SparkSession, table: str) -> Buckets | None:
+    """The buckets that a stored table was created with."""
+    about = {r["col_name"]: r["data_type"] for r in spark.sql(f"DESCRIBE EXTENDED {table}").collect()}
+    if "Num Buckets" not in about:
+        return None
+    return Buckets(about["Bucket Columns"].strip("[]`"), int(about["Num Buckets"]))
+
+
 def create_database(spark: SparkSession, name: str, location: str | None = None) -> None:
     where = f" LOCATION '{location}'" if location else ""
     spark.sql(f"CREATE DATABASE IF NOT EXISTS `{name}`{where}")
@@ -73,21 +96,27 @@ def fit_columns(df: DataFrame, table: str, add_columns: bool = False) -> list[st
 def _insert(df: DataFrame, table: str, date_column: str | None, sort: list[str], replace: bool) -> int:
     """Write into an existing table and count in one job; columns the batch lacks are NULL, the declared types stay."""
     seen = Observation()
-    rows = _laid_out(df.observe(seen, F.count(F.lit(1)).alias("rows")), date_column, sort)
+    rows = _laid_out(df.observe(seen, F.count(F.lit(1)).alias("rows")), date_column, sort, buckets_of(df.sparkSession, table))
     aligned = [F.col(c).cast(t) if c in rows.columns else F.lit(None).cast(t).alias(c) for c, t in df.sparkSession.table(table).dtypes]
     rows.select(*aligned).write.insertInto(table, overwrite=replace)
     return int(seen.get["rows"])
 
 
-def _laid_out(df: DataFrame, date_column: str | None, sort: list[str]) -> DataFrame:
-    if date_column is None:
-        return df
-    return (
-        df.withColumn(MONTH, F.date_format(date_column, "yyyy-MM"))
-        .hint("rebalance", F.col(MONTH))
-        # The month leads the sort: the writer needs it, and would otherwise sort again and lose the rest.
-        .sortWithinPartitions(MONTH, *sort)
-    )
+def _laid_out(df: DataFrame, date_column: str | None, sort: list[str], buckets: Buckets | None = None) -> DataFrame:
+    if date_column is not None:
+        df = df.withColumn(MONTH, F.date_format(date_column, "yyyy-MM"))
+    return _dealt(df, sort, buckets) if date_column is not None or buckets else df
+
+
+def _dealt(df: DataFrame, sort: list[str], buckets: Buckets | None = None) -> DataFrame:
+    """Rows of a month, and of a bucket in it, together; small ones share a task, large ones are split.
+
+    The month leads the sort: the writer needs it, and would otherwise sort again and lose the rest. Buckets it sorts itself.
+    """
+    by = [F.col(MONTH)] if MONTH in df.columns else []
+    if buckets:
+        return df.withColumn("_bucket", F.pmod(F.hash(buckets.key), F.lit(buckets.n))).hint("rebalance", *by, F.col("_bucket")).drop("_bucket")
+    return df.hint("rebalance", *by).sortWithinPartitions(*by, *sort)
 
 
 @contextmanager
@@ -100,27 +129,31 @@ def _dynamic_partitions(spark: SparkSession):
         spark.conf.set(_DYNAMIC, before)
 
 
-def _create(df: DataFrame, table: str, date_column: str | None, sort: list[str], mode: str) -> int:
-    """Write and count in one job."""
-    seen = Observation()
-    writer = _laid_out(df.observe(seen, F.count(F.lit(1)).alias("rows")), date_column, sort).write.mode(mode)
+def _create(df: DataFrame, table: str, date_column: str | None, sort: list[str], mode: str, buckets: Buckets | None = None) -> int:
+    """Write all of a table; its rows are counted from the file footers, for a batch may turn out to have none."""
+    writer = _laid_out(df, date_column, sort, buckets).write.mode(mode)
     if date_column is not None:
         writer = writer.partitionBy(MONTH)
+    if buckets:
+        writer = writer.bucketBy(buckets.n, buckets.key).sortBy(buckets.key, *(c for c in sort if c != buckets.key))
     writer.format("parquet").saveAsTable(table)
-    return int(seen.get["rows"])
+    return row_count(df.sparkSession, table)
 
 
-def overwrite(df: DataFrame, table: str, date_column: str | None = None, sort: list[str] | None = None) -> int:
+def overwrite(
+    df: DataFrame, table: str, date_column: str | None = None, sort: list[str] | None = None, buckets: Buckets | None = None
+) -> int:
     """Replace the rows of the table; an empty input leaves the table alone and counts 0.
 
-    A table that exists keeps its declared columns and types; a column it lacks is an error.
+    A table that exists keeps its declared columns, types and buckets; a column it lacks is an error.
     """
     spark = df.sparkSession
     if df.isEmpty():
         return 0
     sort = sort or df.columns[:2]
     if not table_exists(spark, table):
-        return _create(df, table, date_column, sort, "overwrite")
+        return _create(df, table, date_column, sort, "overwrite", buckets)
+    recover(spark, table)
     if is_by_month(spark, table) and date_column is None:
         raise ValueError(f"{table} is laid out by month: name its date column")
     fit_columns(df, table)
@@ -134,6 +167,7 @@ def append(
     spark = df.sparkSession
     if not table_exists(spark, table):
         return overwrite(df, table, date_column, sort)
+    recover(spark, table)
     if is_by_month(spark, table) and date_column is None:
         raise ValueError(f"{table} is laid out by month: name its date column")
     fit_columns(df, table, add_columns)
@@ -177,6 +211,7 @@ class BatchProfile:
     rows: int
     bounds: tuple[date, date] | None
     months: list[str]
+    undated: bool = False
 
 
 def profile_batch(df: DataFrame, keys: list[str], column: str | None, keys_unique: bool = False) -> BatchProfile:
@@ -193,6 +228,7 @@ def profile_batch(df: DataFrame, keys: list[str], column: str | None, keys_uniqu
             F.min(column).alias("lo"),
             F.max(column).alias("hi"),
             F.collect_set(F.date_format(column, "yyyy-MM")).alias("months"),
+            F.coalesce(F.bool_or(F.col(column).isNull()), F.lit(False)).alias("undated"),
         ]
     row = counts.agg(*wanted).first()
     if (row["most"] or 0) > 1:
@@ -200,7 +236,7 @@ def profile_batch(df: DataFrame, keys: list[str], column: str | None, keys_uniqu
     if column is None:
         return BatchProfile(row["rows"] or 0, None, [])
     bounds = (row["lo"], row["hi"]) if row["lo"] is not None else None
-    return BatchProfile(row["rows"] or 0, bounds, sorted(row["months"]))
+    return BatchProfile(row["rows"] or 0, bounds, sorted(row["months"]), row["undated"])
 
 
 def merged(target: DataFrame, source: DataFrame, keys: list[str]) -> DataFrame:
@@ -235,59 +271,103 @@ def upsert(
     date_column: str | None = None,
     keys_unique: bool = False,
     add_columns: bool = False,
+    buckets: Buckets | None = None,
 ) -> int:
     """Update rows by key, insert the others, keep everything else. Returns the size of the batch.
 
-    The batch is computed once: it is staged, and profiled and written from there. A column the table lacks is an error,
-    or is added. Parquet has no MERGE. A batch of dates the table does not have is appended. Otherwise the months the batch
-    touches are joined with it, the result is written to a staging table, and the staging table is swapped in by a dynamic
-    partition overwrite. A lost executor only repeats tasks; after a lost driver the staging table still holds the merged months.
+    A table that does not exist is created from the batch as it is computed. Otherwise the batch is computed once: it is
+    staged, and profiled and written from there. A column the table lacks is an error, or is added. Parquet has no MERGE. A
+    batch of dates the table does not have is appended. Otherwise the months the batch touches are joined with it, the
+    result is written to a staging table that is marked as complete, and its months are put in place of the stored ones.
+
+    A lost executor only repeats tasks. After a lost driver, a staging table that is not complete is worth nothing: the
+    batch has changed nothing yet. One that is complete is put in place by the next write, or by :func:`recover`.
     """
-    if table_exists(df.sparkSession, table):
-        fit_columns(df, table, add_columns)
+    spark = df.sparkSession
+    if not table_exists(spark, table):
+        return _created(df, table, keys, date_column, keys_unique, buckets)
+    recover(spark, table)
+    fit_columns(df, table, add_columns)
     with staged_while(df, "upsert-batch") as batch:
         return _upsert(batch, table, keys, match_types, date_column, keys_unique)
 
 
+def _created(df: DataFrame, table: str, keys: list[str], date_column: str | None, keys_unique: bool, buckets: Buckets | None) -> int:
+    """A new table from a batch, which is checked for repeated keys where it is stored; without rows there is no table."""
+    spark = df.sparkSession
+    column = date_column if date_column in keys else date_key(keys, df.columns)
+    rows = _create(df, table, column, keys, "overwrite", buckets)
+    try:
+        if rows and not keys_unique:
+            profile_batch(spark.table(table).select(*keys), keys, None)
+    except ValueError:
+        rows = 0
+        raise
+    finally:
+        if not rows:
+            spark.sql(f"DROP TABLE {table}")
+    return rows
+
+
 def _upsert(df: DataFrame, table: str, keys: list[str], match_types: bool, date_column: str | None, keys_unique: bool) -> int:
     spark = df.sparkSession
     column = date_column if date_column in keys else date_key(keys, df.columns)
     batch = profile_batch(df, keys, column, keys_unique)
     if batch.rows == 0:
         return 0
-    if not table_exists(spark, table):
-        return _create(df, table, column, keys, "overwrite")
     stored = spark.table(table)
     if match_types:
         df = safe_cast_to(df, stored.schema)
     by_month = MONTH in stored.columns and column is not None
     target = stored
     if by_month:
-        target = stored.filter(F.col(MONTH).isin(batch.months))
+        dated = stored.filter(F.col(MONTH).isin(batch.months))
         if batch.bounds is not None:
-            target = bounded_target(target, column, batch.bounds)
-            overlap = target.filter(F.col(column).between(*[F.lit(b) for b in batch.bounds]))
+            dated = bounded_target(dated, column, batch.bounds)
+            overlap = dated.filter(F.col(column).between(*[F.lit(b) for b in batch.bounds]))
         if batch.bounds is None or overlap.isEmpty():
             # No stored row has a date of the batch, so no key can match: the usual case of a new day.
             return append(df, table, column, keys)
-        target = target.drop(MONTH)
+        # What replaces the partition of undated rows has to hold those that are there: then it may be repeated.
+        target = (dated.unionByName(stored.filter(F.col(MONTH).isNull())) if batch.undated else dated).drop(MONTH)
     staging = f"{table}__staging_{uuid.uuid4().hex[:8]}"
     result = merged(target, df, keys)
     if by_month:
         result = result.withColumn(MONTH, F.date_format(column, "yyyy-MM"))
     result.select(*stored.columns).write.format("parquet").saveAsTable(staging)
-    fresh = spark.table(staging)
-    if by_month:
-        dated = fresh.filter(F.col(MONTH).isNotNull())
+    spark.sql(f"ALTER TABLE {staging} SET TBLPROPERTIES ('{REDO}' = '{','.join(keys)}')")
+    _put_in_place(spark, staging, table, keys)
+    return batch.rows
+
+
+def _put_in_place(spark: SparkSession, staging: str, table: str, keys: list[str]) -> None:
+    """The months of ``staging`` for those of ``table``, or all of it for a table without months; may be repeated."""
+    fresh, buckets = spark.table(staging), buckets_of(spark, table)
+    if MONTH in fresh.columns:
         with _dynamic_partitions(spark):
-            dated.hint("rebalance", F.col(MONTH)).sortWithinPartitions(MONTH, *keys).write.mode("overwrite").insertInto(table)
-        undated = fresh.filter(F.col(MONTH).isNull())
-        if not undated.isEmpty():
-            undated.write.insertInto(table)
+            _dealt(fresh, keys, buckets).write.mode("overwrite").insertInto(table)
     else:
-        fresh.write.mode("overwrite").insertInto(table)
+        (_dealt(fresh, keys, buckets) if buckets else fresh).write.mode("overwrite").insertInto(table)
     spark.sql(f"DROP TABLE IF EXISTS {staging}")
-    return batch.rows
+
+
+def recover(spark: SparkSession, table: str) -> int:
+    """Finish the upsert that a lost driver left unfinished; returns how many complete staging tables there were.
+
+    Every write of a table begins with this, so there is one at most. Staging tables that are not complete are dropped.
+    """
+    database, _, name = table.rpartition(".")
+    within = f" IN {database}" if database else ""
+    found = [r["tableName"] for r in spark.sql(f"SHOW TABLES{within} LIKE '{name}__staging_*'").collect()]
+    finished = 0
+    for staging in (f"{database}.{t}" if database else t for t in found):
+        keys = {r["key"]: r["value"] for r in spark.sql(f"SHOW TBLPROPERTIES {staging}").collect()}.get(REDO)
+        if keys is None:
+            spark.sql(f"DROP TABLE IF EXISTS {staging}")
+        else:
+            _put_in_place(spark, staging, table, keys.split(","))
+            finished += 1
+    return finished
 
 
 def latest_date(spark: SparkSession, table: str, column: str = "date") -> date | None:

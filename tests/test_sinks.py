@@ -160,3 +160,107 @@ def test_files_are_sorted_by_key_within_a_month(spark, database):
     for path in spark.table(name).inputFiles():
         got = [(r.code, r.date) for r in spark.read.parquet(path).collect()]
         assert got == sorted(got)
+
+
+class Lost(BaseException):
+    """The driver is gone."""
+
+
+def _lost_after(monkeypatch, months):
+    """The swap of an upsert ends after ``months`` months are in place."""
+    whole = tables._put_in_place
+
+    def partly(spark, staging, table, keys):
+        some = spark.table(staging).filter(F.col("month").isin(months) if months else F.lit(False))
+        with tables._dynamic_partitions(spark):
+            some.write.mode("overwrite").insertInto(table)
+        raise Lost
+
+    monkeypatch.setattr(tables, "_put_in_place", partly)
+    return lambda: monkeypatch.setattr(tables, "_put_in_place", whole)
+
+
+@pytest.mark.parametrize("months", [[], ["2024-01"]])
+@pytest.mark.parametrize("then", ["the same batch", "another batch", "append", "recover"])
+def test_an_upsert_that_breaks_between_two_months_is_finished_by_the_next_write(spark, table, monkeypatch, months, then):
+    batch = frame(spark, [("2024-01-05", "A", 9.0, "n"), ("2024-02-01", "A", 8.0, "n"), (None, "Z", 7.0, "n")])
+    whole_again = _lost_after(monkeypatch, months)
+    with pytest.raises(Lost):
+        tables.upsert(batch, table, ["date", "code"])
+    whole_again()
+    expected = [("2024-01-05", "A", 9.0, "n"), ("2024-01-05", "B", 2.0, "x"), ("2024-02-01", "A", 8.0, "n"), ("2024-03-01", "A", 4.0, "x"), ("None", "Z", 7.0, "n")]
+    if then == "the same batch":
+        tables.upsert(batch.filter("date IS NOT NULL"), table, ["date", "code"])
+    elif then == "another batch":
+        tables.upsert(frame(spark, [("2024-03-01", "A", 5.0, "o")]), table, ["date", "code"])
+        expected[3] = ("2024-03-01", "A", 5.0, "o")
+    elif then == "append":
+        tables.append(frame(spark, [("2024-05-01", "Z", 1.0, "n")]), table, "date")
+        expected.insert(4, ("2024-05-01", "Z", 1.0, "n"))
+    else:
+        assert tables.recover(spark, table) == 1
+    assert content(spark, table) == expected
+    assert tables.recover(spark, table) == 0
+    assert [t.name for t in spark.catalog.listTables(table.split(".")[0]) if "staging" in t.name] == []
+
+
+def test_an_upsert_that_breaks_before_its_result_is_complete_has_changed_nothing(spark, table):
+    before = content(spark, table)
+    spark.table(table).limit(1).write.saveAsTable(f"{table}__staging_half")
+    assert tables.recover(spark, table) == 0 and content(spark, table) == before
+    assert [t.name for t in spark.catalog.listTables(table.split(".")[0]) if "staging" in t.name] == []
+
+
+def test_a_table_without_months_is_put_in_place_again(spark, database, monkeypatch):
+    name = f"{database}.plain"
+    rows = spark.createDataFrame([("A", 1), ("B", 2)], "code string, n int")
+    tables.upsert(rows, name, ["code"])
+    whole = tables._put_in_place
+    monkeypatch.setattr(tables, "_put_in_place", lambda *a: (_ for _ in ()).throw(Lost()))
+    with pytest.raises(Lost):
+        tables.upsert(rows.filter("code = 'A'").withColumn("n", F.lit(5)), name, ["code"])
+    monkeypatch.setattr(tables, "_put_in_place", whole)
+    assert tables.recover(spark, name) == 1
+    assert sorted(tuple(r) for r in spark.table(name).collect()) == [("A", 5), ("B", 2)]
+
+
+def test_a_new_table_refuses_two_rows_for_one_key(spark, database):
+    batch = frame(spark, [("2024-01-05", "A", 9.0, "n"), ("2024-01-05", "A", 8.0, "n")])
+    with pytest.raises(ValueError):
+        tables.upsert(batch, f"{database}.fresh", ["date", "code"])
+    assert not tables.table_exists(spark, f"{database}.fresh")
+
+
+def plan_of(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_bucketed_series_are_read_without_an_exchange_and_kept_by_every_write(spark, database):
+    """Created, upserted, appended and overwritten; then windows and joins by code find the rows of a code in one task."""
+    from equiscan.operators.windows import Slide, series, sliding
+
+    name, b = f"{database}.bars", tables.Buckets("code", 4)
+    day = lambda i: str(date.fromordinal(date(2024, 1, 1).toordinal() + i))
+    bars = frame(spark, [(day(i), f"c{c}", float(i * c), "x") for i in range(80) for c in range(9)])
+    assert tables.upsert(bars, name, ["date", "code"], buckets=b) == 720
+    assert tables.buckets_of(spark, name) == b
+    changed = frame(spark, [(day(40), "c1", -1.0, "n"), (day(41), "new", 1.0, "n"), (None, "c1", 2.0, "u")])
+    assert tables.upsert(changed, name, ["date", "code"]) == 3
+    assert tables.append(frame(spark, [(day(200), f"c{c}", 1.0, "x") for c in range(9)]), name, "date") == 9
+    assert tables.buckets_of(spark, name) == b
+    stored = spark.table(name)
+    assert stored.count() == 731 and stored.filter("close = -1").count() == 1
+
+    slid = sliding(stored.select("code", "date", "close"), {"m": Slide("avg", "close", 20)})
+    text = plan_of(slid)
+    assert "Exchange" not in text and "Bucketed: true" in text
+    plain = {(r.code, r.date): r.m for r in sliding(spark.createDataFrame(stored.select("code", "date", "close").collect()), {"m": Slide("avg", "close", 20)}).collect()}
+    assert {(r.code, r.date): r.m for r in slid.collect()} == plain
+    lagged = stored.filter("month >= '2024-02'").select("code", "date", F.lag("close").over(series()).alias("p"))
+    assert "Exchange" not in plan_of(lagged)
+    # Files of a month: no more than its buckets, though several tasks wrote it.
+    files = [f for f in stored.filter("month = '2024-01'").inputFiles()]
+    assert len(files) <= 4
+    assert tables.overwrite(bars, name, "date", ["date", "code"]) == 720 and tables.buckets_of(spark, name) == b
+    assert "Exchange" not in plan_of(sliding(spark.table(name).select("code", "date", "close"), {"m": Slide("max", "close", 5)}))
