@@ -36,15 +36,16 @@ _ANY = 1_000_000_000
 #: Code points between two parts of one credential.
 SCOPE = 200
 
-#: Patterns and least lengths of the first three kinds. The order is that of kinds in a result.
+#: What the first three kinds match and their least lengths. A run that is too short holds no longer one, so
+#: the length stands in the pattern. Every pattern walks a text once. The order is that of kinds in a result.
 KINDS = [
     Kind("assign", _ASSIGN, _ASSIGN_HINT, 2, 12, _ANY, "secret", False),
-    Kind("access", "AKIA[A-Z0-9]+", "AKIA", 0, 18, _ANY, "identifier", False),
-    Kind("hex", "[0-9a-f]+", "[0-9a-f]{16}", 0, 16, _ANY, "other", False),
-    Kind("key", "(?<![A-Za-z0-9/+=])[A-Za-z0-9/+]+(?![A-Za-z0-9/+=])", "[A-Za-z0-9/+]{40}", 0, 40, 40, "secret", True),
+    Kind("access", "AKIA[A-Z0-9]{14,}", "AKIA", 0, 18, _ANY, "identifier", False),
+    Kind("hex", "[0-9a-f]{16,}", "[0-9a-f]{16}", 0, 16, _ANY, "other", False),
+    Kind("key", "(?<![A-Za-z0-9/+=])[A-Za-z0-9/+]{40}(?![A-Za-z0-9/+=])", "[A-Za-z0-9/+]{40}", 0, 40, 40, "secret", True),
     Kind("short", _ASSIGN, _ASSIGN_HINT, 2, 4, 11, "secret", True),
     Kind("user", r"""((?i:user(?:name)?|login|account|client_id))["']?\x20*[:=]\x20*["']?([A-Za-z0-9._@-]+)""", "(?i)user|login|account|client_id", 2, 3, 64, "identifier", True),
-    Kind("endpoint", r"""[A-Za-z][A-Za-z0-9+.-]*://[^\s"'<>]+""", "://", 0, 8, 2048, "endpoint", True),
+    Kind("endpoint", r"""(?<![A-Za-z0-9+.-])[A-Za-z][A-Za-z0-9+.-]*://[^\s"'<>]+""", "://", 0, 8, 2048, "endpoint", True),
 ]
 #: Roles of which one must be near for a weak part to count.
 COMPLEMENTS = {"secret": ("identifier", "endpoint"), "identifier": ("secret",), "endpoint": ("secret",)}
@@ -101,7 +102,9 @@ def scan_secrets(docs: DataFrame, scope: int = SCOPE, id_col: str = "doc_id", te
     of_role = {role: [n for n, k in enumerate(KINDS) if k.role == role] for role in ("secret", "identifier", "endpoint")}
     strong = F.col("nth").isin([number[k.name] for k in KINDS if not k.weak])
     order = Window.partitionBy("row").orderBy("start", "nth")
-    before, after = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(1, Window.unboundedFollowing)
+    # What follows is a running value from the other end: a frame to the end would be computed anew for every row.
+    backwards = Window.partitionBy("row").orderBy(F.col("start").desc(), F.col("nth").desc())
+    before, after = (w.rowsBetween(Window.unboundedPreceding, -1) for w in (order, backwards))
     overlapped = F.coalesce(F.max(F.when(strong, F.col("end"))).over(before) > F.col("start"), F.lit(False)) | F.coalesce(
         F.min(F.when(strong, F.col("start"))).over(after) < F.col("end"), F.lit(False)
     )

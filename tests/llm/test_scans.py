@@ -1,7 +1,9 @@
 """License scan, decontamination and secret scan against brute force."""
 
 import hashlib
+import random
 import re
+import time
 from collections import Counter
 
 import duckdb
@@ -134,10 +136,10 @@ def test_contamination_equals_brute_force_on_made_cases(spark):
 @pytest.mark.parametrize("key", sorted(ORACLES))
 def test_same_as_sql(spark, small, key):
     con = duckdb.connect()
-    for name in ("documents", "benchmark"):
+    for name in ("documents", "benchmark", "conversations"):
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{small}/{name}.parquet'")
     df = QUERIES[key](spark, small)
-    assert sorted(map(tuple, df.collect())) == sorted(con.execute(f"SELECT {', '.join(df.columns)} FROM ({ORACLES[key]})").fetchall())
+    assert sorted(map(tuple, df.collect()), key=str) == sorted(con.execute(f"SELECT {', '.join(df.columns)} FROM ({ORACLES[key]})").fetchall(), key=str)
 
 
 def test_contamination_on_awkward_rows(spark, messy, no_documents):
@@ -208,3 +210,38 @@ def test_secrets_on_awkward_rows(messy, no_documents):
     rows = secret_scan.scan_secrets(messy).collect()
     assert len(rows) == messy.count() and all(r.spans == [] for r in rows)
     assert secret_scan.scan_secrets(no_documents).collect() == []
+
+
+def test_secrets_in_long_words_and_among_many_matches(spark):
+    """Each of these took minutes or more where a pattern or a frame was walked anew from every place."""
+    word, run = "x" * 300_000, "http" + "s" * 100_000
+    many = " ".join(f"{i:016x}" for i in range(50_000))
+    started = time.time()
+    found = secrets(spark, f"://{word}", f"{run} ://", f"https://{word}", many, f"token=abcd {word}")
+    assert found[:3] == [[], [], []] and len(found[3]) == 50_000 and found[4] == []
+    assert time.time() - started < 60
+
+
+def brute_links(text, scope):
+    """Spans by comparing every weak part with every other part."""
+    parts = []
+    for nth, kind in enumerate(secret_scan.KINDS):
+        for m in re.finditer(kind.pattern, text):
+            if kind.least <= len(m.group(kind.value)) <= kind.most:
+                parts.append((m.start(), nth, kind, m.end()))
+    strong = [p for p in parts if not p[2].weak]
+    clear = [p for p in parts if not p[2].weak or not any(s[0] < p[3] and p[0] < s[3] for s in strong)]
+    out = []
+    for start, nth, kind, end in clear:
+        others = secret_scan.COMPLEMENTS.get(kind.role, ())
+        linked = any(k.role in others and (start - e <= scope if (s, n) < (start, nth) else s - end <= scope) for s, n, k, e in clear if (s, n) != (start, nth))
+        if not kind.weak or linked:
+            out.append((kind.name, start, end))
+    return [x for *_, x in sorted((s, [k.name for k in secret_scan.KINDS].index(n), (n, s, e)) for n, s, e in out)]
+
+
+def test_links_equal_an_interval_join_of_all_pairs(spark):
+    draw = random.Random(11)
+    pieces = ["password=abcdef", "token: " + "q" * 20, "user=bob", "login: alice99", "https://host/x", "AKIA" + "B" * 16, "0123456789abcdef", "K" * 40, "words", "x" * 90, "secret=ab", "\n", "passwd = hunter2", "ftp://a"]
+    texts = [" ".join(draw.choice(pieces) for _ in range(draw.randint(0, 25))) for _ in range(120)]
+    assert secrets(spark, *texts) == [brute_links(t, secret_scan.SCOPE) for t in texts]
