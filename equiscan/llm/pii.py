@@ -27,9 +27,10 @@ _LOWER = "abcdefghijklmnopqrstuvwxyz"
 _DIGITS = "0123456789"
 #: Any value has one of these characters in it; most texts have none.
 _HINT = re.compile("[0-9@]")
-#: One pattern for all kinds: where two could begin at one place, the first that matches counts.
+#: One pattern for all kinds: where two could begin at one place, the first that matches counts. Within a run of characters
+#: that may stand before an @ only a bounded part is tried from each place, so long words cost no more than their length.
 _VALUES = re.compile(
-    r"(?P<email>[\w.%+-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,})"
+    r"(?P<email>(?:(?<![\w.%+-])[\w.%+-]++|[\w.%+-]{1,64}+)@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,})"
     r"|(?P<iban>(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![A-Za-z0-9]))"
     r"|(?P<phone>\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9]))"
     r"|(?P<date>(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[./][0-9]{2}[./][0-9]{4})(?![0-9/-]|\.[0-9]))"
