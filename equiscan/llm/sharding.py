@@ -8,6 +8,8 @@ partition then deals its row of the matrix by a random permutation, rows are exc
 from __future__ import annotations
 
 import math
+import re
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -81,41 +83,61 @@ def communication_matrix(counts: list[int], sizes: np.ndarray, seed: int) -> np.
 
 
 def _dealt(seed: int):
-    """Shard of the row at ``position`` of partition ``part``: its row of the matrix, permuted."""
+    """Shard of the row at ``position`` of partition ``part``: its row of the matrix, permuted.
+
+    A task keeps the permuted row of the part it is in, so it is dealt once a task and not once a batch.
+    """
 
     @F.pandas_udf("int")
-    def shard(part: pd.Series, position: pd.Series, row: pd.Series) -> pd.Series:
-        out = np.zeros(len(part), np.int32)
-        for p in part.unique():
-            here = (part == p).to_numpy()
-            counts = np.asarray(row[here].iloc[0], np.int64)
-            labels = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
-            np.random.Generator(np.random.PCG64([seed, int(p)])).shuffle(labels)
-            out[here] = labels[position[here].to_numpy()]
-        return pd.Series(out)
+    def shard(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        held, labels = None, np.zeros(0, np.int32)
+        for part, position, row in batches:
+            out = np.zeros(len(part), np.int32)
+            for p in part.unique():
+                here = (part == p).to_numpy()
+                if p != held:
+                    counts = np.asarray(row[here].iloc[0], np.int64)
+                    held, labels = p, np.repeat(np.arange(len(counts), dtype=np.int32), counts)
+                    np.random.Generator(np.random.PCG64([seed, int(p)])).shuffle(labels)
+                out[here] = labels[position[here].to_numpy()]
+            yield pd.Series(out)
 
     return shard
 
 
+def _named(columns: list[str], name: str) -> str | None:
+    """The column ``name`` of :func:`read_located`: the one with the most underscores before it."""
+    return max((c for c in columns if re.fullmatch(f"_+{name}", c)), key=len, default=None)
+
+
 def read_located(spark: SparkSession, path: str) -> DataFrame:
-    """A Parquet table with ``_file`` and ``_row``: where each row is stored, the same in every read."""
-    return spark.read.parquet(path).select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    """A Parquet table with ``_file`` and ``_row``: where each row is stored, the same in every read.
+
+    Where the table has a column of such a name, the new one gets one underscore more than that.
+    """
+    table = spark.read.parquet(path)
+    names = []
+    for name in ("file", "row"):
+        taken = [len(c) - len(name) for c in table.columns if re.fullmatch(f"_+{name}", c.lower())]
+        names.append("_" * (max(taken, default=0) + 1) + name)
+    return table.select("*", F.col("_metadata.file_path").alias(names[0]), F.col("_metadata.row_index").alias(names[1]))
 
 
 def shard_rows(
-    docs: DataFrame, shards: int = 8, seed: int = 1, file: str = "_file", row: str = "_row", block_rows: int = BLOCK_ROWS
+    docs: DataFrame, shards: int = 8, seed: int = 1, file: str | None = None, row: str | None = None, block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
     """All columns of ``docs`` and shard (0 to ``shards`` - 1) and slot (gapless from 0 in a shard).
 
-    ``file`` and ``row`` say where a row is stored (:func:`read_located`), row from 0 without gaps; they are not
-    returned. Shard sizes differ by one row at most, and every arrangement is equally likely. The result depends on the
+    ``file`` and ``row`` say where a row is stored, row from 0 without gaps; by default they are the columns that
+    :func:`read_located` added. They are not returned. Shard sizes differ by one row at most, and every arrangement is equally likely. The result depends on the
     stored files and ``seed`` only, so a task that runs again deals the same rows. Texts move once, in the exchange.
 
     Rows are told apart by their place, so nulls, repeated rows and texts of any length are ordinary rows. An empty
     table gives no rows. Columns of ``docs`` that are themselves named shard or slot give way to the new ones.
     """
+    file, row = file or _named(docs.columns, "file"), row or _named(docs.columns, "row")
     kept = [F.col(f"`{c}`") for c in docs.columns if c not in (file, row) and c.lower() not in ("shard", "slot")]
-    spark, docs = docs.sparkSession, docs.select(F.struct(*kept, F.lit(0).alias("_")).alias("_doc"), F.col(file).alias("_file"), F.col(row).alias("_row"))
+    spark, docs = docs.sparkSession, docs.select(F.struct(*kept or [F.lit(0).alias("_")]).alias("_doc"), F.col(file).alias("_file"), F.col(row).alias("_row"))
     file, row = "_file", "_row"
     counts = docs.groupBy(F.col(file).alias("_f")).agg(F.count(F.lit(1)).alias("_n"))
     counts = counts.orderBy("_f").limit(MAX_PARTITIONS + 1).collect()
@@ -144,5 +166,5 @@ def shard_rows(
     order = Window.partitionBy("_shard", "_block").orderBy("_key", "_part", row)
     dealt = placed(docs).withColumn("_rank", F.row_number().over(order) - 1)
     return dealt.join(before, (F.col("_shard") == F.col("_s")) & (F.col("_block") == F.col("_b"))).select(
-        "_doc.*", F.col("_shard").alias("shard"), (F.col("_before") + F.col("_rank")).alias("slot")
-    ).drop("_")
+        *(["_doc.*"] if kept else []), F.col("_shard").alias("shard"), (F.col("_before") + F.col("_rank")).alias("slot")
+    )

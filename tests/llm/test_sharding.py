@@ -46,6 +46,11 @@ def test_awkward_rows(spark, messy, no_documents, tmp_path):
     got = placed(spark, str(tmp_path / "m"), shards=3).collect()
     assert len(got) == messy.count() and {r.shard for r in got} == {0, 1, 2}
     assert sorted((r.shard, r.slot) for r in got) == sorted({(r.shard, r.slot) for r in got})
+    assert placed(spark, str(tmp_path / "m"), shards=3).columns == [c for c in messy.columns if c not in ("shard", "slot")] + ["shard", "slot"]
+    odd = messy.withColumnsRenamed({"_row": "__ROW", "words": "_file", "key": "_"})
+    odd.write.parquet(str(tmp_path / "o"))
+    got = placed(spark, str(tmp_path / "o"), shards=3)
+    assert {"__ROW", "_file", "_"} <= set(got.columns) and {(r["__ROW"], r["_file"], r["_"]) for r in got.collect()} == {("r", "w", "k")}
     no_documents.write.parquet(str(tmp_path / "n"))
     assert placed(spark, str(tmp_path / "n")).collect() == []
 
