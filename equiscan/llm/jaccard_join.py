@@ -37,6 +37,8 @@ PARITY_BITS = 512
 PICKS, PAIRS_A_ROW, ROUND_LEAVES = 16, 64, 0.95
 #: Node fingerprints a task remembers, so that copies within a task emit once.
 SEEN = 200_000
+#: Smallest keys of a node by which a pair that shares several of them is known to have been met at an earlier one.
+FIRST_KEYS = 8
 #: Ids that are still broadcast to pick texts, 8 bytes each.
 BROADCAST_IDS = 2_000_000
 
@@ -81,6 +83,14 @@ def fingerprints(bounds: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndar
     return one.view(np.int64), two.view(np.int64)
 
 
+def node_ids(one: np.ndarray, two: np.ndarray, clashing: frozenset[int]) -> np.ndarray:
+    """The id of each set: its first fingerprint, or a mix of both where different sets are known to share that."""
+    if not clashing:
+        return one
+    mixed = mix(one.view(np.uint64) ^ mix(two.view(np.uint64))).view(np.int64)
+    return np.where(np.isin(one, np.fromiter(clashing, np.int64)), mixed, one)
+
+
 @cache
 def bands(percent: int) -> tuple[list[int], list[int], list[int]]:
     """Smallest size, largest size, and largest symmetric difference to a set at least as large, of each band."""
@@ -134,20 +144,21 @@ def _described(k: int):
                     pa.array(np.diff(bounds), pa.int64()),
                     pa.array(node, mask=np.diff(bounds) == 0),
                     pa.array(check),
+                    pa.array(mix(node.view(np.uint64) ^ mix(check.view(np.uint64))).view(np.int64)),
                     pa.ListArray.from_arrays(np.arange(0, len(parity) + 1, longs, dtype=np.int32), pa.array(parity)),
                 ],
-                names=["doc", "n", "node", "fingerprint", "parity"],
+                names=["doc", "n", "node", "fingerprint", "other", "parity"],
             )
 
     return describe
 
 
-def _signed(k: int, percent: int):
+def _signed(k: int, percent: int, clashing: frozenset[int]):
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in slices(batches, 0):
             bounds, h = shingle_sets(batch.column(0), k)
-            nodes = fingerprints(bounds, h)[0]
+            nodes = node_ids(*fingerprints(bounds, h), clashing)
             keys, of = [], []
             for node, a, b in zip(nodes.tolist(), bounds[:-1], bounds[1:], strict=True):
                 if a < b and node not in seen:
@@ -199,12 +210,12 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _set_rows(k: int):
+def _set_rows(k: int, clashing: frozenset[int]):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1):
             bounds, h = shingle_sets(batch.column(1), k)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(fingerprints(bounds, h)[0]), batch.column(0), pa.ListArray.from_arrays(bounds.astype(np.int32), pa.array(h.view(np.int64)))],
+                [pa.array(node_ids(*fingerprints(bounds, h), clashing)), batch.column(0), pa.ListArray.from_arrays(bounds.astype(np.int32), pa.array(h.view(np.int64)))],
                 names=["node", "wanted", "shingles"],
             )
 
@@ -225,23 +236,26 @@ def linked_documents(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     """
     id_type = docs.schema[id_col].dataType.simpleString()
     narrow = docs.select(F.col(id_col).alias("doc"), F.col(text_col).cast("string").alias("text"))
-    described = staged(narrow.mapInArrow(_described(words), f"doc {id_type}, n long, node long, fingerprint long, parity array<long>"), "jaccard-sets")
+    described = staged(narrow.mapInArrow(_described(words), f"doc {id_type}, n long, node long, fingerprint long, other long, parity array<long>"), "jaccard-sets")
+    # Different sets with one fingerprint are few on any corpus, about n * n / 2^65; they take their ids from both.
+    twice = described.where("node IS NOT NULL").groupBy("node").agg(F.min("fingerprint").alias("f"), F.max("fingerprint").alias("g")).where("f <> g")
+    clashing = frozenset(r["node"] for r in twice.select("node").collect())
+    if clashing:
+        described = described.withColumn("node", F.when(F.col("node").isin(*clashing), F.col("other")).otherwise(F.col("node")))
     nodes = staged(
         described.where("doc IS NOT NULL AND node IS NOT NULL")
         .groupBy("node")
-        .agg(F.min("doc").alias("doc"), F.min("n").alias("n"), F.first("parity").alias("parity"), F.min("fingerprint").alias("f"), F.max("fingerprint").alias("g")),
+        .agg(F.min("doc").alias("doc"), F.min("n").alias("n"), F.first("parity").alias("parity")),
         "jaccard-nodes",
     )
-    if not nodes.where("f <> g").isEmpty():
-        raise ValueError("two different sets share a 64-bit fingerprint; change the constants of fingerprints()")
-    keys = narrow.where("doc IS NOT NULL").select("text").mapInArrow(_signed(words, percent), "sig long, node long")
+    keys = narrow.where("doc IS NOT NULL").select("text").mapInArrow(_signed(words, percent, clashing), "sig long, node long")
     shared = staged(keys.repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(_shared, "sig long, node long, leader long"), "jaccard-shared")
     release_shuffles(docs.sparkSession)
 
     members = staged(nodes.join(shared.select("node").distinct(), "node").select("node", "doc", "n", "parity"), "jaccard-members")
     chosen = broadcast_up_to(members.select("doc", F.col("node").alias("wanted")), BROADCAST_IDS)
     sets = staged(
-        narrow.join(chosen, "doc").select("wanted", "text").mapInArrow(_set_rows(words), "node long, wanted long, shingles array<long>").where("node = wanted").select("node", "shingles"),
+        narrow.join(chosen, "doc").select("wanted", "text").mapInArrow(_set_rows(words, clashing), "node long, wanted long, shingles array<long>").where("node = wanted").select("node", "shingles"),
         "jaccard-shingles",
     )
 
@@ -257,13 +271,18 @@ def linked_documents(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     def linked(pairs: DataFrame) -> DataFrame:
         """Of ``pairs`` (a, b), which may repeat, those that link, written down."""
         near = pairs.join(described_as("a"), "a").join(described_as("b"), "b").where(may_link("a", "b"))
-        both = (
-            near.select("a", "b", "n_a", "n_b")
-            .join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("s_a")), "a")
-            .join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("s_b")), "b")
+        near = staged(near.select("a", "b", "n_a", "n_b").distinct(), "jaccard-near")
+        # Only the sets of these nodes are moved, and what was shuffled for the pairs before is given free.
+        ends = staged(near.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "jaccard-ends")
+        release_shuffles(docs.sparkSession)
+        held = sets.join(broadcast_up_to(ends, BROADCAST_IDS), "node", "left_semi")
+        both = near.join(held.select(F.col("node").alias("a"), F.col("shingles").alias("s_a")), "a").join(
+            held.select(F.col("node").alias("b"), F.col("shingles").alias("s_b")), "b"
         )
         common = F.size(F.array_intersect("s_a", "s_b"))
-        return staged(both.where(100 * common >= percent * (F.col("n_a") + F.col("n_b") - common)).select("a", "b"), "jaccard-links")
+        found = staged(both.where(100 * common >= percent * (F.col("n_a") + F.col("n_b") - common)).select("a", "b"), "jaccard-links")
+        release_shuffles(docs.sparkSession)
+        return found
 
     def components(links: DataFrame) -> DataFrame:
         return staged(connected_components(links), "jaccard-components")
@@ -309,9 +328,16 @@ def linked_documents(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
         component = components(links)
         apart = still_apart(component)
 
-    full = apart.join(members.select("node", "n", "parity"), "node")
-    one, other = (full.select(F.col("sig").alias(f"sig_{c}"), F.col("node").alias(c), F.col("c").alias(f"c_{c}"), F.col("n").alias(f"n_{c}"), F.col("parity").alias(f"p_{c}")) for c in "ab")
-    rest = one.join(other, (F.col("sig_a") == F.col("sig_b")) & (F.col("c_a") != F.col("c_b")) & (F.col("a") > F.col("b")) & may_link("a", "b"))
+    # A pair that shares many keys is wanted once. Each node carries its smallest keys: where two nodes have one of these in
+    # common that is smaller than the key at hand, the pair was met there. The smallest key that they share always passes.
+    firsts = apart.groupBy("node").agg(F.slice(F.array_sort(F.collect_set("sig")), 1, FIRST_KEYS).alias("firsts"))
+    full = apart.join(members.select("node", "n", "parity").join(firsts, "node"), "node")
+    one, other = (
+        full.select(*(F.col(c).alias(f"{short}_{side}") for c, short in (("sig", "sig"), ("c", "c"), ("n", "n"), ("parity", "p"), ("firsts", "firsts"))), F.col("node").alias(side))
+        for side in "ab"
+    )
+    met_before = F.coalesce(F.array_min(F.array_intersect("firsts_a", "firsts_b")) < F.col("sig_a"), F.lit(False))
+    rest = one.join(other, (F.col("sig_a") == F.col("sig_b")) & (F.col("c_a") != F.col("c_b")) & (F.col("a") > F.col("b")) & may_link("a", "b") & ~met_before)
     # Pairs with the first leader of a key are decided: they were compared, or their ends were in one component.
     more = linked(rest.select("a", "b").distinct().join(led.distinct(), ["a", "b"], "left_anti"))
     if not more.isEmpty():
