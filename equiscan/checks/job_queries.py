@@ -15,7 +15,7 @@ from equiscan import schemas
 from equiscan.checks.ctes import AS_OF as AS_OF_SQL
 from equiscan.checks.ctes import r
 from equiscan.checks.registry import query, rounded
-from equiscan.operators import columns
+from equiscan.operators import columns, windows
 from equiscan.plans import indicators, jobs, reports
 from equiscan.session import run_root
 from equiscan.sinks import export, tables
@@ -758,6 +758,21 @@ def _(d):
     return rounded(stored(d, table)).select(*BAR_COLUMNS)
 
 
+@query(
+    "series_buckets",
+    f"SELECT code, date, {r('avg(close) OVER (PARTITION BY code ORDER BY date ROWS BETWEEN 199 PRECEDING AND CURRENT ROW)', 4)} AS ma200 FROM daily_bars",
+)
+def _(d):
+    """Bars are loaded and one month upserted again into a table with buckets; a long mean over them needs no exchange."""
+    database, spec = scratch_database(d), jobs.DATASETS["daily_bars"]
+    jobs.setup(d.spark, database, buckets=8)
+    table, rows = f"{database}.daily_bars", landed.daily_bars(d)
+    jobs.run_bulk(rows, spec, table)
+    jobs.run(rows.filter(F.col("Date").startswith("2001-05")), spec, table)
+    bars = d.spark.table(table).select("code", "date", "close")
+    return rounded(windows.sliding(bars, {"ma200": windows.Slide("avg", "close", 200)}).drop("close"))
+
+
 @query("stream_upsert", BARS_SQL.replace("volume,", "CASE WHEN day(date) = 13 THEN 0 ELSE volume END AS volume,"))
 def _(d):
     """Two deliveries of landed files, each picked up by one run of the stream."""

@@ -7,11 +7,13 @@ from datetime import timedelta
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from equiscan.checks import job_queries
 from equiscan.checks.ctes import AS_OF as AS_OF_SQL
 from equiscan.checks.ctes import div, r
+from equiscan.checks.desk import PREVIOUS
 from equiscan.checks.registry import query, rounded
 from equiscan.operators import aggregates, filters, joins, ranking, windows
-from equiscan.plans import backtest, fundamentals, indicators, integrate, reports
+from equiscan.plans import backtest, daily_state, fundamentals, indicators, integrate, reports
 from equiscan.session import staged
 from equiscan.sinks import tables
 from equiscan.sources.derived import AS_OF
@@ -73,6 +75,18 @@ def _(d):
     return d.integrated()
 
 
+@query("integrated_score_daily", f"SELECT {columns(integrate.RANKING_COLUMNS)}, signal_confidence FROM integrated")
+def _(d):
+    """The state of an earlier day is stored, brought forward twice, and scored: the same rows as from all bars."""
+    table = job_queries.scratch_table(d, "price_state")
+    for day in (PREVIOUS, AS_OF - timedelta(days=2), AS_OF):
+        state = daily_state.bring_forward(d.daily_bars(), table, day)
+    return integrate.integrated(
+        daily_state.all_indicators(state, AS_OF), daily_state.latest_price(state, AS_OF), d.financial_summary(), d.earnings_calendar(),
+        d.index_bars(), d.equity_master(), AS_OF,
+    )
+
+
 @query("signal_rule", "SELECT code, kubota_signal, screening_status FROM integrated")
 def _(d):
     return d.scores().select(

@@ -234,14 +234,13 @@ def latest_price(bars: DataFrame, as_of: date) -> DataFrame:
     )
 
 
-def all_indicators(bars: DataFrame, as_of: date) -> DataFrame:
-    """The three scores and the newest price from one pass over the bars.
+def scored(ranked: DataFrame, as_of: date) -> DataFrame:
+    """The three scores and the newest price from rows that are ranked from the newest backwards.
 
     Struct columns ``liq``, ``vol``, ``cht`` and ``px``; each is NULL where the stand-alone operator
     would have no row for the code.
     """
-    tail = _ranked(bars, as_of, CHART_DAYS, ["high", "low", "volume", "turnover_value"])
-    wide = tail.groupBy("code").agg(
+    wide = ranked.groupBy("code").agg(
         *_liquidity_aggregates(as_of),
         *_volatility_aggregates(as_of),
         *_chart_aggregates(as_of),
@@ -259,6 +258,11 @@ def all_indicators(bars: DataFrame, as_of: date) -> DataFrame:
     )
 
 
+def all_indicators(bars: DataFrame, as_of: date) -> DataFrame:
+    """:func:`scored` from one pass over the bars of the lookback."""
+    return scored(_ranked(bars, as_of, CHART_DAYS, ["high", "low", "volume", "turnover_value"]), as_of)
+
+
 def market_environment(index_bars: DataFrame, as_of: date, index_code: str = MARKET_INDEX) -> DataFrame:
     """Market phase of one index: at most one row."""
     f = _Frame(as_of, MARKET_DAYS)

@@ -90,15 +90,29 @@ def integrated_score(
     market, so they are a second, much smaller branch: ten days of two columns, grouped before the shuffle.
     Without a market state there is no result.
     """
+    return integrated(all_indicators(bars, as_of), latest_price(bars, as_of), statements, calendar, index_bars, master, as_of, market)
+
+
+def integrated(
+    prices: DataFrame,
+    newest: DataFrame,
+    statements: DataFrame,
+    calendar: DataFrame,
+    index_bars: DataFrame,
+    master: DataFrame,
+    as_of: date,
+    market: str = PRIME,
+) -> DataFrame:
+    """:func:`integrated_score` from price scores and newest prices, computed from bars or from a stored state."""
     fundamentals = fundamental(statements)
     sector_means = sector_average_per(
-        valued(latest_price(bars, as_of), fundamentals, master).filter("listed")
+        valued(newest, fundamentals, master).filter("listed")
     )
     listed = master.filter(F.col("market_name") == market).select(
         "code", "company_name", "sector33_name", F.col("market_name").alias("market_segment")
     )
     joined = left_chain(
-        listed, [all_indicators(bars, as_of), fundamentals, earnings_next(calendar, as_of)]
+        listed, [prices, fundamentals, earnings_next(calendar, as_of)]
     ).join(sector_means, "sector33_name", "left")
     flat = joined.select(
         "code", "company_name", "sector33_name", "market_segment",

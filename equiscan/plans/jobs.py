@@ -43,6 +43,8 @@ class Dataset:
     replace: bool = False
     safe_types: bool = False
     by: str | None = "date"
+    #: The key of the series that the rows form; a table may be dealt into buckets of it.
+    series: str | None = None
 
     def alias_map(self, columns: list[str]) -> dict[str, str]:
         """The short spelling applies as soon as its open price is there."""
@@ -58,11 +60,11 @@ DATASETS = {
         ),
         Dataset(
             "daily_bars", schemas.BARS_LONG, ("date", "code"), short_aliases=schemas.BARS_SHORT,
-            integers=("volume", "adjustment_volume"),
+            integers=("volume", "adjustment_volume"), series="code",
         ),
         Dataset(
             "minute_bars", schemas.MINUTE_LONG, ("date", "code", "time"), short_aliases=schemas.MINUTE_SHORT,
-            integers=("volume",), texts=("code", "time"),
+            integers=("volume",), texts=("code", "time"), series="code",
         ),
         Dataset(
             "financial_summary", schemas.FINANCIAL_SUMMARY, ("disclosed_date", "code", "document_type"), dates=(),
@@ -142,13 +144,20 @@ def stored_schema(spec: Dataset) -> T.StructType:
     return T.StructType(fields)
 
 
-def setup(spark: SparkSession, database: str) -> int:
-    """Create the raw tables that are missing; returns how many statements ran."""
+def setup(spark: SparkSession, database: str, buckets: int | None = None) -> int:
+    """Create the raw tables that are missing; returns how many statements ran.
+
+    With ``buckets`` the price series are dealt into so many by their code, in every month: windows and joins over them then
+    need no exchange. A month holds as many files, so there should be enough rows to fill them.
+    """
     statements = []
     for spec in DATASETS.values():
         schema = stored_schema(spec)
         columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
         layout = f" PARTITIONED BY ({tables.MONTH})" if tables.MONTH in schema.names else ""
+        if buckets and spec.series:
+            order = ", ".join(dict.fromkeys([spec.series, *spec.keys]))
+            layout += f" CLUSTERED BY ({spec.series}) SORTED BY ({order}) INTO {buckets} BUCKETS"
         statements.append(
             f"CREATE TABLE IF NOT EXISTS {table_name(database, spec.name)} ({columns}) USING parquet{layout}"
         )

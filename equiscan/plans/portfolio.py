@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from equiscan.functions import bar_gauge, basis_code, clip, safe_divide
@@ -228,21 +228,23 @@ def price_at(points: DataFrame, quotes: DataFrame, before: int = 10, after: int
     """As-of price for ``points(id, ticker, day)``: the first bar on or after the day within
     ``[day - before, day + after)``, else the last bar of that window.
 
-    The range condition becomes an equi join: every point lists the calendar days of its window, a fixed
-    number, and meets the quotes on ``(ticker, date)``. No ticker's history is paired with all its points.
-    Points without any bar in the window keep a NULL price.
+    A merge of two sorted series: the days that are asked for are put among the quotes of their ticker, and one sort
+    serves both frames, each a few calendar days long. A day of a ticker is asked for once, however many points
+    share it, so a frame holds two rows a day at most. Points without any bar in the window keep a NULL price.
     """
-    days = F.sequence(F.date_sub("day", before), F.date_add("day", after - 1))
-    spread = points.withColumn("date", F.explode(days))
-    met = spread.join(quotes.select("ticker", "date", "close"), ["ticker", "date"])
-    on_or_after = F.col("date") >= F.col("day")
-    found = met.groupBy("id").agg(
-        F.min_by(F.when(on_or_after, F.col("close")), F.when(on_or_after, F.col("date"))).alias("next_close"),
-        F.max_by("close", "date").alias("last_close"),
+    asked = points.select("ticker", F.col("day").alias("date")).distinct()
+    merged = quotes.select("ticker", "date", "close", F.lit(False).alias("asks")).union(
+        asked.select("ticker", "date", F.lit(None).cast("double").alias("close"), F.lit(True).alias("asks"))
     )
-    return points.join(
-        found.select("id", F.coalesce("next_close", "last_close").alias("price")), "id", "left"
+    by_day = Window.partitionBy("ticker").orderBy(F.unix_date("date"))
+    known = merged.filter(F.col("ticker").isNotNull() & F.col("date").isNotNull()).withColumns(
+        {
+            "_next": F.first("close", ignorenulls=True).over(by_day.rangeBetween(0, after - 1)),
+            "_last": F.last("close", ignorenulls=True).over(by_day.rangeBetween(-before, -1)),
+        }
     )
+    found = known.filter("asks").select("ticker", F.col("date").alias("day"), F.coalesce("_next", "_last").alias("price"))
+    return points.join(found, ["ticker", "day"], "left").select(*points.columns, "price")
 
 
 def fund_nav(holdings: DataFrame, proxies: DataFrame, quotes: DataFrame, as_of: date) -> DataFrame:

@@ -119,6 +119,11 @@ def _dealt(df: DataFrame, sort: list[str], buckets: Buckets | None = None) -> Da
     return df.hint("rebalance", *by).sortWithinPartitions(*by, *sort)
 
 
+def bucketed(df: DataFrame, buckets: Buckets) -> DataFrame:
+    """Rows of a bucket together, so that it is written as few files."""
+    return _dealt(df, [], buckets)
+
+
 @contextmanager
 def _dynamic_partitions(spark: SparkSession):
     before = spark.conf.get(_DYNAMIC)
@@ -129,6 +134,12 @@ def _dynamic_partitions(spark: SparkSession):
         spark.conf.set(_DYNAMIC, before)
 
 
+def replace_partitions(df: DataFrame, table: str) -> None:
+    """Put ``df`` in place of the partitions that it has rows of; the others stay."""
+    with _dynamic_partitions(df.sparkSession):
+        df.select(*df.sparkSession.table(table).columns).write.mode("overwrite").insertInto(table)
+
+
 def _create(df: DataFrame, table: str, date_column: str | None, sort: list[str], mode: str, buckets: Buckets | None = None) -> int:
     """Write all of a table; its rows are counted from the file footers, for a batch may turn out to have none."""
     writer = _laid_out(df, date_column, sort, buckets).write.mode(mode)

@@ -43,3 +43,10 @@ def test_no_product_joins_and_no_python(desk, key):
 def test_backtest_sorts_its_series_once(desk):
     text = plan(REGISTRY["backtest_signals"].run(desk))
     assert text.count("Sort [code") == 1
+
+
+def test_windows_over_bucketed_bars_need_no_exchange(desk):
+    df = REGISTRY["series_buckets"].run(desk)
+    df.collect()
+    text = plan(df)
+    assert "Exchange" not in text and "Bucketed: true" in text

@@ -140,3 +140,28 @@ def test_default_rate_without_external_prices(spark, desk):
     native = desk.holdings().filter((F.col("product_type") == "us") & (F.col("code") == us.code)).first()
     assert us.total_cost == round(native.purchase_amount_native * 150) and us.latest_close is None
     assert out.count() == desk.holdings().count()
+
+
+def test_as_of_prices_equal_a_search_of_every_window_and_nothing_is_multiplied(spark):
+    import random
+    from datetime import timedelta
+
+    draw, start = random.Random(2), date(2024, 1, 1)
+    quotes = {(t, start + timedelta(days=d)): float(draw.randint(1, 99)) for t in "ABC" for d in range(120) if draw.random() < 0.25}
+    points = [(i, draw.choice(["A", "B", "C", "Z", None]), start + timedelta(days=draw.randint(-20, 140))) for i in range(300)]
+    points += [(1000 + i, "A", start + timedelta(days=50)) for i in range(200)] + [(2000, "A", None)]  # many funds with one proxy
+    q = spark.createDataFrame([(t, d, c) for (t, d), c in quotes.items()], "ticker string, date date, close double")
+    p = spark.createDataFrame(points, "id int, ticker string, day date")
+
+    def searched(ticker, day):
+        if day is None:
+            return None
+        after = [quotes[ticker, day + timedelta(days=k)] for k in range(5) if (ticker, day + timedelta(days=k)) in quotes]
+        before = [quotes[ticker, day - timedelta(days=k)] for k in range(1, 11) if (ticker, day - timedelta(days=k)) in quotes]
+        return (after or before or [None])[0]
+
+    found = pf.price_at(p, q)
+    assert found.columns == ["id", "ticker", "day", "price"]
+    assert {r.id: r.price for r in found.collect()} == {i: searched(t, d) for i, t, d in points}
+    text = found._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in text and text.count("Window [") <= 1
