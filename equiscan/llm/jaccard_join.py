@@ -271,11 +271,15 @@ def linked_documents(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     def linked(pairs: DataFrame) -> DataFrame:
         """Of ``pairs`` (a, b), which may repeat, those that link, written down."""
         near = pairs.join(described_as("a"), "a").join(described_as("b"), "b").where(may_link("a", "b"))
-        near = staged(near.select("a", "b", "n_a", "n_b").distinct(), "jaccard-near")
+        return verified(near.select("a", "b", "n_a", "n_b"))
+
+    def verified(near: DataFrame) -> DataFrame:
+        """Of pairs (a, b, n_a, n_b) that passed :func:`may_link` those that link, by their sets, written down."""
+        near = staged(near.distinct(), "jaccard-near")
         # Only the sets of these nodes are moved, and what was shuffled for the pairs before is given free.
-        ends = staged(near.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "jaccard-ends")
         release_shuffles(docs.sparkSession)
-        held = sets.join(broadcast_up_to(ends, BROADCAST_IDS), "node", "left_semi")
+        ends = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        held = sets.join(F.broadcast(ends) if 2 * near.count() <= BROADCAST_IDS else ends, "node", "left_semi")
         both = near.join(held.select(F.col("node").alias("a"), F.col("shingles").alias("s_a")), "a").join(
             held.select(F.col("node").alias("b"), F.col("shingles").alias("s_b")), "b"
         )
@@ -316,11 +320,13 @@ def linked_documents(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
         # Those that did are compared with one of them.
         seeds = range(round_no << 8, (round_no << 8) + max(1, PICKS >> round_no))
         taken = in_few_tasks(apart, rows).groupBy("node", "c").agg(F.array(*(F.min_by("sig", F.xxhash64("sig", F.lit(i))) for i in seeds)).alias("keys"))
-        taken = taken.select("node", "c", F.posexplode("keys").alias("i", "sig"))
+        taken = taken.join(members.select("node", "n", F.col("parity").alias("p")), "node").select("node", "c", "n", "p", F.posexplode("keys").alias("i", "sig"))
         order = F.xxhash64("node", "i", F.lit(round_no))
-        leaders = taken.groupBy(F.col("i").alias("i_b"), F.col("sig").alias("sig_b")).agg(F.min_by("node", order).alias("b"), F.min_by("c", order).alias("c_b"))
-        others = taken.join(leaders, (F.col("i") == F.col("i_b")) & (F.col("sig") == F.col("sig_b")) & (F.col("c") != F.col("c_b")))
-        more = linked(others.select(F.col("node").alias("a"), "b").distinct())
+        first_of = F.min_by(F.struct(F.col("node").alias("b"), F.col("c").alias("c_b"), F.col("n").alias("n_b"), F.col("p").alias("p_b")), order)
+        leaders = taken.groupBy(F.col("i").alias("i_b"), F.col("sig").alias("sig_b")).agg(first_of.alias("_")).select("i_b", "sig_b", "_.*")
+        own = taken.select("i", "sig", "c", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("p").alias("p_a"))
+        others = own.join(leaders, (F.col("i") == F.col("i_b")) & (F.col("sig") == F.col("sig_b")) & (F.col("c") != F.col("c_b")) & may_link("a", "b"))
+        more = verified(others.select("a", "b", "n_a", "n_b"))
         round_no += 1
         if more.isEmpty():
             break
@@ -339,7 +345,7 @@ def linked_documents(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     met_before = F.coalesce(F.array_min(F.array_intersect("firsts_a", "firsts_b")) < F.col("sig_a"), F.lit(False))
     rest = one.join(other, (F.col("sig_a") == F.col("sig_b")) & (F.col("c_a") != F.col("c_b")) & (F.col("a") > F.col("b")) & may_link("a", "b") & ~met_before)
     # Pairs with the first leader of a key are decided: they were compared, or their ends were in one component.
-    more = linked(rest.select("a", "b").distinct().join(led.distinct(), ["a", "b"], "left_anti"))
+    more = verified(rest.select("a", "b", "n_a", "n_b").join(led.distinct(), ["a", "b"], "left_anti"))
     if not more.isEmpty():
         component = components(links.union(more))
 
