@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from datetime import date
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from equiscan.plans.jobs import GROUPS, Dataset, normalise, run_group
+from equiscan.session import staged_while
 from equiscan.sinks import tables
 from equiscan.sources.readers import read_bulk_csv, read_pages
 
@@ -80,26 +82,70 @@ def due_records(records: DataFrame, days: DataFrame, column: str = "date") -> Da
     return records.join(days.select(F.col("day").alias(column)), column, "left_semi")
 
 
+def _unseen(rows: DataFrame, keys: list[str], memory: str, batch: int) -> DataFrame:
+    """Rows whose key no earlier batch of the stream had. A batch that comes again is told from earlier ones by its number."""
+    spark = rows.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(memory)
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return rows
+    seen = spark.read.schema(T.StructType([*(rows.schema[k] for k in keys), T.StructField("batch", T.LongType())])).parquet(memory)
+    seen = seen.filter(F.col("batch") < batch).select(*(F.col(k).alias(f"_{k}") for k in keys))
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    return rows.join(seen, same, "left_anti")
+
+
+def store_batch(batch: DataFrame, number: int, spec: Dataset, table: str, memory: str) -> int | None:
+    """Upsert one batch of a stream; None where it lacks a key column.
+
+    For a dataset whose first record of a key counts, the keys of each batch are kept below ``memory``, a partition for every
+    batch: a key that an earlier batch had is passed over, whatever it says now. The keys are written after the rows and replace
+    those of the same batch, so a batch that is repeated after a failure, wherever that was, changes nothing. (Rows without a
+    key match nothing: they are stored again if the failure fell between rows and keys.)
+    """
+    rows = normalise(batch, spec)
+    if rows is None:
+        return None
+    if not spec.unique:
+        return tables.upsert(rows, table, list(spec.keys), spec.safe_types, spec.by)
+    keys = list(spec.unique)
+    with staged_while(_unseen(rows, keys, memory, number), "stream-batch") as fresh:
+        stored = tables.upsert(fresh, table, list(spec.keys), spec.safe_types, spec.by, keys_unique=set(keys) <= set(spec.keys))
+        kept = fresh.select(*keys, F.lit(number).cast("long").alias("batch"))
+        kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(memory)
+    return stored
+
+
 def upsert_landed(
-    spark: SparkSession, path: str, record: T.StructType, spec: Dataset, table: str, checkpoint: str, file_format: str = "json"
+    spark: SparkSession,
+    path: str,
+    record: T.StructType,
+    spec: Dataset,
+    table: str,
+    checkpoint: str,
+    file_format: str = "json",
+    files_a_batch: int | None = None,
 ) -> int:
     """Load files that arrived since the last call: a file stream run to its end and upserted batch by batch.
 
     The stream's checkpoint remembers the files, and an upsert repeated after a failure changes nothing, so
-    every record counts once. Returns the number of batches.
+    every record counts once. The first record of a key counts over all batches (:func:`store_batch`). Returns the
+    number of batches that were stored.
     """
     batches: list[int] = []
 
-    def store(batch: DataFrame, _: int) -> None:
-        rows = normalise(batch, spec)
-        if rows is not None:
-            batches.append(tables.upsert(rows, table, list(spec.keys), spec.safe_types, spec.by))
+    def store(batch: DataFrame, number: int) -> None:
+        if store_batch(batch, number, spec, table, f"{checkpoint}-keys") is not None:
+            batches.append(number)
 
-    stream = spark.readStream.schema(record).format(file_format).load(path)
+    reader = spark.readStream.schema(record).format(file_format)
+    if files_a_batch:
+        reader = reader.option("maxFilesPerTrigger", files_a_batch)
     query = (
-        stream.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        reader.load(path).writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
     query.awaitTermination()
+    if batches:
+        spark.catalog.refreshTable(table)  # a stream writes in a session of its own; this one may remember older files
     return len(batches)
 
 

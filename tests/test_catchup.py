@@ -1,6 +1,9 @@
+import json
+import time
 from datetime import date, timedelta
 
 import pytest
+from pyspark.sql import types as T
 
 from equiscan.plans import jobs
 from equiscan.sinks import tables
@@ -67,3 +70,30 @@ def test_stream_takes_each_file_once(spark, database, tmp_path):
     assert run() == 1
     assert sorted((r.code, r.close) for r in spark.table(table).collect()) == [("01301", 1.0), ("01301", 9.0), ("01302", 3.0)]
     assert tables.latest_date(spark, table) == date(2024, 2, 6)
+
+
+def test_the_first_record_of_a_key_counts_over_batches_and_a_replay_changes_nothing(spark, database, tmp_path):
+    spec, table = jobs.DATASETS["indices"], f"{database}.index_bars"
+    record = T.StructType([T.StructField(c, T.StringType()) for c in ("Date", "Code", "C")])
+    path, memory = tmp_path / "in", f"file://{tmp_path}/checkpoint"
+    path.mkdir()
+    content = lambda: {(str(r.date), r.index_code): r.close for r in spark.table(table).collect()}
+
+    def deliver(name, *rows):
+        (path / name).write_text("\n".join(json.dumps(dict(zip(("Date", "Code", "C"), r, strict=True))) for r in rows))
+        time.sleep(1.1)  # a file stream takes files by their time
+
+    deliver("a.json", ("2024-01-05", "1", "1"), ("2024-01-05", "2", "2"), ("2024-01-05", "1", "9"))
+    deliver("b.json", ("2024-01-05", "1", "7"), ("2024-01-08", "1", "3"))
+    assert catchup.upsert_landed(spark, str(path), record, spec, table, memory, files_a_batch=1) == 2
+    expected = {("2024-01-05", "1"): 1.0, ("2024-01-05", "2"): 2.0, ("2024-01-08", "1"): 3.0}
+    assert content() == expected
+    deliver("c.json", ("2024-01-08", "1", "5"), ("2024-01-09", None, "6"), ("2024-01-09", "2", "4"))
+    assert catchup.upsert_landed(spark, str(path), record, spec, table, memory) == 1
+    expected |= {("2024-01-09", None): 6.0, ("2024-01-09", "2"): 4.0}
+    assert content() == expected
+    # The driver is lost after a batch was stored and before the stream noted that: the batch comes again.
+    for number, name in ((2, "c.json"), (1, "b.json")):
+        again = spark.read.schema(record).json(str(path / name))
+        catchup.store_batch(again.where("Code IS NOT NULL"), number, spec, table, f"{memory}-keys")
+    assert content() == expected
