@@ -1,9 +1,10 @@
 """License scan with a positional index of rare tokens.
 
-Licence notices are word sequences. The words of their mandatory phrases are counted over all documents; of each notice
-the one that the fewest documents use goes into a small positional index. A notice counts only where all its mandatory
-phrases stand in place, so each of its occurrences has that word at its place: wherever an indexed word stands, the posting
-is shifted by its place in the notice and the mandatory phrases are compared, and no occurrence is lost.
+Licence notices are word sequences. The words of their mandatory phrases are counted over all documents; of each notice the
+few that the fewest documents use go into a positional index of (word, notice, place). A file's indexed words are looked up,
+each posting is shifted by its place in the notice, and the postings of a notice are intersected where they meet. There the
+mandatory phrases are compared. A notice counts only where all its mandatory phrases stand in place, so each of its
+occurrences has all its indexed words in place, and none is lost by the intersection.
 """
 
 from __future__ import annotations
@@ -42,7 +43,59 @@ NOTICES = [
     Notice("cc-by-nc", "licensed under cc by nc 4 0", ("cc by nc",)),
     Notice("cc-by-sa", "licensed under cc by sa 4 0", ("cc by sa",)),
     Notice("cc0", "dedicated to the public domain under cc0 1 0", ("cc0 1 0",)),
+    Notice(
+        "gpl-3.0",
+        "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license",
+        ("gnu general public license as published by the free software foundation", "version 3 of the license"),
+    ),
+    Notice(
+        "gpl-2.0",
+        "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license",
+        ("gnu general public license as published by the free software foundation", "version 2 of the license"),
+    ),
+    Notice("gpl-3.0", "gnu general public license v3 0", ("gnu general public license v3",)),
+    Notice("gpl-2.0", "gnu general public license v2 0", ("gnu general public license v2",)),
+    Notice("lgpl", "gnu library general public license", ("gnu library general public license",)),
+    Notice("apache-2.0", "you may not use this file except in compliance with the license", ("not use this file except in compliance with the license",)),
+    Notice("bsd", "neither the name of the copyright holder nor the names of its contributors may be used", ("nor the names of its contributors may be used",)),
+    Notice("bsl-1.0", "distributed under the boost software license version 1 0", ("boost software license",)),
+    Notice("zlib", "altered source versions must be plainly marked as such", ("altered source versions must be plainly marked",)),
+    Notice("artistic-2.0", "the artistic license 2 0", ("artistic license 2 0",)),
+    Notice("cddl", "common development and distribution license", ("common development and distribution license",)),
+    Notice("eupl", "licensed under the european union public licence", ("european union public licence",)),
+    Notice("cc-by", "creative commons attribution 4 0 international license", ("creative commons attribution 4 0",)),
+    Notice("cc-by", "creative commons attribution 3 0 unported license", ("creative commons attribution 3 0",)),
+    Notice("cc-by-sa", "creative commons attribution sharealike 4 0 international license", ("creative commons attribution sharealike",)),
+    Notice("cc-by-sa", "creative commons attribution share alike 3 0 unported license", ("creative commons attribution share alike",)),
+    Notice("cc-by-nc", "creative commons attribution noncommercial 4 0 international license", ("creative commons attribution noncommercial",)),
+    Notice("cc-by-nd", "creative commons attribution noderivatives 4 0 international license", ("creative commons attribution noderivatives",)),
+    Notice("cc0", "cc0 1 0 universal public domain dedication", ("cc0 1 0 universal",)),
 ]
+#: Identifiers of the licence tag in source files, and their labels.
+SPDX = {
+    "MIT": "mit",
+    "Apache-2.0": "apache-2.0",
+    "GPL-2.0": "gpl-2.0",
+    "GPL-3.0": "gpl-3.0",
+    "LGPL-2.1": "lgpl",
+    "LGPL-3.0": "lgpl",
+    "AGPL-3.0": "agpl",
+    "MPL-2.0": "mpl-2.0",
+    "EPL-2.0": "epl",
+    "BSD-2-Clause": "bsd",
+    "BSD-3-Clause": "bsd",
+    "ISC": "isc",
+    "Unlicense": "unlicense",
+    "BSL-1.0": "bsl-1.0",
+    "Zlib": "zlib",
+    "CC0-1.0": "cc0",
+    "CC-BY-4.0": "cc-by",
+    "CC-BY-SA-4.0": "cc-by-sa",
+    "CC-BY-NC-4.0": "cc-by-nc",
+}
+NOTICES += [Notice(label, tag, (tag,)) for tag, label in ((f"spdx license identifier {' '.join(re.findall('[a-z0-9]+', i.lower()))}", label) for i, label in SPDX.items())]
+#: Words of a notice that get postings.
+INDEXED = 3
 #: The phrases of the base scan and their labels.
 BASE_PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
@@ -75,12 +128,13 @@ def document_frequency(words: DataFrame, vocabulary: list[str]) -> dict[str, int
     return {r["word"]: r["count"] for r in used.groupBy("word").count().limit(len(vocabulary)).collect()}
 
 
-def rare_postings(notices: list[Notice], frequency: dict[str, int]) -> list[tuple[int, str, int]]:
-    """(notice, word, place): of the words in a notice's mandatory phrases the one that the fewest documents use."""
+def rare_postings(notices: list[Notice], frequency: dict[str, int]) -> list[list[tuple[str, int]]]:
+    """For each notice (word, place) of the :data:`INDEXED` words in its mandatory phrases that the fewest documents use,
+    the rarest first."""
     out = []
-    for number, notice in enumerate(notices):
-        places = [(w, _offset(notice.text, m) + i) for m in notice.mandatory for i, w in enumerate(m.split())]
-        out.append((number, *min(places, key=lambda p: (frequency.get(p[0], 0), p))))
+    for notice in notices:
+        places = {(w, _offset(notice.text, m) + i) for m in notice.mandatory for i, w in enumerate(m.split())}
+        out.append(sorted(places, key=lambda p: (frequency.get(p[0], 0), p))[:INDEXED])
     return out
 
 
@@ -106,39 +160,52 @@ def scan_licenses(docs: DataFrame, notices: list[Notice] | None = None, id_col:
     words = docs.select(F.col(id_col).alias("doc"), words_of(text_or_empty(text_col)).alias("words"))
     frequency = document_frequency(words, sorted({w for n in notices for m in n.mandatory for w in m.split()}))
     postings = rare_postings(notices, frequency)
-    indexed = F.lit(sorted({w for _, w, _ in postings}))
-    # Words that a notice can have before and from its indexed word on.
-    before = max((place for _, _, place in postings), default=0)
-    after = max((len(notices[i].text.split()) - place for i, _, place in postings), default=0)
+    leads = F.lit(sorted({terms[0][0] for terms in postings}))
+    # Words that a notice can have before and from its rarest word on.
+    before = max((terms[0][1] for terms in postings), default=0)
+    after = max((len(n.text.split()) - terms[0][1] for n, terms in zip(notices, postings, strict=True)), default=0)
+    # Notices all of whose indexed words the text has; postings of other words could not meet.
+    term_sets = sorted({tuple(sorted({w for w, _ in terms})) for terms in postings})
+    present = F.array_intersect("words", F.lit(sorted({w for t in term_sets for w in t})))
+    possible = F.array_distinct(F.flatten(F.filter(F.lit([list(t) for t in term_sets]), lambda t: F.size(F.array_except(t, F.col("present"))) == 0)))
 
     def around(i: Column) -> Column:
         low = F.greatest(F.lit(0), i - before)
-        return F.struct(i.alias("position"), F.get("words", i).alias("word"), low.alias("low"), F.slice("words", low + 1, F.lit(before + after)).alias("near"))
+        word = F.get("words", i)
+        near = F.when(F.array_contains(leads, word), F.slice("words", low + 1, F.lit(before + after)))
+        return F.struct(i.alias("position"), word.alias("word"), low.alias("low"), near.alias("near"))
 
-    places = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: F.array_contains(indexed, F.get("words", i)))
+    places = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: F.array_contains("possible", F.get("words", i)))
     scanned = staged(
-        words.select(
+        words.withColumn("present", present).withColumn("possible", possible).select(
             F.monotonically_increasing_id().alias("row"),
             "doc",
             F.size("words").cast("long").alias("n_words"),
             *(_starts(F.col("words"), phrase).alias(label) for phrase, label in BASE_PHRASES.items()),
-            F.when(F.arrays_overlap("words", indexed), F.transform(places, around)).alias("hits"),
+            F.when(F.size("possible") > 0, F.transform(places, around)).alias("hits"),
         ),
         "license-words",
     )
 
-    # As many rows as notices.
+    # As many rows as notices have indexed words, and one row a notice.
     index = F.broadcast(
         spark.createDataFrame(
-            [
-                (w, place, notices[i].label, notices[i].text.split(), [(_offset(notices[i].text, m), m.split()) for m in notices[i].mandatory])
-                for i, w, place in postings
-            ],
-            "word string, place int, label string, template array<string>, mandatory array<struct<at:int,phrase:array<string>>>",
+            [(w, place, number, nth == 0, len(terms)) for number, terms in enumerate(postings) for nth, (w, place) in enumerate(terms)],
+            "word string, place int, notice int, lead boolean, terms int",
         )
     )
-    found = scanned.where("hits IS NOT NULL").select("row", F.inline("hits")).join(index, "word")
-    found = found.withColumn("base", F.col("position") - F.col("place")).withColumn("begin", F.col("base") - F.col("low"))
+    templates = F.broadcast(
+        spark.createDataFrame(
+            [(number, n.label, n.text.split(), [(_offset(n.text, m), m.split()) for m in n.mandatory]) for number, n in enumerate(notices)],
+            "notice int, label string, template array<string>, mandatory array<struct<at:int,phrase:array<string>>>",
+        )
+    )
+    shifted = scanned.where("hits IS NOT NULL").select("row", F.inline("hits")).join(index, "word").withColumn("base", F.col("position") - F.col("place"))
+    met = shifted.groupBy("row", "notice", "base").agg(
+        F.count(F.lit(1)).alias("in_place"), F.max("terms").alias("terms"), F.max(F.when(F.col("lead"), F.struct("low", "near"))).alias("_")
+    )
+    found = met.where("in_place = terms").select("row", "notice", "base", "_.*").join(templates, "notice")
+    found = found.withColumn("begin", F.col("base") - F.col("low"))
     in_place = F.forall("mandatory", lambda m: F.when(F.col("begin") + m["at"] >= 0, F.slice("near", F.col("begin") + m["at"] + 1, F.size(m["phrase"]))) == m["phrase"])
     cut = F.greatest(F.lit(0), -F.col("begin"))
     agreeing = F.size(
