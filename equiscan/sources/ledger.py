@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import csv
-import io
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -12,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from equiscan.functions import multi_format_date, number_text
-from equiscan.session import ship_package
+from equiscan.sources.streams import BATCH_CHARS, BATCH_ROWS, listed, text_of
 
 HEADER_ROW = 3
 # Header keywords of the three sheets, and the label of a purchase.
@@ -61,32 +60,45 @@ TRADE_COLUMNS = [
 
 
 def _sheet_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(names, values) of the data rows of each sheet: its own third row names them, quotes may hold commas and breaks."""
+    """(names, values) of the data rows of each sheet: its own third row names them, quotes may hold commas and breaks.
+
+    Sheets are read one row after the other; what is held is :data:`BATCH_CHARS` characters of rows, or one row."""
+    kind = pa.list_(pa.string())
+
+    def out(names: list, values: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"names": pa.array(names, kind), "values": pa.array(values, kind)})
+
+    csv.field_size_limit(1 << 30)
     for batch in batches:
-        names, values = [], []
-        for text in batch.column(0).to_pylist():
-            rows = list(csv.reader(io.StringIO(text.removeprefix("\ufeff"), newline="")))
-            header = rows[HEADER_ROW - 1] if len(rows) >= HEADER_ROW else []
-            for row in rows[HEADER_ROW:]:
-                if any(cell.strip() for cell in row):
+        for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            header, names, values, chars = [], [], [], 0
+            with text_of(path, content.as_py()) as text:
+                for place, row in enumerate(csv.reader(text), 1):
+                    if place == HEADER_ROW:
+                        header = row
+                    if place <= HEADER_ROW or not any(cell.strip() for cell in row):
+                        continue
                     width = max(len(header), len(row))
                     named = [header[i] if i < len(header) and header[i] else f"_blank{i}" for i in range(width)]
                     names.append([n if n not in named[:i] else f"{n}_{i}" for i, n in enumerate(named)])
                     values.append([row[i] if i < len(row) else None for i in range(width)])
-        kind = pa.list_(pa.string())
-        yield pa.RecordBatch.from_pydict({"names": pa.array(names, kind), "values": pa.array(values, kind)})
+                    chars += sum(map(len, names[-1])) + sum(map(len, row))
+                    if len(values) == BATCH_ROWS or chars >= BATCH_CHARS:
+                        yield out(names, values)
+                        names, values, chars = [], [], 0
+            if values:
+                yield out(names, values)
 
 
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
     """Ledger sheets as text columns, each sheet named by its own third row.
 
     ``path`` may name one sheet or a folder of sheets of any layouts; a column that a sheet lacks is NULL in its rows. A
-    sheet is read whole, since only its own first rows tell titles from data; a spreadsheet bounds it at some ten million
-    cells, and sheets are spread over the tasks. The driver sees the distinct layouts. Cells beyond the header are kept as
+    sheet is read by one task, since only its own first rows tell titles from data, but as a stream of rows; a spreadsheet
+    bounds it at some ten million cells, and sheets are spread over the tasks. The driver sees the distinct layouts. Cells beyond the header are kept as
     ``_blank`` columns, short rows are padded with NULL and rows without any text are dropped.
     """
-    ship_package(spark)
-    rows = spark.read.text(path, wholetext=True).mapInArrow(_sheet_rows, "names array<string>, values array<string>")
+    rows = listed(spark, path).mapInArrow(_sheet_rows, "names array<string>, values array<string>")
     layouts = [r["names"] for r in rows.select("names").distinct().orderBy(F.size("names"), F.array_join("names", ",")).collect()]
     columns = list(dict.fromkeys(name for names in layouts for name in names))
     if not columns:
