@@ -231,9 +231,18 @@ def price_at(points: DataFrame, quotes: DataFrame, before: int = 10, after: int
     A merge of two sorted series: the days that are asked for are put among the quotes of their ticker, and one sort
     serves both frames, each a few calendar days long. A day of a ticker is asked for once, however many points
     share it, so a frame holds two rows a day at most. Points without any bar in the window keep a NULL price.
+
+    Only quotes from the stretches of ``before + after`` days that a window reaches into, two of them, are merged.
     """
+    def stretch(day: Column) -> Column:
+        return F.floor(F.unix_date(day) / (before + after)).alias("_stretch")
+
     asked = points.select("ticker", F.col("day").alias("date")).distinct()
-    merged = quotes.select("ticker", "date", "close", F.lit(False).alias("asks")).union(
+    reached = asked.select("ticker", stretch(F.date_sub("date", before))).union(
+        asked.select("ticker", stretch(F.date_add("date", after - 1)))
+    )
+    near = quotes.select("ticker", "date", "close", stretch(F.col("date"))).join(reached.distinct(), ["ticker", "_stretch"], "left_semi")
+    merged = near.select("ticker", "date", "close", F.lit(False).alias("asks")).union(
         asked.select("ticker", "date", F.lit(None).cast("double").alias("close"), F.lit(True).alias("asks"))
     )
     by_day = Window.partitionBy("ticker").orderBy(F.unix_date("date"))

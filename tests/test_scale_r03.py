@@ -1,10 +1,18 @@
 """Inputs of the checks and their readers: what is sorted, moved or held must not grow faster than the input."""
 
+from datetime import date
+
 import pyarrow as pa
+from pyspark.sql import functions as F
 
+from equiscan.plans import portfolio as pf
 from equiscan.sources import ledger
 
 
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_sheets_are_read_in_batches(monkeypatch):
     """However many rows a sheet has, and however many sheets a task: no more than a batch of rows is held."""
     monkeypatch.setattr(ledger, "BATCH_ROWS", 10)
@@ -14,3 +22,12 @@ def test_sheets_are_read_in_batches(monkeypatch):
     assert len(out) == 20 and max(b.num_rows for b in out) == 10
     values = [v for b in out for v in b.column(1).to_pylist()]
     assert values == [[str(i), "x\ny"] for _ in range(2) for i in range(95)] and out[0].column(0).to_pylist()[0] == ["a", "b"]
+
+
+def test_only_quotes_near_a_point_are_merged(spark):
+    quotes = spark.range(2000).select(F.lit("A").alias("ticker"), F.date_add(F.lit(date(2020, 1, 1)), F.col("id").cast("int")).alias("date"), F.col("id").cast("double").alias("close"))
+    points = spark.createDataFrame([(1, "A", date(2021, 1, 1)), (2, "A", date(2019, 12, 30)), (3, "B", date(2021, 1, 1))], "id int, ticker string, day date")
+    found = pf.price_at(points, quotes)
+    assert {r.id: r.price for r in found.collect()} == {1: 366.0, 2: 0.0, 3: None}
+    text = plan(found)
+    assert "LeftSemi" in text and text.index("Window") < text.index("LeftSemi")
