@@ -11,12 +11,10 @@ from pyspark.sql import functions as F
 
 # What a price sheet may wrap around a number (currency signs, separators, unit words).
 NUMBER_DECORATION = "[¥$,\\s\\u3000口株]"
-# The date spellings a trade ledger uses, tried in this order, and their shape.
-LEDGER_DATE_FORMATS = {
-    "yyyy/M/d": r"^\d{4}/\d{1,2}/\d{1,2}$",
-    "yyyy-M-d": r"^\d{4}-\d{1,2}-\d{1,2}$",
-    "M/d/yyyy": r"^\d{1,2}/\d{1,2}/\d{4}$",
-}
+# The date spellings a trade ledger uses (y/M/d, y-M-d, M/d/y) and where year, month and day stand in them; the
+# last choice takes any other text, and leaves nothing of it.
+_LEDGER_DATE = r"(?s)^(?:(\d{4})([/-])(\d{1,2})\2(\d{1,2})|(\d{1,2})/(\d{1,2})/(\d{4})|.*)\z"
+_LEDGER_DATE_PARTS = "$1$7-$3$5-$4$6"
 
 _DECIMAL_TEXT = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 
@@ -78,11 +76,11 @@ def strict_date(col: Column | str) -> Column:
 
 
 def multi_format_date(col: Column | str) -> Column:
-    """First ledger spelling that parses."""
-    text = F.trim(_c(col))
-    return F.coalesce(
-        *[F.when(text.rlike(shape), F.try_to_date(text, fmt)) for fmt, shape in LEDGER_DATE_FORMATS.items()]
-    )
+    """The date of a ledger spelling; NULL for any other text, or a day that no calendar has.
+
+    One expression brings all spellings to the form that a plain cast reads: no formatter, and the text is computed once.
+    """
+    return F.regexp_replace(F.trim(_c(col)), _LEDGER_DATE, _LEDGER_DATE_PARTS).try_cast("date")
 
 
 def number_text(col: Column | str) -> Column:

@@ -3,8 +3,10 @@
 from datetime import date
 
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
+from equiscan.functions import multi_format_date
 from equiscan.plans import portfolio as pf
 from equiscan.sources import ledger
 
@@ -13,6 +15,23 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+@pytest.mark.parametrize(
+    "text, day",
+    [
+        ("2001/6/30", date(2001, 6, 30)), (" 2001-06-30 ", date(2001, 6, 30)), ("6/30/2001", date(2001, 6, 30)), ("2001/2/30", None),
+        ("13/1/2001", None), ("2001-6/30", None), ("2001-06", None), ("2001", None), ("2001-06-30T00", None), ("2001/6/30\n", None),
+        ("x2001/6/30", None), ("", None), ("-", None), (None, None), ("20010630", None), ("6-30-2001", None),
+    ],
+)
+def test_ledger_dates(spark, text, day):
+    assert spark.createDataFrame([(text,)], "x string").select(multi_format_date("x").alias("d")).first().d == day
+
+
+def test_a_ledger_date_is_computed_from_its_text_once(spark):
+    text = plan(spark.range(1).select(multi_format_date(F.reverse(F.col("id").cast("string"))).alias("d")))
+    assert text.count("reverse(") == 1
+
+
 def test_sheets_are_read_in_batches(monkeypatch):
     """However many rows a sheet has, and however many sheets a task: no more than a batch of rows is held."""
     monkeypatch.setattr(ledger, "BATCH_ROWS", 10)
