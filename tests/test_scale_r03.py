@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from equiscan.functions import multi_format_date
 from equiscan.plans import portfolio as pf
-from equiscan.sources import ledger
+from equiscan.sources import derived, ledger
 
 
 def plan(df):
@@ -50,3 +50,22 @@ def test_only_quotes_near_a_point_are_merged(spark):
     assert {r.id: r.price for r in found.collect()} == {1: 366.0, 2: 0.0, 3: None}
     text = plan(found)
     assert "LeftSemi" in text and text.index("Window") < text.index("LeftSemi")
+
+
+def test_bars_are_dealt_to_tasks_of_bounded_size(spark, tmp_path, monkeypatch):
+    """More lines make more tasks, not larger sorts, and no line is sorted before it is moved."""
+    monkeypatch.setattr(derived, "ROWS_A_TASK", 10)
+    line = spark.range(500).select(
+        F.when(F.col("id") % 10 > 0, F.col("id") % 7).alias("l_suppkey"), F.timestamp_seconds(F.lit(900_000_000) + F.col("id") % 40 * 86_400).alias("l_shipdate"),
+        F.lit(0.04).alias("l_tax"), F.lit(0.08).alias("l_discount"), (F.col("id") % 50).cast("double").alias("l_quantity"),
+        F.lit(100.0).alias("l_extendedprice"), F.col("id").alias("l_orderkey"), F.lit(1).alias("l_linenumber"),
+    )
+    line.write.parquet(f"{tmp_path}/lineitem.parquet")
+    market = derived.Market(spark, str(tmp_path))
+    steps = plan(market._build_daily_bars())
+    assert "hashpartitioning(l_suppkey" in steps and steps.count("Exchange") == 2 and steps.count(", 50), REPARTITION_BY_NUM") == 2
+    assert steps.index("partial_min_by") < steps.rindex("Exchange")
+    got = {(r.code, r.date): r.volume for r in market.daily_bars().collect()}
+    days = {(r["id"] % 7 if r["id"] % 10 else None, r["id"] % 40) for r in spark.range(500).collect()}
+    assert len(got) == len([1 for s, _ in days if s is not None]) + len({d for s, d in days if s is None})
+    assert sum(got.values()) == sum(i % 50 for i in range(500))
