@@ -28,23 +28,22 @@ def connected_components(links: DataFrame) -> DataFrame:
     until the edges are stars around the smallest nodes. Rounds grow with the logarithm of the longest path; each is
     written to the shared folder. A node with many neighbours is a grouped minimum and a join that may be split.
     """
-    edges = staged(
-        links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "components-links"
-    )
+    edges = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    edges = staged(in_few_tasks(edges, links.count()).distinct(), "components-links")
     before = None
     while (now := _digest(edges)) != before:
         before = now
+        # Each step has at most twice as many rows as there are edges; where these are few, all of a round is one task.
         edges = in_few_tasks(edges, now[0])
-        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = edges.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.*")
         least = both.groupBy(F.col("u").alias("w")).agg(F.min("v").alias("m")).select("w", F.least("w", "m").alias("m"))
-        large = both.where("v > u").join(least, F.col("u") == F.col("w")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = staged(large.union(edges.join(least, F.col("u") == F.col("w")).where("m < u").select("u", F.col("m").alias("v"))).distinct(), "components-large")
+        large = both.where("v > u").join(least, F.col("u") == F.col("w")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        own = edges.join(least, F.col("u") == F.col("w")).where("m < u").select("u", F.col("m").alias("v"))
+        large = in_few_tasks(staged(in_few_tasks(large.union(own), now[0]).distinct(), "components-large"), now[0])
         least = large.groupBy(F.col("u").alias("w")).agg(F.min("v").alias("m"))
-        small = large.join(least, F.col("u") == F.col("w")).select("u", "v", "m")
-        edges = staged(
-            small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v"))).distinct(),
-            "components-small",
-        )
+        small = large.join(least, F.col("u") == F.col("w"))
+        ends = F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))
+        edges = staged(small.select(F.explode(ends).alias("e")).select("e.*").where("u <> v").distinct(), "components-small")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
         edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )

@@ -271,20 +271,20 @@ def linked_documents(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     def linked(pairs: DataFrame) -> DataFrame:
         """Of ``pairs`` (a, b), which may repeat, those that link, written down."""
         near = pairs.join(described_as("a"), "a").join(described_as("b"), "b").where(may_link("a", "b"))
-        return verified(near.select("a", "b", "n_a", "n_b"))
+        return verified(near)
 
     def verified(near: DataFrame) -> DataFrame:
-        """Of pairs (a, b, n_a, n_b) that passed :func:`may_link` those that link, by their sets, written down."""
-        near = staged(near.distinct(), "jaccard-near")
-        # Only the sets of these nodes are moved, and what was shuffled for the pairs before is given free.
+        """Of pairs (a, b) that passed :func:`may_link` those that link, by their sets, written down."""
+        near = staged(near.select("a", "b").distinct(), "jaccard-near")
+        # What was shuffled for the pairs before is given free. Few pairs are handed to the sets of their first ends, so a set
+        # moves once for each pair that it begins, and once if it ends any; the other sets stay where they are.
         release_shuffles(docs.sparkSession)
-        ends = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        held = sets.join(F.broadcast(ends) if 2 * near.count() <= BROADCAST_IDS else ends, "node", "left_semi")
-        both = near.join(held.select(F.col("node").alias("a"), F.col("shingles").alias("s_a")), "a").join(
-            held.select(F.col("node").alias("b"), F.col("shingles").alias("s_b")), "b"
-        )
+        few = F.broadcast if 2 * near.count() <= BROADCAST_IDS else (lambda df: df)
+        first = sets.join(few(near), F.col("node") == F.col("a")).select("a", "b", F.col("shingles").alias("s_a"))
+        second = sets.join(few(near.select(F.col("b").alias("node"))), "node", "left_semi").select(F.col("node").alias("b"), F.col("shingles").alias("s_b"))
         common = F.size(F.array_intersect("s_a", "s_b"))
-        found = staged(both.where(100 * common >= percent * (F.col("n_a") + F.col("n_b") - common)).select("a", "b"), "jaccard-links")
+        alike = 100 * common >= percent * (F.size("s_a") + F.size("s_b") - common)
+        found = staged(first.join(second, "b").where(alike).select("a", "b"), "jaccard-links")
         release_shuffles(docs.sparkSession)
         return found
 
@@ -326,7 +326,7 @@ def linked_documents(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
         leaders = taken.groupBy(F.col("i").alias("i_b"), F.col("sig").alias("sig_b")).agg(first_of.alias("_")).select("i_b", "sig_b", "_.*")
         own = taken.select("i", "sig", "c", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("p").alias("p_a"))
         others = own.join(leaders, (F.col("i") == F.col("i_b")) & (F.col("sig") == F.col("sig_b")) & (F.col("c") != F.col("c_b")) & may_link("a", "b"))
-        more = verified(others.select("a", "b", "n_a", "n_b"))
+        more = verified(others)
         round_no += 1
         if more.isEmpty():
             break
@@ -345,7 +345,7 @@ def linked_documents(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     met_before = F.coalesce(F.array_min(F.array_intersect("firsts_a", "firsts_b")) < F.col("sig_a"), F.lit(False))
     rest = one.join(other, (F.col("sig_a") == F.col("sig_b")) & (F.col("c_a") != F.col("c_b")) & (F.col("a") > F.col("b")) & may_link("a", "b") & ~met_before)
     # Pairs with the first leader of a key are decided: they were compared, or their ends were in one component.
-    more = verified(rest.select("a", "b", "n_a", "n_b").join(led.distinct(), ["a", "b"], "left_anti"))
+    more = verified(rest.select("a", "b").join(led.distinct(), ["a", "b"], "left_anti"))
     if not more.isEmpty():
         component = components(links.union(more))
 

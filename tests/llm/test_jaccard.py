@@ -5,8 +5,9 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from equiscan.llm import jaccard_join
+from equiscan.llm import components, jaccard_join
 from equiscan.llm.components import connected_components
+from equiscan.session import staged
 
 WORDS = re.compile("[^\x20\x09-\x0d]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -110,3 +111,38 @@ def test_components_of_a_path_a_star_and_a_ring(spark):
     found = {r.node: r.component for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert found == {i: 0 for i in range(41)} | {100 + i: 100 for i in range(30)} | {200 + i: 200 for i in range(9)}
     assert connected_components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_a_round_of_a_small_graph_needs_no_exchange(spark, monkeypatch):
+    plans = []
+
+    def kept(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return staged(df, name)
+
+    monkeypatch.setattr(components, "staged", kept)
+    links = spark.createDataFrame([(i, i + 1) for i in range(9)], "a long, b long").repartition(3)
+    assert {r.component for r in connected_components(links).collect()} == {0}
+    assert len(plans) > 3 and not any("Exchange hashpartitioning" in p for p in plans)
+
+
+def test_sets_of_first_ends_are_not_moved(spark, monkeypatch):
+    """Of the two sets of a pair one is moved to the other, by the key of the second end."""
+    plans = []
+
+    def kept(df, name):
+        if name == "jaccard-links":
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return staged(df, name)
+
+    monkeypatch.setattr(jaccard_join, "staged", kept)
+    monkeypatch.setattr(jaccard_join, "PAIRS_A_ROW", 10**6)
+    words = [f"w{i}" for i in range(40)]
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = [(i, " ".join([*words, f"x{i}"])) for i in range(6)]
+        assert got(frame(spark, rows), 4, 85) == brute(rows, 4, 85)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert plans and all(p.count("Exchange hashpartitioning") == 2 for p in plans)
