@@ -68,11 +68,8 @@ def lenient_date(col: Column | str) -> Column:
 def strict_date(col: Column | str) -> Column:
     """Like :func:`lenient_date`, but text that is present and unreadable fails the job."""
     column = _c(col)
-    parsed = lenient_date(column)
-    return F.when(
-        column.isNotNull() & parsed.isNull(),
-        F.raise_error(F.concat(F.lit("unreadable date: "), column.cast("string"))).cast("date"),
-    ).otherwise(parsed)
+    unreadable = F.raise_error(F.concat(F.lit("unreadable date: "), column.cast("string"))).cast("date")
+    return F.coalesce(lenient_date(column), F.when(column.isNotNull(), unreadable))
 
 
 def multi_format_date(col: Column | str) -> Column:

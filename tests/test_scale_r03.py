@@ -6,7 +6,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from equiscan.functions import multi_format_date
+from equiscan.functions import multi_format_date, strict_date
 from equiscan.plans import portfolio as pf
 from equiscan.sources import derived, ledger
 
@@ -32,6 +32,14 @@ def test_a_ledger_date_is_computed_from_its_text_once(spark):
     assert text.count("reverse(") == 1
 
 
+def test_a_strict_date_is_parsed_once(spark):
+    assert plan(spark.range(1).select(strict_date(F.reverse(F.col("id").cast("string"))).alias("d"))).count("try_cast(") == 1
+    rows = spark.createDataFrame([("2001-06-30",), ("20010630",), ("2001/6/30",), (None,)], "x string")
+    assert [r.d for r in rows.select(strict_date("x").alias("d")).collect()] == [date(2001, 6, 30)] * 3 + [None]
+    with pytest.raises(Exception, match="unreadable date: -"):
+        spark.createDataFrame([("-",)], "x string").select(strict_date("x").alias("d")).collect()
+
+
 def test_sheets_are_read_in_batches(monkeypatch):
     """However many rows a sheet has, and however many sheets a task: no more than a batch of rows is held."""
     monkeypatch.setattr(ledger, "BATCH_ROWS", 10)
