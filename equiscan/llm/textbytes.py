@@ -20,7 +20,7 @@ _STEP = np.random.Generator(np.random.PCG64(7)).integers(1, 2**63, 64, dtype=np.
 _BASE = 0x9E3779B97F4A7C15
 _BASE_INVERSE = pow(_BASE, -1, 2**64)
 #: Bytes of text worked on at once; a longer text is worked on alone.
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
 
 #: Word characters of the contracts that split at blank and control white space: every byte but 0x20 and 0x09 to 0x0D.
 NOT_BLANK = np.ones(256, bool)

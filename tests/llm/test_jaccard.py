@@ -146,3 +146,14 @@ def test_sets_of_first_ends_are_not_moved(spark, monkeypatch):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
     assert plans and all(p.count("Exchange hashpartitioning") == 2 for p in plans)
+
+
+def test_a_worker_holds_one_megabyte_of_text_and_its_arrays():
+    import pyarrow as pa
+
+    from equiscan.llm.textbytes import slices
+
+    texts = ["word " * 10_000] * 60 + [None, "x" * 3_000_000]
+    parts = list(slices(iter([pa.RecordBatch.from_pydict({"text": texts})]), 0))
+    assert [v for b in parts for v in b.column(0).to_pylist()] == texts
+    assert max(sum(len(v or "") for v in b.column(0).to_pylist()) for b in parts[:-1]) <= 1_000_000 and parts[-1].num_rows == 1
