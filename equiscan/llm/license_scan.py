@@ -165,9 +165,11 @@ def scan_licenses(docs: DataFrame, notices: list[Notice] | None = None, id_col:
     before = max((terms[0][1] for terms in postings), default=0)
     after = max((len(n.text.split()) - terms[0][1] for n, terms in zip(notices, postings, strict=True)), default=0)
     # Notices all of whose indexed words the text has; postings of other words could not meet.
-    term_sets = sorted({tuple(sorted({w for w, _ in terms})) for terms in postings})
+    term_sets = sorted({tuple(dict.fromkeys(w for w, _ in terms)) for terms in postings})
     present = F.array_intersect("words", F.lit(sorted({w for t in term_sets for w in t})))
-    possible = F.array_distinct(F.flatten(F.filter(F.lit([list(t) for t in term_sets]), lambda t: F.size(F.array_except(t, F.col("present"))) == 0)))
+    # The words present are used twice, so the planner computes them before, not again for every set of words.
+    complete = F.filter(F.lit([list(t) for t in term_sets]), lambda t: F.forall(t, lambda w: F.array_contains("present", w)))
+    possible = F.when(F.size("present") > 0, F.array_distinct(F.flatten(complete)))
 
     def around(i: Column) -> Column:
         low = F.greatest(F.lit(0), i - before)

@@ -11,6 +11,7 @@ import pytest
 
 from equiscan.llm import decontamination, license_scan, secret_scan
 from equiscan.llm.queries import ORACLES, QUERIES
+from equiscan.session import staged
 
 WORDS = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -88,6 +89,20 @@ def test_notices_equal_brute_force(documents, texts):
         assert {(n.label, n.first_word, n.coverage) for n in r.notices} == brute_notices(texts[r.doc_id])
 
 
+def test_words_present_are_computed_once_a_text(spark, monkeypatch):
+    """Not again for each set of indexed words that they are compared with."""
+    plans = []
+
+    def kept(df, name):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return staged(df, name)
+
+    monkeypatch.setattr(license_scan, "staged", kept)
+    license_scan.scan_licenses(spark.createDataFrame([(1, "the mit license")], "doc_id long, text string")).collect()
+    steps = [line for line in plans[0].splitlines() if "array_intersect(" in line]
+    assert len(steps) == 1 and "lambdafunction(" not in steps[0]
+
+
 def test_license_on_awkward_rows(messy, no_documents):
     rows = license_scan.scan_licenses(messy).collect()
     assert len(rows) == messy.count() and all(r.labels == "" and r.first_word is None for r in rows)
