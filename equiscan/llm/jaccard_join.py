@@ -5,7 +5,8 @@ Two sketches differ in no more words than their sets differ in shingles, so the
 the symmetric difference. Sets whose sizes fall into one band share a sketch of ``d + 1`` words and a few more, where ``d``
 is the largest symmetric difference a linked pair of that band can have: by the pigeonhole principle a linked pair agrees in
 more words than there are empty ones, and an equal word is the join key. A second sketch with one parity bit a shingle
-rejects pairs whose Hamming distance exceeds the allowed difference before the sets themselves are compared.
+rejects pairs whose Hamming distance exceeds the allowed difference before the sets themselves are compared; sets of more
+shingles than it has bits are told apart by one as wide as they are large.
 
 Equal sets are one node throughout. Nodes that share a word are first compared with the smallest node of that word only;
 what is linked then is one component. Where large groups stay apart, nodes are compared with others that take the same key.
@@ -210,13 +211,30 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def wide_parity(h: np.ndarray) -> np.ndarray:
+    """A parity bit a shingle, in a power of two of bits that is not below their number; none for a set of up to
+    :data:`PARITY_BITS` shingles. Of a sketch twice as wide as another both halves are XORed to compare them."""
+    bits = 1 << max(0, len(h) - 1).bit_length()
+    if bits <= PARITY_BITS:
+        return np.zeros(0, np.int64)
+    return np.packbits(np.bincount((h & U(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1).view(np.int64)
+
+
 def _set_rows(k: int, clashing: frozenset[int]):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1):
             bounds, h = shingle_sets(batch.column(1), k)
+            wide = [wide_parity(h[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+            ends = np.cumsum([0, *map(len, wide)], dtype=np.int32)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(node_ids(*fingerprints(bounds, h), clashing)), batch.column(0), pa.ListArray.from_arrays(bounds.astype(np.int32), pa.array(h.view(np.int64)))],
-                names=["node", "wanted", "shingles"],
+                [
+                    pa.array(node_ids(*fingerprints(bounds, h), clashing)),
+                    batch.column(0),
+                    pa.array(np.diff(bounds), pa.int64()),
+                    pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0, np.int64), *wide]))),
+                    pa.ListArray.from_arrays(bounds.astype(np.int32), pa.array(h.view(np.int64))),
+                ],
+                names=["node", "wanted", "n", "wide", "shingles"],
             )
 
     return rows
@@ -255,9 +273,12 @@ def linked_documents(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     members = staged(nodes.join(shared.select("node").distinct(), "node").select("node", "doc", "n", "parity"), "jaccard-members")
     chosen = broadcast_up_to(members.select("doc", F.col("node").alias("wanted")), BROADCAST_IDS)
     sets = staged(
-        narrow.join(chosen, "doc").select("wanted", "text").mapInArrow(_set_rows(words, clashing), "node long, wanted long, shingles array<long>").where("node = wanted").select("node", "shingles"),
+        narrow.join(chosen, "doc").select("wanted", "text").mapInArrow(_set_rows(words, clashing), "node long, wanted long, n long, wide array<long>, shingles array<long>")
+        .where("node = wanted")
+        .drop("wanted"),
         "jaccard-shingles",
     )
+    some_wide = not sets.where(F.size("wide") > 0).isEmpty()
 
     def may_link(a: str, b: str) -> Column:
         """Whether sizes and Hamming distance leave a link possible, for nodes in columns n_a, p_a and n_b, p_b."""
@@ -273,13 +294,32 @@ def linked_documents(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
         near = pairs.join(described_as("a"), "a").join(described_as("b"), "b").where(may_link("a", "b"))
         return verified(near)
 
+    def few(near: DataFrame) -> DataFrame:
+        return F.broadcast(near) if 2 * near.count() <= BROADCAST_IDS else near
+
+    def near_in_width(near: DataFrame) -> DataFrame:
+        """Of pairs (a, b) those that wide sketches leave possible: a few bits a shingle move where the sets have 64."""
+        first = sets.join(few(near), F.col("node") == F.col("a")).select("a", "b", F.col("n").alias("n_a"), F.col("wide").alias("w_a"))
+        second = sets.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("wide").alias("w_b"))
+        longs = F.least(F.size("w_a"), F.size("w_b"))
+
+        def halved(w: str) -> Column:
+            other_half = F.slice(w, longs + 1, longs)
+            return F.when(F.size(w) > longs, F.zip_with(F.slice(w, F.lit(1), longs), other_half, lambda x, y: x.bitwiseXOR(y))).otherwise(F.col(w))
+
+        apart = F.aggregate(F.zip_with(halved("w_a"), halved("w_b"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x)
+        comparable = (longs > 0) & (F.greatest(F.size("w_a"), F.size("w_b")) <= 2 * longs)
+        too_far = F.when(comparable, (100 + percent) * apart > (100 - percent) * (F.col("n_a") + F.col("n_b"))).otherwise(F.lit(False))
+        return first.join(second, "b").where(~too_far).select("a", "b")
+
     def verified(near: DataFrame) -> DataFrame:
         """Of pairs (a, b) that passed :func:`may_link` those that link, by their sets, written down."""
         near = staged(near.select("a", "b").distinct(), "jaccard-near")
+        if some_wide:
+            near = staged(near_in_width(near), "jaccard-close")
         # What was shuffled for the pairs before is given free. Few pairs are handed to the sets of their first ends, so a set
         # moves once for each pair that it begins, and once if it ends any; the other sets stay where they are.
         release_shuffles(docs.sparkSession)
-        few = F.broadcast if 2 * near.count() <= BROADCAST_IDS else (lambda df: df)
         first = sets.join(few(near), F.col("node") == F.col("a")).select("a", "b", F.col("shingles").alias("s_a"))
         second = sets.join(few(near.select(F.col("b").alias("node"))), "node", "left_semi").select(F.col("node").alias("b"), F.col("shingles").alias("s_b"))
         common = F.size(F.array_intersect("s_a", "s_b"))

@@ -157,3 +157,34 @@ def test_a_worker_holds_one_megabyte_of_text_and_its_arrays():
     parts = list(slices(iter([pa.RecordBatch.from_pydict({"text": texts})]), 0))
     assert [v for b in parts for v in b.column(0).to_pylist()] == texts
     assert max(sum(len(v or "") for v in b.column(0).to_pylist()) for b in parts[:-1]) <= 1_000_000 and parts[-1].num_rows == 1
+
+
+def test_wide_sketches_never_reject_a_pair_within_their_distance():
+    rng = np.random.default_rng(5)
+    for n, gone, more in ((1030, 30, 0), (3000, 400, 100), (513, 0, 2), (5000, 0, 900)):
+        whole = rng.integers(0, 2**63, n + more, dtype=np.uint64)
+        a, b = jaccard_join.wide_parity(whole[:n]), jaccard_join.wide_parity(whole[gone:])
+        longs = min(len(a), len(b))
+        folded = [w if len(w) == longs else w[:longs] ^ w[longs:] for w in (a, b)]
+        assert longs * 64 >= n - gone and np.bitwise_count((folded[0] ^ folded[1]).view(np.uint64)).sum() <= gone + more
+    assert [len(jaccard_join.wide_parity(whole[:n])) for n in (0, 1, 512, 513, 1024, 1025)] == [0, 0, 0, 16, 16, 32]
+
+
+def test_sets_of_long_texts_move_only_for_pairs_that_wide_sketches_leave(spark, monkeypatch):
+    """Long texts that share half of their words have join keys in common, and more shingles than the short sketch has bits."""
+    pairs = {}
+
+    def kept(df, name):
+        out = staged(df, name)
+        pairs[name] = pairs.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(jaccard_join, "staged", kept)
+    common = [f"c{i}" for i in range(1000)]
+    texts = [" ".join([*common, *(f"t{k}_{i}" for i in range(1000))]) for k in range(8)]
+    # Two that link, with sketches of 1024 and 2048 bits.
+    long = [f"l{i}" for i in range(1010)]
+    texts += [" ".join(long), " ".join([*long, *(f"m{i}" for i in range(60))])]
+    rows = list(enumerate(texts))
+    assert got(frame(spark, rows), 4, 85) == brute(rows, 4, 85)
+    assert pairs["jaccard-near"] >= 8 and pairs["jaccard-close"] == pairs["jaccard-links"] == 1
