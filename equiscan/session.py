@@ -101,17 +101,21 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def release_shuffles(spark: SparkSession) -> None:
-    """After a large stage was written down: shuffle files go when the driver's JVM finds that nothing refers to them."""
-    gc.collect()
-    spark._jvm.System.gc()
+def release_shuffles(spark: SparkSession, times: int = 1) -> None:
+    """After a large stage was written down: shuffle files go when the driver's JVM finds that nothing refers to them.
+
+    Those of the job that has just ended are often found by a second look only.
+    """
+    for _ in range(times):
+        gc.collect()
+        spark._jvm.System.gc()
 
 
 @contextmanager
 def staged_while(df: DataFrame, name: str) -> Iterator[DataFrame]:
     """:func:`staged` for the length of a block; the copy is removed at its end."""
     spark, path = df.sparkSession, f"{run_root(df.sparkSession)}/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression="zstd")
     try:
         yield spark.read.schema(df.schema).parquet(path)
     finally:

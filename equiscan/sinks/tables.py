@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import uuid
 from contextlib import contextmanager
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from datetime import date
 from functools import reduce
 
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from equiscan.functions import partition_id_date
-from equiscan.session import staged_while
+from equiscan.session import release_shuffles, staged_while
 
 MONTH = "month"
 # Date columns that can bound a merge, in order of preference.
@@ -32,6 +32,8 @@ _DYNAMIC = "spark.sql.sources.partitionOverwriteMode"
 
 #: Property of a staging table that holds all of what an upsert puts in place; see :func:`recover`.
 REDO = "equiscan.redo"
+#: Rows that an upsert joins, or puts in place, at once; whole months are. Shuffle files of one round go before the next.
+ROUND_ROWS = 8_000_000
 
 
 @dataclass(frozen=True)
@@ -223,6 +225,8 @@ class BatchProfile:
     bounds: tuple[date, date] | None
     months: list[str]
     undated: bool = False
+    #: Rows of each month, and its first and last date.
+    of_month: dict[str, tuple[int, date, date]] = field(default_factory=dict)
 
 
 def profile_batch(df: DataFrame, keys: list[str], column: str | None, keys_unique: bool = False) -> BatchProfile:
@@ -234,20 +238,21 @@ def profile_batch(df: DataFrame, keys: list[str], column: str | None, keys_uniqu
     counts = df.withColumn("_n", F.lit(1)) if keys_unique else df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     has_key = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
     wanted = [F.sum("_n").alias("rows"), F.max(F.when(has_key, F.col("_n"))).alias("most")]
+    by = []
     if column is not None:
-        wanted += [
-            F.min(column).alias("lo"),
-            F.max(column).alias("hi"),
-            F.collect_set(F.date_format(column, "yyyy-MM")).alias("months"),
-            F.coalesce(F.bool_or(F.col(column).isNull()), F.lit(False)).alias("undated"),
-        ]
-    row = counts.agg(*wanted).first()
-    if (row["most"] or 0) > 1:
-        raise ValueError(f"batch has up to {row['most']} rows for one key of {keys}")
+        by = [F.date_format(column, "yyyy-MM").alias(MONTH)]
+        wanted += [F.min(column).alias("lo"), F.max(column).alias("hi")]
+    months = counts.groupBy(*by).agg(*wanted).collect()  # a row for each month
+    most = max((m["most"] or 0 for m in months), default=0)
+    if most > 1:
+        raise ValueError(f"batch has up to {most} rows for one key of {keys}")
+    rows = sum(m["rows"] or 0 for m in months)
     if column is None:
-        return BatchProfile(row["rows"] or 0, None, [])
-    bounds = (row["lo"], row["hi"]) if row["lo"] is not None else None
-    return BatchProfile(row["rows"] or 0, bounds, sorted(row["months"]), row["undated"])
+        return BatchProfile(rows, None, [])
+    dated = sorted((m for m in months if m[MONTH] is not None), key=lambda m: m[MONTH])
+    bounds = (min(m["lo"] for m in dated), max(m["hi"] for m in dated)) if dated else None
+    of_month = {m[MONTH]: (m["rows"], m["lo"], m["hi"]) for m in dated}
+    return BatchProfile(rows, bounds, list(of_month), len(dated) < len(months), of_month)
 
 
 def merged(target: DataFrame, source: DataFrame, keys: list[str]) -> DataFrame:
@@ -291,6 +296,9 @@ def upsert(
     batch of dates the table does not have is appended. Otherwise the months the batch touches are joined with it, the
     result is written to a staging table that is marked as complete, and its months are put in place of the stored ones.
 
+    Months are joined and put in place in rounds of up to about :data:`ROUND_ROWS` rows, so what is shuffled at once, and
+    copied, does not grow with the batch or the table beyond that.
+
     A lost executor only repeats tasks. After a lost driver, a staging table that is not complete is worth nothing: the
     batch has changed nothing yet. One that is complete is put in place by the next write, or by :func:`recover`.
     """
@@ -300,7 +308,10 @@ def upsert(
     recover(spark, table)
     fit_columns(df, table, add_columns)
     with staged_while(df, "upsert-batch") as batch:
-        return _upsert(batch, table, keys, match_types, date_column, keys_unique)
+        rows, staging = _upsert(batch, table, keys, match_types, date_column, keys_unique)
+    if staging is not None:
+        _put_in_place(spark, staging, table, keys)
+    return rows
 
 
 def _created(df: DataFrame, table: str, keys: list[str], date_column: str | None, keys_unique: bool, buckets: Buckets | None) -> int:
@@ -320,17 +331,21 @@ def _created(df: DataFrame, table: str, keys: list[str], date_column: str | None
     return rows
 
 
-def _upsert(df: DataFrame, table: str, keys: list[str], match_types: bool, date_column: str | None, keys_unique: bool) -> int:
+def _upsert(
+    df: DataFrame, table: str, keys: list[str], match_types: bool, date_column: str | None, keys_unique: bool
+) -> tuple[int, str | None]:
+    """Rows of the batch, and the staging table with the result where it is not in place yet."""
     spark = df.sparkSession
     column = date_column if date_column in keys else date_key(keys, df.columns)
     batch = profile_batch(df, keys, column, keys_unique)
     if batch.rows == 0:
-        return 0
+        return 0, None
+    _release_after(spark, batch.rows)
     stored = spark.table(table)
     if match_types:
         df = safe_cast_to(df, stored.schema)
     by_month = MONTH in stored.columns and column is not None
-    target = stored
+    rounds = [(stored, df)]
     if by_month:
         dated = stored.filter(F.col(MONTH).isin(batch.months))
         if batch.bounds is not None:
@@ -338,25 +353,77 @@ def _upsert(df: DataFrame, table: str, keys: list[str], match_types: bool, date_
             overlap = dated.filter(F.col(column).between(*[F.lit(b) for b in batch.bounds]))
         if batch.bounds is None or overlap.isEmpty():
             # No stored row has a date of the batch, so no key can match: the usual case of a new day.
-            return append(df, table, column, keys)
-        # What replaces the partition of undated rows has to hold those that are there: then it may be repeated.
-        target = (dated.unionByName(stored.filter(F.col(MONTH).isNull())) if batch.undated else dated).drop(MONTH)
+            rows = append(df, table, column, keys)
+            _release_after(spark, rows)
+            return rows, None
+        rounds = _rounds_of_months(stored, dated, df, column, batch)
     staging = f"{table}__staging_{uuid.uuid4().hex[:8]}"
-    result = merged(target, df, keys)
-    if by_month:
-        result = result.withColumn(MONTH, F.date_format(column, "yyyy-MM"))
-    result.select(*stored.columns).write.format("parquet").saveAsTable(staging)
+    for target, source in rounds:
+        result = merged(target, source, keys)
+        if by_month:
+            result = result.withColumn(MONTH, F.date_format(column, "yyyy-MM"))
+        writer = result.select(*stored.columns).write.format("parquet").mode("append")
+        writer.option("compression", "zstd").saveAsTable(staging)
+        _release_after(spark, batch.rows)
     spark.sql(f"ALTER TABLE {staging} SET TBLPROPERTIES ('{REDO}' = '{','.join(keys)}')")
-    _put_in_place(spark, staging, table, keys)
-    return batch.rows
+    return batch.rows, staging
+
+
+def _rounds_of_months(
+    stored: DataFrame, dated: DataFrame, df: DataFrame, column: str, batch: BatchProfile
+) -> list[tuple[DataFrame, DataFrame]]:
+    """The stored rows and those of the batch that an upsert joins round by round; undated rows come with the first one."""
+    sizes = {m: rows for m, (rows, _, _) in batch.of_month.items()}
+    if len(sizes) > 1:
+        for m, rows in _rows_by_month(dated).items():
+            sizes[m] += rows
+    rounds = []
+    for months in _in_rounds(sizes):
+        target = dated.filter(F.col(MONTH).isin(months))
+        lo, hi = batch.of_month[months[0]][1], batch.of_month[months[-1]][2]
+        due = F.col(column).between(F.lit(lo), F.lit(hi))
+        if batch.undated and not rounds:
+            # What replaces the partition of undated rows has to hold those that are there: then it may be repeated.
+            target, due = target.unionByName(stored.filter(F.col(MONTH).isNull())), due | F.col(column).isNull()
+        rounds.append((target.drop(MONTH), df.filter(due)))
+    return rounds
+
+
+def _rows_by_month(df: DataFrame) -> dict[str | None, int]:
+    return {r[MONTH]: r["count"] for r in df.groupBy(MONTH).count().collect()}
+
+
+def _in_rounds(sizes: dict[str | None, int]) -> list[list[str | None]]:
+    """Months in order, undated rows first, as many together as have up to :data:`ROUND_ROWS` rows."""
+    rounds: list[list[str | None]] = []
+    held = 0
+    for month in sorted(sizes, key=lambda m: m or ""):
+        if rounds and held + sizes[month] <= ROUND_ROWS:
+            rounds[-1].append(month)
+            held += sizes[month]
+        else:
+            rounds.append([month])
+            held = sizes[month]
+    return rounds
+
+
+def _release_after(spark: SparkSession, rows: int) -> None:
+    """The shuffle files of a job go before the next one adds its own, where they are large."""
+    if rows > ROUND_ROWS // 8:
+        release_shuffles(spark, times=2)
 
 
 def _put_in_place(spark: SparkSession, staging: str, table: str, keys: list[str]) -> None:
     """The months of ``staging`` for those of ``table``, or all of it for a table without months; may be repeated."""
     fresh, buckets = spark.table(staging), buckets_of(spark, table)
     if MONTH in fresh.columns:
-        with _dynamic_partitions(spark):
-            _dealt(fresh, keys, buckets).write.mode("overwrite").insertInto(table)
+        sizes = _rows_by_month(fresh)
+        for months in _in_rounds(sizes):
+            due = F.col(MONTH).isin([m for m in months if m is not None])
+            some = fresh.filter(due | F.col(MONTH).isNull() if None in months else due) if len(months) < len(sizes) else fresh
+            with _dynamic_partitions(spark):
+                _dealt(some, keys, buckets).write.mode("overwrite").insertInto(table)
+            _release_after(spark, sum(sizes.values()))
     else:
         (_dealt(fresh, keys, buckets) if buckets else fresh).write.mode("overwrite").insertInto(table)
     spark.sql(f"DROP TABLE IF EXISTS {staging}")

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from equiscan.functions import pad_code
-from equiscan.session import run_root
+from equiscan.session import release_shuffles, run_root
 
 AS_OF = date(2001, 6, 30)
 # Real ship dates are moved so that the last one falls on AS_OF.
@@ -59,26 +59,29 @@ class Market:
         key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
         if key not in _stored:
             path = f"{run_root(self.spark)}/derived-{len(_stored)}-{name}"
-            df = build()
-            if by_month:
-                df = df.withColumn("month", F.date_format(by_month, "yyyy-MM"))
-                if rows_of:
-                    tasks = self._tasks(rows_of)
-                    # Two pieces of a month for every two years' share of the tasks: small enough to even out, large enough as files.
-                    piece = F.pmod(F.hash(sort[0]), F.lit(2 * math.ceil(tasks / 24)))
-                    df = df.repartition(tasks, F.col("month"), piece)
-                else:
-                    df = df.hint("rebalance", F.col("month"))
-            if sort:
-                df = df.sortWithinPartitions(*(["month"] if by_month else []), *sort)
-            writer = df.write.mode("overwrite")
-            if by_month:
-                writer = writer.partitionBy("month")
-            writer.parquet(path)
-            _stored[key] = (path, df.schema)
+            _stored[key] = (path, self._written(path, build(), by_month, sort, rows_of))
+            release_shuffles(self.spark, times=2)
         path, schema = _stored[key]
         return self.spark.read.schema(schema).parquet(path)
 
+    def _written(self, path: str, df: DataFrame, by_month: str | None, sort: tuple[str, ...], rows_of: str | None) -> T.StructType:
+        if by_month:
+            df = df.withColumn("month", F.date_format(by_month, "yyyy-MM"))
+            if rows_of:
+                tasks = self._tasks(rows_of)
+                # Two pieces of a month for every two years' share of the tasks: small enough to even out, large enough as files.
+                piece = F.pmod(F.hash(sort[0]), F.lit(2 * math.ceil(tasks / 24)))
+                df = df.repartition(tasks, F.col("month"), piece)
+            else:
+                df = df.hint("rebalance", F.col("month"))
+        if sort:
+            df = df.sortWithinPartitions(*(["month"] if by_month else []), *sort)
+        writer = df.write.mode("overwrite")
+        if by_month:
+            writer = writer.partitionBy("month")
+        writer.parquet(path)
+        return df.schema
+
     # ---- price series -------------------------------------------------------------------------
 
     def daily_bars(self) -> DataFrame:

@@ -43,13 +43,14 @@ def read_pages(spark: SparkSession, path: str, record: T.StructType | None = Non
 
     A file holds one document over any number of lines, or several after each other; it may be packed with gzip. A task
     reads its files block by block and passes on one record after the other, so a file may be larger than a task's memory.
-    A file that ends inside a document stops the read. Records are parsed by ``record``; without it the texts of the
-    records are staged, their fields are collected there, and the values are text.
+    A file that ends inside a document stops the read. Records are parsed by ``record``; without it the fields of all
+    records are collected first, in a pass of its own over the files as they were listed, and the values are text. Nothing
+    is staged: the pages may be much smaller than the texts they unpack to.
     """
-    records = streams.listed(spark, path).mapInArrow(streams.page_records, streams.PAGE_RECORDS)
+    files = streams.listed(spark, path)
     if record is None:
-        records = staged(records, "page-records")
-        record = _record_schema(records)
+        record = _record_schema(files.mapInArrow(streams.page_shapes, streams.PAGE_RECORDS))
+    records = files.mapInArrow(streams.page_records, streams.PAGE_RECORDS)
     place = F.struct("file", F.col("document").alias("block"), "place")
     parsed = F.from_json("json", record).alias("r") if len(record) else F.struct(F.lit(None).alias("_")).alias("r")
     return records.select(parsed, place.alias(SEQUENCE)).select(*[F.col(f"r.`{f}`") for f in record.names], SEQUENCE)

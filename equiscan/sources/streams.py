@@ -20,6 +20,8 @@ from equiscan.session import ship_package
 
 #: Characters read at once, and of one batch of results; rows of a batch.
 BLOCK_CHARS, BATCH_CHARS, BATCH_ROWS = 1 << 20, 4 << 20, 8_192
+#: Sets of fields that a task remembers.
+MOST_SHAPES = 10_000
 #: Stores that tasks can open by themselves. Files of any other are handed over by Spark, whole, up to 2 GB each.
 STREAMED = {"file", "hdfs", "s3", "s3a", "gs", "abfss"}
 
@@ -30,6 +32,9 @@ CSV_ROWS = "file string, header string, place long, cells array<string>, cause s
 _STRING = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
 _FLAT = re.compile(rf'\{{[^"{{}}\[\]]*+(?:{_STRING}[^"{{}}\[\]]*+)*+\}}', re.DOTALL)
 _TOKEN = re.compile(rf'{_STRING}|["{{}}\[\]]', re.DOTALL)
+# A record, without white space, of strings without escapes.
+_PLAIN = r'"[^"\\\x00-\x1f]*+"'
+_TEXT_ONLY = re.compile(rf"\{{{_PLAIN}:{_PLAIN}(?:,{_PLAIN}:{_PLAIN})*+\}}")
 
 
 def listed(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -63,6 +68,16 @@ def text_of(path: str, content: bytes | None) -> io.TextIOWrapper:
     return io.TextIOWrapper(opened(path, content), encoding="utf-8-sig", errors="replace", newline="")
 
 
+def _plain_end(text: str, start: int) -> int:
+    """:func:`_record_end` at the speed of a search, for an object with nothing nested and no escapes; -1 for any other."""
+    end = text.find("}", start)
+    if end < 0:
+        return -1
+    inside = text[start + 1 : end]
+    plain = not ("{" in inside or "[" in inside or "]" in inside or "\\" in inside or inside.count('"') % 2)
+    return end + 1 if plain else -1
+
+
 def _record_end(text: str, start: int) -> int:
     """Where the object that begins at ``start`` ends; -1 if it goes on beyond ``text``."""
     if flat := _FLAT.match(text, start):
@@ -108,6 +123,9 @@ def records_of(text: io.TextIOBase, block: int = BLOCK_CHARS) -> Iterator[tuple[
                     break
                 yield document, place, held[token.start() : end]
                 place, at = place + 1, end
+                while held.startswith(",{", at) and (end := _plain_end(held, at + 1)) > 0:
+                    yield document, place, held[at + 1 : end]
+                    place, at = place + 1, end
                 continue
             at = token.end()
             if kind in "{[":
@@ -135,19 +153,51 @@ def page_records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of :data:`PAGE_RECORDS` from (path, content)."""
     for batch in batches:
         for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            yield from _in_batches(path, _records(path, content.as_py()))
+
+
+def page_shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """:func:`page_records` without those records that are sure to have the same fields as an earlier one of the task."""
+    seen: set[tuple[str, ...]] = set()
+
+    def new(records: Iterator[tuple[int, int, str]]) -> Iterator[tuple[int, int, str]]:
+        for row in records:
+            names = _text_fields(row[2])
+            if names is None:
+                yield row
+            elif names not in seen:
+                if len(seen) < MOST_SHAPES:
+                    seen.add(names)
+                yield row
+
+    for batch in batches:
+        for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            yield from _in_batches(path, new(_records(path, content.as_py())))
+
+
+def _text_fields(record: str) -> tuple[str, ...] | None:
+    """The names of a record's fields if all its values are plain strings; None if they are not, or that is not plain to see."""
+    return tuple(record.split('"')[1::4]) if len(record) < BLOCK_CHARS and _TEXT_ONLY.fullmatch(record) else None
+
+
+def _records(path: str, content: bytes | None) -> Iterator[tuple[int, int, str]]:
+    with text_of(path, content) as text:
+        try:
+            yield from records_of(text)
+        except (ValueError, OSError, EOFError, zlib.error) as error:
+            raise ValueError(f"{path}: {error}") from error
+
+
+def _in_batches(path: str, records: Iterator[tuple[int, int, str]]) -> Iterator[pa.RecordBatch]:
+    rows, chars = [], 0
+    for row in records:
+        rows.append(row)
+        chars += len(row[2])
+        if len(rows) == BATCH_ROWS or chars >= BATCH_CHARS:
+            yield _batch(path, rows)
             rows, chars = [], 0
-            with text_of(path, content.as_py()) as text:
-                try:
-                    for row in records_of(text):
-                        rows.append(row)
-                        chars += len(row[2])
-                        if len(rows) == BATCH_ROWS or chars >= BATCH_CHARS:
-                            yield _batch(path, rows)
-                            rows, chars = [], 0
-                except (ValueError, OSError, EOFError, zlib.error) as error:
-                    raise ValueError(f"{path}: {error}") from error
-            if rows:
-                yield _batch(path, rows)
+    if rows:
+        yield _batch(path, rows)
 
 
 def _batch(path: str, rows: list[tuple[int, int, str]]) -> pa.RecordBatch:

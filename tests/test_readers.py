@@ -86,6 +86,27 @@ def test_pages_without_a_schema_and_nested_fields(spark, tmp_path):
     assert (rows["2"]._seq.block, rows["2"]._seq.place) == (2, 0)
 
 
+def test_fields_are_collected_without_staging_the_records(spark, tmp_path):
+    records = ['{"a":"1","b":"2"}', '{"a":"\\n","c":"}"}', '{"a":1}', '{"b":"1","a":"2","d":{"e":"{"}}', '{"a":"1","b":null}', '{"f":"x" ,"a":"]"}', '{"a":"漢","b":"\\""}']
+    with gzip.open(tmp_path / "a.json.gz", "wt") as f:
+        f.write('{"data":[' + ",".join(records * 3) + "]}")
+    read = readers.read_pages(spark, f"{tmp_path}/*")
+    assert read.columns == ["a", "b", "c", "d", "f", "_seq"]
+    assert [r._seq.place for r in sorted(read.collect(), key=lambda r: r._seq)] == list(range(21))
+    assert "binaryFile" in read._jdf.queryExecution().toString()  # pages are read again, no copy of their texts is kept
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.dictionaries(st.text(st.sampled_from('ab"\\{'), max_size=2), st.one_of(st.text(st.sampled_from('x"{}[],:\\\n漢'), max_size=4), VALUES), max_size=3), max_size=6))
+def test_a_record_that_is_left_out_has_the_fields_of_one_that_is_kept(records):
+    texts = [json.dumps(r, ensure_ascii=False, separators=(",", ":")) for r in records]
+    for text, record in zip(texts, records, strict=True):
+        names = streams._text_fields(text)
+        assert names is None or names == tuple(record) and all(isinstance(v, str) for v in record.values())
+    assert streams._text_fields('{"a":"1","b":"}"}') == ("a", "b")
+    assert [streams._text_fields(t) for t in ('{"a":"1",}', '{"a":1}', "{}", '{"a":"\n"}', '{"a":"1""b":"2"}')] == [None] * 5
+
+
 def test_a_page_file_that_breaks_off_stops_the_read(spark, tmp_path):
     (tmp_path / "a.json").write_text('{"data": [{"Code": "1"}, {"Code": ')
     with pytest.raises(Exception, match="a.json: the file ends inside document 0"):

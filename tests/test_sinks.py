@@ -211,6 +211,39 @@ def test_an_upsert_that_breaks_before_its_result_is_complete_has_changed_nothing
     assert [t.name for t in spark.catalog.listTables(table.split(".")[0]) if "staging" in t.name] == []
 
 
+@pytest.mark.parametrize("lost", [False, True])
+def test_months_are_joined_and_put_in_place_in_rounds(spark, table, monkeypatch, lost):
+    monkeypatch.setattr(tables, "ROUND_ROWS", 4)
+    joins, writes = [], []
+    merged, dealt = tables.merged, tables._dealt
+    monkeypatch.setattr(tables, "merged", lambda target, source, keys: joins.append((target.count(), source.count())) or merged(target, source, keys))
+    monkeypatch.setattr(tables, "_dealt", lambda df, *a: writes.append(df.count()) or dealt(df, *a))
+    tables.append(frame(spark, [(None, "Y", 6.0, "x")]), table, "date")
+    batch = frame(spark, [("2024-01-05", "A", 9.0, "n"), ("2024-02-01", "A", 8.0, "n"), ("2024-04-30", "A", 7.0, "n"), (None, "Z", 7.0, "n"), ("2024-01-31", "C", 6.0, "n")])
+    writes.clear()
+    if lost:
+        whole_again = _lost_after(monkeypatch, ["2024-01"])
+        with pytest.raises(Lost):
+            tables.upsert(batch, table, ["date", "code"])
+        whole_again()
+        assert tables.recover(spark, table) == 1
+    else:
+        assert tables.upsert(batch, table, ["date", "code"]) == 5
+    assert joins == [(3, 3), (1, 2)]  # January and the undated rows; February and April
+    assert writes == [2, 4, 1]  # the undated rows; January and February; April
+    assert content(spark, table) == [
+        ("2024-01-05", "A", 9.0, "n"),
+        ("2024-01-05", "B", 2.0, "x"),
+        ("2024-01-31", "C", 6.0, "n"),
+        ("2024-02-01", "A", 8.0, "n"),
+        ("2024-03-01", "A", 4.0, "x"),
+        ("2024-04-30", "A", 7.0, "n"),
+        ("None", "Y", 6.0, "x"),
+        ("None", "Z", 7.0, "n"),
+    ]
+    assert [t.name for t in spark.catalog.listTables(table.split(".")[0]) if "staging" in t.name] == []
+
+
 def test_a_table_without_months_is_put_in_place_again(spark, database, monkeypatch):
     name = f"{database}.plain"
     rows = spark.createDataFrame([("A", 1), ("B", 2)], "code string, n int")
